@@ -55,13 +55,12 @@ def exact_dedup(docs: DataFrame, runs: int = 64, fan_in: int = 8, keep: str = "m
     leaves = stage(digests(docs, runs), "digests")
     entries, root = tree_merge(leaves, runs, fan_in, keep)
     told = entries.join(root, KEY)
-    same = [leaves[k] == told[k] for k in ["run", *KEY]]
-    return leaves.join(told, same).select(
-        leaves["doc_id"],
+    return leaves.join(told, ["run", *KEY]).select(
+        "doc_id",
         "keep_id",
         "group_size",
-        leaves["doc_id"].eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex(leaves["sha"])).alias("text_sha256"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
