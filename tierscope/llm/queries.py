@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, packing, simhash
 from .shared import table
 
 
@@ -14,7 +14,20 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op9_bpe": op9_bpe}
+def op3_simhash(spark, sf_dir):
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op9_bpe": op9_bpe,
+}
 
 ORACLES = {
     "op5_exact_dedup": """
