@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, simhash
+from . import bpe, exact_dedup, packing, simhash, suffix_dedup
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op4_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
