@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, simhash, suffix_dedup
+from . import bpe, exact_dedup, language_model, packing, simhash, suffix_dedup, toxicity
 from .shared import table
 
 
@@ -26,12 +26,22 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_model(spark, sf_dir):
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLES = {
