@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_model, packing, simhash, suffix_dedup, toxicity
+from . import bpe, exact_dedup, html_text, language_model, neighbours, packing, simhash, suffix_dedup, toxicity, warc
 from .shared import table
 
 
@@ -14,6 +14,11 @@ def op9_bpe(spark, sf_dir):
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_warc(spark, sf_dir):
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_suffix_dedup(spark, sf_dir):
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,14 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,16 +48,40 @@ def op10_language_model(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_text": op6_html_text,
+    "op7_neighbours": op7_neighbours,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
     "op10_language_model": op10_language_model,
 }
 
 ORACLES = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id, sha1(html) AS hexed FROM p)
+        SELECT page_id,
+               strlen(html) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (1 + ((CAST('0x' || substr(hexed, CAST(10 * (i // 8) + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31))::BIGINT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
+    "op7_neighbours": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+                   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
     "op5_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
