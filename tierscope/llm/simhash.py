@@ -169,6 +169,6 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that stay (the smallest doc_id of each component), with their own columns."""
-    kept = simhash_components(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs that stay (the smallest doc_id of each component, and null ones), with their own columns."""
+    kept = simhash_components(docs, **how).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")

@@ -40,8 +40,10 @@ MIX, LARGE = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 NONE = np.iinfo(np.int64).min
 
 
-def units(docs: DataFrame, unit: int = UNIT) -> DataFrame:
-    """unit (any unique number), n_bytes, ids, lengths (binary), blob (the texts, one after the other, compressed)."""
+def units(docs: DataFrame, unit: int = UNIT, rest: bool = False) -> DataFrame:
+    """unit (any unique number), n_bytes, ids, lengths (binary), blob (the texts, one after the other, compressed).
+
+    With rest, also the other columns of the rows (binary, an Arrow stream), of a docs that has them."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -49,24 +51,33 @@ def units(docs: DataFrame, unit: int = UNIT) -> DataFrame:
 
         def packed():
             raw = b"".join(texts)
-            return pa.record_batch(
-                [pa.array([uuid.uuid4().int >> 66]), pa.array([len(raw)]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.array([*map(len, texts)], "<i8").tobytes()]), pa.array([zstandard.ZstdCompressor(level=3).compress(raw)])],
-                ["unit", "n_bytes", "ids", "lengths", "blob"],
-            )
-
-        ids, texts, size = [], [], 0
+            columns = [pa.array([uuid.uuid4().int >> 66]), pa.array([len(raw)]), pa.array([np.array(ids, "<i8").tobytes()]), pa.array([np.array([*map(len, texts)], "<i8").tobytes()]), pa.array([zstandard.ZstdCompressor(level=3).compress(raw)])]
+            if rest:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, others[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    for o in others:
+                        out.write_batch(o)
+                columns.append(pa.array([sink.getvalue().to_pybytes()]))
+            return pa.record_batch(columns, ["unit", "n_bytes", "ids", "lengths", "blob", "rest"][: len(columns)])
+
+        ids, texts, others, size = [], [], [], 0
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            other, first = b.drop_columns(["text"]), 0
+            for k, (doc, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
                 ids.append(NONE if doc is None else doc)
-                texts.append(text.encode())
+                texts.append((text or "").encode())
                 size += len(texts[-1])
                 if size >= unit:
+                    others.append(other.slice(first, k + 1 - first))
                     yield packed()
-                    ids, texts, size = [], [], 0
+                    ids, texts, others, size, first = [], [], [], 0, k + 1
+            if first < b.num_rows:
+                others.append(other.slice(first))
         if ids:
             yield packed()
 
-    return documents_of(docs).mapInArrow(run, "unit long, n_bytes long, ids binary, lengths binary, blob binary")
+    rows = docs if rest else documents_of(docs)
+    return rows.mapInArrow(run, "unit long, n_bytes long, ids binary, lengths binary, blob binary" + (", rest binary" if rest else ""))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -314,10 +325,36 @@ def removed_runs(u: Unit, past: np.ndarray, on: np.ndarray, bits: np.ndarray) ->
     return row[new], b[new], far[np.r_[np.flatnonzero(new)[1:] - 1, len(far) - 1]]
 
 
-def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, kept_text: bool = False, unit: int = UNIT, span: int = RANGE) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with kept_text also kept (binary) and spans."""
-    half = threshold // 2
-    held = stage(units(docs, unit), "units", "none")
+def kept_parts(u: Unit, rows: np.ndarray, begins: np.ndarray, ends: np.ndarray):
+    """For each text: its id, the number of its removed runs, and the parts that stay."""
+    cuts = np.searchsorted(rows, np.arange(len(u.ids) + 1))
+    for i, (doc, lo, hi) in enumerate(zip(u.ids.tolist(), u.begins.tolist(), u.ends.tolist(), strict=True)):
+        at, parts = lo, []
+        for s, e in zip(begins[cuts[i] : cuts[i + 1]].tolist(), ends[cuts[i] : cuts[i + 1]].tolist(), strict=True):
+            parts.append(u.raw[at:s])
+            at = e
+        yield doc, len(parts), [*parts, u.raw[at:hi]]
+
+
+def digests(u: Unit, row: dict, runs) -> pa.RecordBatch:
+    out: list[list] = [[] for _ in range(5)]
+    sizes = u.lengths.tolist()
+    for n, (doc, spans, parts) in zip(sizes, kept_parts(u, *runs), strict=True):
+        kept = b"".join(parts)
+        for column, v in zip(out, (None if doc == NONE else doc, n, n - len(kept), spans, hashlib.sha256(kept).hexdigest()), strict=True):
+            column.append(v)
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, unit: int = UNIT, span: int = RANGE) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return _each_unit(docs, threshold, unit, span, False, digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def _each_unit(docs: DataFrame, threshold: int, unit: int, span: int, rest: bool, made, schema) -> DataFrame:
+    """made(unit, row, removed runs) for every unit, as a table of schema."""
+    held = stage(units(docs, unit, rest), "units", "none")
     ranges = max(1, int(held.agg(F.sum("n_bytes")).first()[0] or 0) // span)
 
     def send_pairs(batches):
@@ -370,31 +407,24 @@ def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, kept_text: bool =
                 place, past = joined([(t["places"], t["past"]) for t in row["told"] or ()])
                 on, raw = joined([(t["places"], t["bits"]) for t in row["seen"] or ()])
                 rows, begins, ends = removed_runs(u, place[past == 1], on, np.frombuffer(raw.tobytes(), "<u8"))
-                cuts = np.searchsorted(rows, np.arange(len(u.ids) + 1))
-                out: list[list] = [[] for _ in range(7)]
-                for i, (doc, lo, hi) in enumerate(zip(u.ids.tolist(), u.begins.tolist(), u.ends.tolist(), strict=True)):
-                    runs = list(zip(begins[cuts[i] : cuts[i + 1]].tolist(), ends[cuts[i] : cuts[i + 1]].tolist(), strict=True))
-                    at, parts = lo, []
-                    for s, e in runs:
-                        parts.append(u.raw[at:s])
-                        at = e
-                    kept = b"".join([*parts, u.raw[at:hi]])
-                    values = (None if doc == NONE else doc, hi - lo, hi - lo - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept, [x - lo for r in runs for x in r])
-                    for column, v in zip(out, values, strict=True):
-                        column.append(v)
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
-                n = 7 if kept_text else 5
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(out[:n], kinds, strict=False)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][:n])
-
-    last = held.join(told, "unit", "left").join(seen, "unit", "left").select("unit", "ids", "lengths", "blob", "told", "seen")
-    return last.mapInArrow(result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, spans array<long>" if kept_text else ""))
-
-
-def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD, **how) -> DataFrame:
-    """docs with repeated strings removed from text, and rows left without any text dropped.
-
-    Bytes of a character that a run cuts in two go with the run. n_chars, where it is there, is counted anew."""
-    kept = suffix_dedup(docs, threshold, kept_text=True, **how).where("n_removed > 0")
-    kept = kept.select("doc_id", F.col("kept").alias("_kept"))
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.expr("try_validate_utf8(cast(_kept as string))"))
-    return docs.join(kept, "doc_id", "left").withColumn("text", text).drop("_kept")
+                yield made(u, row, (rows, begins, ends))
+
+    own = ["unit", "ids", "lengths", "blob", *(["rest"] if rest else [])]
+    return held.join(told, "unit", "left").join(seen, "unit", "left").select(*own, "told", "seen").mapInArrow(result, schema)
+
+
+def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: int = UNIT, span: int = RANGE) -> DataFrame:
+    """docs with repeated strings removed from text; every row stays, a null text as an empty one.
+
+    Bytes of a character that a run cuts in two go with the run. n_chars, where it is a column, is counted anew."""
+    names = docs.columns
+
+    def made(u: Unit, row: dict, runs) -> pa.RecordBatch:
+        rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
+        text = ["".join(p.decode("utf-8", "ignore") for p in parts) for _, _, parts in kept_parts(u, *runs)]
+        columns = {c: rest.column(c).combine_chunks() for c in rest.column_names} | {"text": pa.array(text, pa.string())}
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(t) for t in text], columns["n_chars"].type)
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c := columns[n], pa.ChunkedArray) else c for n in names], names)
+
+    return _each_unit(docs, threshold, unit, span, True, made, docs.schema)
