@@ -57,3 +57,9 @@ def vocabulary_path(name: str, folder: str | None = None) -> str:
 def documents_of(df: DataFrame) -> DataFrame:
     """doc_id and text alone, so that further columns can't clash with an operator's own; a null text is empty."""
     return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def rows_of(batch):
+    """The rows of an Arrow batch as dicts, one at a time, so that only one row's blobs are copied."""
+    for i in range(batch.num_rows):
+        yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}

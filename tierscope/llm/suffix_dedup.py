@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents_of, small_batches, stage
+from .shared import documents_of, rows_of, small_batches, stage
 
 THRESHOLD = 50
 #: Bytes of text in a unit, looked at in one go, and behind one range of ranks.
-UNIT, SLICE, RANGE = 2 << 20, 1 << 20, 32 << 20
+UNIT, SLICE, RANGE = 2 << 20, 1 << 20, 8 << 20
 MIX, LARGE = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 NONE = np.iinfo(np.int64).min
 
@@ -359,7 +359,7 @@ def _each_unit(docs: DataFrame, threshold: int, unit: int, span: int, rest: bool
 
     def send_pairs(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b):
                 u = Unit(row["ids"], row["lengths"], row["blob"], threshold)
                 rank, context, doc = u.rank[u.first], u.context[u.first], u.doc[u.first]
                 cuts = ranges_of(rank, ranges).tolist()
@@ -379,7 +379,7 @@ def _each_unit(docs: DataFrame, threshold: int, unit: int, span: int, rest: bool
         import zstandard
 
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b):
                 place, past = joined([(t["places"], t["past"]) for t in row["told"]])
                 on = np.sort(place[past == 0])
                 if not len(on):
@@ -402,7 +402,7 @@ def _each_unit(docs: DataFrame, threshold: int, unit: int, span: int, rest: bool
 
     def result(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in rows_of(b):
                 u = Unit(row["ids"], row["lengths"], row["blob"], threshold)
                 place, past = joined([(t["places"], t["past"]) for t in row["told"] or ()])
                 on, raw = joined([(t["places"], t["bits"]) for t in row["seen"] or ()])
