@@ -162,20 +162,36 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[i
     return done
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """(number of sequences, length to copies) of every configuration used; covers the histogram exactly."""
-    sizes = np.array(sorted(histogram), dtype=np.int64)
-    left = np.array([histogram[s] for s in sizes.tolist()], dtype=np.int64)
-    out: list[tuple[int, dict[int, int]]] = []
-    if len(sizes) == 0:
-        return out
-    for used, amount in sorted(fractional(sizes, left.astype(float), capacity, rounds).items(), key=lambda u: (-u[1], u[0])):
+def rounded(configurations: list[tuple[tuple, float]], sizes: np.ndarray, counts: np.ndarray, capacity: int, waste: int) -> list[tuple[int, dict[int, int]]]:
+    """Whole sequences of the configurations that leave at most `waste` free, the fullest first, and the rest by best fit."""
+    left, out = counts.copy(), []
+    for used, amount in configurations:
+        if capacity - sum(int(sizes[k]) * copies for k, copies in used) > waste:
+            break
         if many := min(int(np.ceil(amount - 1e-9)), *(int(left[k]) // copies for k, copies in used)):
             out.append((many, dict(used)))
             for k, copies in used:
                 left[k] -= many * copies
-    out += best_fit(sizes, left, capacity)
-    return [(many, {int(sizes[k]): copies for k, copies in used.items()}) for many, used in out]
+    return out + best_fit(sizes, left, capacity)
+
+
+#: Free places up to which a configuration is taken when the solution is rounded; the fullest go first, then those used
+#: most or those with the largest piece, and the best of these plans is kept.
+WASTES = (0, 2, 8, 32, 128, CAPACITY)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
+    """(number of sequences, length to copies) of every configuration used; covers the histogram exactly."""
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[s] for s in sizes.tolist()], dtype=np.int64)
+    if len(sizes) == 0:
+        return []
+    free = lambda used: capacity - sum(int(sizes[k]) * copies for k, copies in used)
+    solution = fractional(sizes, counts.astype(float), capacity, rounds).items()
+    orders = (lambda u: (free(u[0]), -u[1], u[0]), lambda u: (free(u[0]), -u[0][-1][0], sum(c for _, c in u[0]), -u[1], u[0]))
+    plans = (rounded(sorted(solution, key=order), sizes, counts, capacity, w) for order in orders for w in WASTES)
+    best = min(plans, key=lambda p: sum(many for many, _ in p))
+    return [(many, {int(sizes[k]): copies for k, copies in used.items()}) for many, used in best]
 
 
 def blocks(configurations: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
