@@ -40,6 +40,8 @@ class Automaton:
         self.table: dict[tuple[int, int], bool] = {}
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
+        if a not in self.step or b not in self.step or not self._unroll(a, b):
+            return  # the two never stand next to each other by then, so the merge does nothing
         self.gone.setdefault((a, b), k)
         if c not in self.step:
             self.step[c], self.left[c], self.right[c] = k, a, b
