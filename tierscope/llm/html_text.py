@@ -56,11 +56,11 @@ def parts(page: str):
             continue  # a comment, a declaration, or an element without text
         name, close = name.lower(), bool(m[2])
         if name == "br":
-            yield "t:br", 1, " ", block, out, article
+            yield ("t:out" if out else "t:br"), 1, " ", block, out, article
             continue
         if name not in INLINE:
             block += 1
-        yield "t:" + name, 1, None, block, out, article
+        yield ("t:out" if out else "t:" + name), 1, None, block, out, article
         if close:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if at is None or (name in INLINE and any(s[0] not in INLINE for s in stack[at:])):
@@ -86,19 +86,24 @@ def weights_of(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     """counts: key to (inside, outside the article)."""
     out = {}
     for key, (inside, outside) in counts.items():
+        if key in FIXED:
+            continue
         odds = math.log((inside + 0.5) / (outside + 0.5))
         out[key] = max(-3.0, min(3.0, odds)) if key.startswith("w:") else max(-1.0, min(-0.05, odds / 3))
     return out
 
 
-#: For what no labelled page has.
-DEFAULT = {"w": 1.0, "t": -0.5, "w:a": -1.0, "w:out": -3.0}
+#: For what no labelled page has; and for what is left out anyway, which an article may well go around.
+DEFAULT = {"w": 1.0, "t": -0.5, "w:a": -1.0}
+FIXED = {"w:out": 0.0, "t:out": -0.05}
 
 
 def weight(weights: dict[str, float], key: str) -> float:
+    if key in FIXED:
+        return FIXED[key]
     if (w := weights.get(key)) is not None:
         return w
-    return DEFAULT["w:out"] if key == "w:out" else DEFAULT["w:a"] if key.startswith("w:") and key.endswith(":a") else DEFAULT[key[0]]
+    return DEFAULT["w:a"] if key.startswith("w:") and key.endswith(":a") else DEFAULT[key[0]]
 
 
 def main_text(page: str, weights: dict[str, float]) -> str:
