@@ -124,7 +124,10 @@ def main_text(page: str, weights: dict[str, float]) -> str:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    rows = pages.where("html rlike '(?i)<(article|main)[\\\\s>]'").select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").select("html").limit(sample)
+    # ids first: a page is long, and a sort with a limit brings `sample` rows of every partition to one task
+    named = pages.where("page_id is not null and html rlike '(?i)<(article|main)[\\s>]'").select("page_id")
+    ids = named.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
+    rows = pages.join(F.broadcast(ids), "page_id", "left_semi").select(F.coalesce("html", F.lit("")).alias("html"))
 
     def run(batches):
         for b in batches:
