@@ -4,8 +4,8 @@ Features of a text are its words and their first four and five letters, each pre
 go with the toxic label are chosen by a z-score, counted by Spark over the labelled sample. Labels say only
 toxic or not; the ordered grades to learn are 0 for a clean text and, for a toxic one, 1 to 3 by how many of the
 chosen features it holds (cuts GRADES). One weight vector is shared by all ordered thresholds:
-P(grade > k) = sigmoid(w.x - threshold k). A text's severity is the expected grade, and it is toxic where
-P(grade > 0) is at least one half.
+P(grade > k) = sigmoid(w.x - threshold k). A text's severity is the expected grade, and it is toxic where P(grade > 0) is at least a level, which is set
+where the rates of both errors on the labelled sample add up to least.
 
 The sample is bounded: at most CLEAN clean and TOXIC toxic labelled documents, the first by a hash of doc_id.
 Everything else covers all documents and whole texts.
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .shared import documents_of, small_batches, stage
 
 CLEAN, TOXIC = 12_000, 6_000
-#: Features at most, their least z-score and least count; chosen features in a text from which grades 2 and 3 begin.
-FEATURES, LEAST_Z, LEAST_COUNT, GRADES = 4096, 5.0, 4, (3, 7)
+#: Features at most, their least z-score, count, and rate among toxic texts over that among clean ones; chosen features in a
+#: text from which grades 2 and 3 begin.
+FEATURES, LEAST_Z, LEAST_COUNT, LEAST_RATIO, GRADES = 4096, 5.0, 8, 25.0, (4, 10)
 WORD = re.compile(r"\w+")
 
 
@@ -55,11 +56,12 @@ def chosen(rows: DataFrame, clean: int, toxic: int) -> list[str]:
     counts = rows.mapInArrow(run, "feature string, toxic int").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
     p = F.col("n") / n
     z = (F.col("t") / toxic - (F.col("n") - F.col("t")) / clean) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / clean) + 1e-12)
-    best = counts.where(F.col("n") >= LEAST_COUNT).withColumn("z", z).where(F.col("z") >= LEAST_Z)
+    ratio = ((F.col("t") + 0.5) / toxic) / ((F.col("n") - F.col("t") + 0.5) / clean)
+    best = counts.where((F.col("n") >= LEAST_COUNT) & (ratio >= LEAST_RATIO)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
     return [r[0] for r in best.orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()]
 
 
-def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_features: int, levels: int = 4, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_features: int, levels: int = 4, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the proportional-odds model, by Adam on the whole (sparse, 0/1) sample."""
     n, k = len(grade), levels - 1
     p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(k - 1)])  # weights, first threshold, log gaps
@@ -80,8 +82,17 @@ def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_features: int,
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> tuple[dict[str, float], list[float]] | None:
-    """(weight of each feature, thresholds), or None without both kinds of label."""
+def level(eta: np.ndarray, toxic: np.ndarray) -> float:
+    """The cut of eta with the least sum of both error rates, midway between the scores on its two sides; toxic is at or above it."""
+    scores = np.unique(eta)
+    cuts = np.concatenate([[scores[0] - 1], (scores[1:] + scores[:-1]) / 2, [scores[-1] + 1]])
+    missed = np.searchsorted(np.sort(eta[toxic]), cuts) / max(toxic.sum(), 1)
+    wrong = 1 - np.searchsorted(np.sort(eta[~toxic]), cuts) / max((~toxic).sum(), 1)
+    return float(cuts[(missed + wrong).argmin()])
+
+
+def train(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> tuple[dict[str, float], list[float], float] | None:
+    """(weight of each feature, thresholds, least P(grade > 0) of a toxic text), or None without both kinds of label."""
     small_batches(docs.sparkSession)
     rows = stage(sample(docs, labels, clean, toxic), "labelled")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
@@ -97,8 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = T
     got = sorted(map(tuple, rows.mapInArrow(run, "doc_id long, toxic int, held array<int>").collect()))
     sizes = np.array([len(h) for _, _, h in got])
     grade = np.where([t == 0 for _, t, _ in got], 0, 1 + np.searchsorted(GRADES, sizes, "right"))
-    w, cut = fit(np.repeat(np.arange(len(got)), sizes), np.array([i for *_, h in got for i in h], dtype=np.int64), grade, len(names))
-    return dict(zip(names, w.tolist(), strict=True)), cut.tolist()
+    row, column = np.repeat(np.arange(len(got)), sizes), np.array([i for *_, h in got for i in h], dtype=np.int64)
+    w, cut = fit(row, column, grade, len(names))
+    at_least = level(np.bincount(row, w[column], len(got)), grade > 0)
+    return dict(zip(names, w.tolist(), strict=True)), cut.tolist(), float(1 / (1 + np.exp(cut[0] - at_least)))
 
 
 def scored(text: str, weights: dict[str, float], cut: np.ndarray) -> np.ndarray:
@@ -112,11 +125,11 @@ def severities(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     model = train(docs, labels, **how)
 
     def run(batches):
-        weights, cut = model[0], np.array(model[1])
+        weights, cut, least = model[0], np.array(model[1]), model[2]
         for b in batches:
             p = np.array([scored(t, weights, cut) for t in b.column("text").to_pylist()]).reshape(-1, len(cut))
             each = np.hstack([1 - p[:, :1], p[:, :-1] - p[:, 1:], p[:, -1:]])
-            yield pa.record_batch([b.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)], ["doc_id", "severity", "grade", "toxic"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= least)], ["doc_id", "severity", "grade", "toxic"])
 
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic"))
@@ -132,8 +145,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        weights, cut = model[0], np.array(model[1])
+        weights, cut, least = model[0], np.array(model[1]), model[2]
         for b in batches:
-            yield b.filter(pa.array([scored(t or "", weights, cut)[0] < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([scored(t or "", weights, cut)[0] < least for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
