@@ -58,13 +58,13 @@ def panel_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a panel: parts are cells, customers panelists, quantities prices."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("observation_id"), F.col("o_custkey").alias("panelist_id"), F.col("l_partkey").alias("cell_key"), F.col("l_partkey").alias("sku"),
-        F.col("o_orderdate").alias("observed_at"), F.col("o_orderdate").alias("received_at"), F.col("l_quantity").cast("long").alias("price_minor"), F.col("l_shipmode" if "l_shipmode" in li.columns else "l_returnflag").alias("title"), F.lit("USD").alias("currency"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + F.col("l_quantity").cast("long")).alias("observation_id"), F.col("o_custkey").alias("panelist_id"), F.col("l_partkey").alias("cell_key"), F.col("l_partkey").alias("sku"),
+        F.col("o_orderdate").alias("observed_at"), F.col("o_orderdate").alias("received_at"), F.col("l_quantity").cast("long").alias("price_minor"), F.col("l_returnflag").alias("title"), F.lit("USD").alias("currency"),
     )
 
 
 ORDERS = """
-po AS (SELECT l_orderkey * 8 + l_linenumber AS observation_id, o_custkey AS panelist_id, l_partkey AS cell_key, l_partkey AS sku, o_orderdate AS observed_at,
+po AS (SELECT (l_orderkey * 8 + l_linenumber) * 64 + CAST(l_quantity AS BIGINT) AS observation_id, o_custkey AS panelist_id, l_partkey AS cell_key, l_partkey AS sku, o_orderdate AS observed_at,
        o_orderdate AS received_at, CAST(l_quantity AS BIGINT) AS price_minor, l_returnflag AS title, 'USD' AS currency FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """
 
