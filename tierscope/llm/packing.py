@@ -190,8 +190,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     solution = fractional(sizes, counts.astype(float), capacity, rounds).items()
     orders = (lambda u: (free(u[0]), -u[1], u[0]), lambda u: (free(u[0]), -u[0][-1][0], sum(c for _, c in u[0]), -u[1], u[0]))
     plans = (rounded(sorted(solution, key=order), sizes, counts, capacity, w) for order in orders for w in WASTES)
-    best = min(plans, key=lambda p: sum(many for many, _ in p))
-    return [(many, {int(sizes[k]): copies for k, copies in used.items()}) for many, used in best]
+    bound, best = -(-int((sizes * counts).sum()) // capacity), None
+    for p in plans:
+        n = sum(many for many, _ in p)
+        if best is None or n < best[0]:
+            best = (n, p)
+        if n <= bound + bound // 1000:  # within a thousandth of what no plan can go below
+            break
+    return [(many, {int(sizes[k]): copies for k, copies in used.items()}) for many, used in best[1]]
 
 
 def blocks(configurations: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
