@@ -49,11 +49,10 @@ def detect_shift(obs: DataFrame, key: tuple[str, ...] = ("cell_key",), size: int
     return told.select(*key, F.col("alarm").isNotNull().alias("shifted"), F.get("b", F.col("alarm"))["at"].alias("at"), "inconclusive")
 
 
-def first_resolution(votes: DataFrame, settings: DataFrame, key: tuple[str, ...] = ("cell_key",)) -> DataFrame:
-    """For each cell and setting(factor, sightings): the first prefix of votes in time order that resolves, or no row.
+def first_resolution(votes: DataFrame, settings: list[tuple[float, int]], key: tuple[str, ...] = ("cell_key",)) -> DataFrame:
+    """For each cell and setting (factor, sightings): the first prefix of votes in time order that resolves, or no row.
 
-    Distinct prices so far and the k-th needed count come from windows; the rarest count so far from a fold over the prices of
-    the cell, which a resolvable cell has few of."""
+    A fold over the prices of the cell in order, with a count for each price."""
     order = Window.partitionBy(*key).orderBy("observed_at", "observation_id")
     laid = votes.select(*key, "price_minor", F.row_number().over(order).alias("at"))
     arrays = laid.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "price_minor"))), lambda x: x["price_minor"]).alias("prices"))
@@ -67,24 +66,24 @@ def first_resolution(votes: DataFrame, settings: DataFrame, key: tuple[str, ...]
         hit = s["at"].isNull() & ok
         return F.struct(n.alias("n"), counts.alias("counts"), F.when(hit, n).otherwise(s["at"]).alias("at"), F.when(hit, k).otherwise(s["k"]).alias("k"), F.when(hit, F.array_min(F.map_keys(counts))).otherwise(s["low"]).alias("low"))
 
-    both = arrays.crossJoin(F.broadcast(settings))  # settings: a fixed handful of rows
+    each = F.explode(F.array(*(F.struct(F.lit(float(f)).alias("factor"), F.lit(m).alias("sightings")) for f, m in settings)))
+    both = arrays.withColumn("s", each).select(*key, "prices", "s.*")
     folded = both.withColumn("r", F.aggregate("prices", empty, step))
     return folded.where("r.at is not null").select(*key, "factor", "sightings", F.col("r.at").alias("at"), F.col("r.k").alias("k"), F.col("r.low").alias("floor_minor"))
 
 
-def sweep_settings(spark) -> DataFrame:
-    rows = [(f, MIN_SIGHTINGS) for f in FACTORS] + [(SAFETY_FACTOR, m) for m in SIGHTINGS if m != MIN_SIGHTINGS]
-    return spark.createDataFrame(rows, "factor double, sightings int")
+#: The sweep: every factor at the usual sightings, every number of sightings at the usual factor.
+SWEEP = [(f, MIN_SIGHTINGS) for f in FACTORS] + [(SAFETY_FACTOR, m) for m in SIGHTINGS if m != MIN_SIGHTINGS]
 
 
-def reconcile(resolutions: DataFrame, votes: DataFrame, settings: DataFrame) -> DataFrame:
+def reconcile(resolutions: DataFrame, votes: DataFrame, settings: list[tuple[float, int]] = SWEEP) -> DataFrame:
     """Per setting: cells that resolve, those that resolved with tiers or the floor still missing, median votes needed."""
     final = resolutions.where("status = 'RESOLVED'").select("cell_key", F.col("k").alias("k_final"), F.col("floor_minor").alias("floor_final"))
     first = first_resolution(votes.join(final.select("cell_key"), "cell_key", "left_semi"), settings).join(final, "cell_key")
     told = first.groupBy("factor", "sightings").agg(
         F.count(F.lit(1)).alias("resolved"), F.count_if(F.col("k") < F.col("k_final")).alias("premature_tiers"), F.count_if(F.col("floor_minor") > F.col("floor_final")).alias("premature_floor"), F.median("at").alias("median_votes"),
     )
-    all_ = settings.join(told, ["factor", "sightings"], "left")
+    all_ = votes.sparkSession.createDataFrame(settings, "factor double, sightings int").join(told, ["factor", "sightings"], "left")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return all_.select("factor", "sightings", n("resolved"), n("premature_tiers"), n("premature_floor"), F.try_divide("premature_tiers", "resolved").alias("premature_tier_rate"), F.try_divide("premature_floor", "resolved").alias("premature_floor_rate"), "median_votes")
 

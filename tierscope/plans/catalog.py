@@ -502,14 +502,13 @@ def detect_shift(spark, d):
 
 @query
 def first_resolution(spark, d):
-    f = series.first_resolution(votes(spark, d), series.sweep_settings(spark))
-    return f
+    return series.first_resolution(votes(spark, d), series.SWEEP)
 
 
 @query
 def reconcile_sweep(spark, d):
     v = votes(spark, d)
-    r = series.reconcile(resolve.resolve(v), v, series.sweep_settings(spark))
+    r = series.reconcile(resolve.resolve(v), v)
     return r.select(*[six(c).alias(c) if c.endswith("rate") else c for c in r.columns])
 
 
@@ -527,7 +526,7 @@ def twice_seen(spark, d):
 def decide(spark, d):
     r = resolved(spark, d).agg(F.count_if(F.col("status") == "RESOLVED").alias("resolved"), F.count_if((F.col("status") == "RESOLVED") & (F.col("k") > 1)).alias("multi_tier"))
     p = probes.rates(_pairs(spark, d, 2880, 5)).agg(F.sum("comparable").alias("checks"), F.sum(F.col("more") + F.col("less")).alias("differences"))
-    both = r.join(F.broadcast(p), F.lit(True))  # one row each
+    both = r.withColumn("one", F.lit(1)).join(p.withColumn("one", F.lit(1)), "one").drop("one")
     return both.select("*", panel.decide(F.col("resolved"), F.col("multi_tier"), F.col("checks"), F.col("differences")).alias("verdict"))
 
 
