@@ -81,6 +81,13 @@ def test_exact_dedup(spark):
     assert kept.columns[:2] == ["doc_id", "text"] and "sha" in kept.columns and {r.text or "" for r in kept.collect()} == set(groups)
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup_keeps_one_row_of_each_text(spark, keep):
+    rows = [(5, "x"), (9, "x"), (5, "y"), (7, "z"), (7, "z"), (7, "z"), (None, "n"), (None, "n"), (None, "y"), (None, "x"), (3, None), (3, "")]
+    got = sorted((str(r.doc_id), r.text or "") for r in exact_dedup.keep_one(docs_of(spark, rows).repartition(3), keep=keep).collect())
+    assert got == sorted([("9" if keep == "max" else "5", "x"), ("5", "y"), ("7", "z"), ("None", "n"), ("3", "")])
+
+
 def linked_components(n, linked):
     parent = list(range(n))
 
