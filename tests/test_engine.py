@@ -215,3 +215,21 @@ def test_purge_keeps_the_cutoff(spark):
     at = dt.datetime(2026, 1, 1)
     df = spark.createDataFrame([(at,), (at - dt.timedelta(microseconds=1),)], "received_at timestamp_ntz")
     assert ingest.purged(df, F.lit("2026-04-01 00:00:00").cast("timestamp_ntz")).count() == 1
+
+
+def test_pii_violations_all_has_every_rule(spark, tmp_path):
+    import re
+
+    import __spark_entry__
+    from tierscope.operators import scrub
+
+    texts = ["Hi Bob Smith, write to a@b.org or c.d@e.net", "12 Oak Tree Street 80202 and 80202-1234", "call 303-555-1234 or (303) 555-1234, not 303-555.1234", "Hello Ann\nat 9 N. Elm Ave. 7", "nothing", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in enumerate(texts):
+        for rule, p in scrub.RULES.items():
+            if found := [m[0] for m in re.finditer(p, t, re.ASCII)]:
+                want.append((i, rule, found[0], len(found)))
+    got = __spark_entry__.queries()["pii_violations_all"](spark, str(tmp_path)).select("doc_id", "rule", "first", "hits")
+    assert {rule for _, rule, *_ in want} == set(scrub.RULES)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
