@@ -233,3 +233,14 @@ def test_pii_violations_all_has_every_rule(spark, tmp_path):
     got = __spark_entry__.queries()["pii_violations_all"](spark, str(tmp_path)).select("doc_id", "rule", "first", "hits")
     assert {rule for _, rule, *_ in want} == set(scrub.RULES)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_whole_rate_queries_meet_every_row(spark):
+    import __spark_entry__
+
+    data = "/root/testdata/sf0.01"
+    q = __spark_entry__.queries()
+    rows = q["rate_demands_whole"](spark, data).collect()
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    assert sum(r.demand for r in rows if r.key.startswith("panelist:")) == n > 1000
+    assert sum(r.pairs for r in q["same_store_counts"](spark, data).collect()) > q["same_store"](spark, data).count()

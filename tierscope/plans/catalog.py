@@ -177,6 +177,17 @@ def same_store(spark, d):
     return a.join(b, (F.col("anon.panelist_id") == F.col("mine.panelist_id")) & (F.col("anon.sku") == F.col("mine.sku"))).select(F.col("anon.observation_id").alias("a"), F.col("mine.observation_id").alias("m"), probes.same_store().alias("same"))
 
 
+@query
+def same_store_counts(spark, d):
+    """All pairs of a logged-out and a logged-in row of a panelist and product, counted by verdict: both sides shrink before they meet."""
+    own = ["panelist_id", "sku", "retailer", "store_id", "store_label"]
+    o = obs(spark, d).withColumn("store_id", F.when(F.col("observation_id") % 5 == 0, F.lit("s1")))
+    a, b = (o.where(F.col("session_state") == s).groupBy(*own).agg(F.count(F.lit(1)).alias("n")).alias(x) for s, x in (("logged_out", "anon"), ("logged_in", "mine")))
+    met = a.join(b, (F.col("anon.panelist_id") == F.col("mine.panelist_id")) & (F.col("anon.sku") == F.col("mine.sku")))
+    told = met.select("anon.panelist_id", "anon.sku", probes.same_store().alias("same"), (F.col("anon.n") * F.col("mine.n")).alias("pairs"))
+    return told.groupBy("panelist_id", "sku", "same").agg(F.sum("pairs").alias("pairs"))
+
+
 @query
 def coupon_required(spark, d):
     return spark.range(1, 21).select(F.col("id").cast("int").alias("k")).select("k", six(coupon.harmonic(F.col("k"))).alias("harmonic"), six(coupon.expected_uniform(F.col("k"))).alias("expected"), coupon.required(F.col("k")).alias("required"))
@@ -370,6 +381,32 @@ def rate_over_limit(spark, d):
     return ingest.over_limit(asked, have, 16).select("key", "demand", "count")
 
 
+def _asked(spark, d):
+    """All rows: logged-out ones ask, the others are stored."""
+    o, out = obs(spark, d), F.col("session_state") == "logged_out"
+    return o.where(out), o.where(~out)
+
+
+@query
+def rate_counts_left_whole(spark, d):
+    asked, stored = _asked(spark, d)
+    hours = asked.select("panelist_id", F.date_trunc("hour", F.col("received_at")).alias("window_start")).distinct()
+    return ingest.counts_for(hours, ingest.rate_windows(stored), ["panelist_id", "window_start"])
+
+
+@query
+def rate_demands_whole(spark, d):
+    return ingest.demands(obs(spark, d).withColumn("token", F.when(F.col("panelist_id") % 2 == 0, "abc")), keys.rate_token_key("token"))
+
+
+@query
+def rate_over_limit_whole(spark, d):
+    key = F.concat(F.lit("panelist:"), F.col("panelist_id").cast("string")).alias("key")
+    asked, stored = _asked(spark, d)
+    have = stored.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    return ingest.over_limit(asked.groupBy(key).agg(F.count(F.lit(1)).alias("demand")), have, 16).select("key", "demand", "count")
+
+
 @query
 def rate_add(spark, d):
     w = ingest.rate_windows(obs(spark, d)).withColumnRenamed("panelist_id", "key")

@@ -202,6 +202,15 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'panelist:' || panelist_id, count(*) FROM o WHERE observation_id < 1000 GROUP BY panelist_id""",
     "rate_over_limit": f"""{O}, a AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS demand FROM o WHERE observation_id < 1000 GROUP BY ALL), b AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS c FROM o WHERE observation_id BETWEEN 1000 AND 1999 GROUP BY ALL)
         SELECT key, demand, coalesce(c, 0) AS count FROM a LEFT JOIN b USING (key) WHERE demand + coalesce(c, 0) > 16""",
+    "same_store_counts": f"""{O}, s AS (SELECT observation_id, panelist_id, sku, retailer, session_state, CASE WHEN observation_id % 5 = 0 THEN 's1' END AS store_id, store_label FROM o)
+        SELECT a.panelist_id, a.sku, CASE WHEN a.store_id IS NOT NULL AND m.store_id IS NOT NULL THEN a.store_id = m.store_id WHEN a.retailer <> 'instacart' AND a.store_label IS NOT NULL AND m.store_label IS NOT NULL THEN a.store_label = m.store_label END AS same, count(*) AS pairs
+        FROM s a JOIN s m ON a.panelist_id = m.panelist_id AND a.sku = m.sku WHERE a.session_state = 'logged_out' AND m.session_state = 'logged_in' GROUP BY ALL""",
+    "rate_counts_left_whole": f"""{O}, a AS (SELECT DISTINCT panelist_id, date_trunc('hour', received_at) AS window_start FROM o WHERE session_state = 'logged_out'), b AS (SELECT panelist_id, date_trunc('hour', received_at) AS window_start, count(*) AS c FROM o WHERE session_state <> 'logged_out' GROUP BY ALL)
+        SELECT panelist_id, window_start, coalesce(c, 0) AS count FROM a LEFT JOIN b USING (panelist_id, window_start)""",
+    "rate_demands_whole": f"""{O} SELECT CASE WHEN panelist_id % 2 = 0 THEN 'token:' || substr(sha256('abc'), 1, 16) ELSE 'token:open' END AS key, count(*) AS demand FROM o GROUP BY ALL
+        UNION ALL SELECT 'panelist:' || panelist_id, count(*) FROM o GROUP BY panelist_id""",
+    "rate_over_limit_whole": f"""{O}, a AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS demand FROM o WHERE session_state = 'logged_out' GROUP BY ALL), b AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS c FROM o WHERE session_state <> 'logged_out' GROUP BY ALL)
+        SELECT key, demand, coalesce(c, 0) AS count FROM a LEFT JOIN b USING (key) WHERE demand + coalesce(c, 0) > 16""",
     "rate_add": f"{O} SELECT panelist_id AS key, date_trunc('hour', received_at) AS window_start, count(*) * CASE WHEN panelist_id % 2 = 0 THEN 2 ELSE 1 END AS count FROM o GROUP BY panelist_id, date_trunc('hour', received_at)",
     "probe_pairs_asof": f"WITH {OBS}, {pairs(60, 5)} SELECT * FROM pairs",
     "probe_pairs_two_days": f"WITH {OBS}, {pairs(2880, 5)} SELECT * FROM pairs",
