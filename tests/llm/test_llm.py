@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tierscope.llm import bpe, components, exact_dedup, html_text, language_model, neighbours, packing, shared, simhash, suffix_dedup, toxicity, warc
+from tierscope.llm import bpe, components, exact_dedup, html_text, language_model, near_copies, neighbours, packing, shared, simhash, suffix_dedup, toxicity, warc
 from tierscope.llm.automaton import Automaton
 
 DOCS = "doc_id long, text string"
@@ -145,6 +145,43 @@ def test_simhash_cuts_large_buckets(spark):
     assert linked_components(len(f), zip(x, y, strict=True)) == want
 
 
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = [words(rng, n, "abcdefghij").split() for n in (1, 4, 5, 9, 40, 40, 100, 100, 300)]
+    common = words(rng, 60).split()
+    rows = [(None, "not in any other text at all"), (1, ""), (2, None), (3, " \n")]
+    for i in range(240):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        if i % 5 == 0:
+            w = (common + w)[: rng.randint(60, 80)]
+        rows.append((1000 - i, " ".join(w).upper() if i % 7 == 0 else " ".join(w)))
+    rows = list({t or "": (i, t) for i, t in rows}.values())
+
+    def brute(text):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
+
+    s = [brute(t) for _, t in rows]
+    comp = linked_components(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])])
+    groups = collections.defaultdict(list)
+    for (i, _), c in zip(rows, comp, strict=True):
+        groups[c].append(i)
+    want = sorted(str(min((i for i in g if i is not None), default=None)) for g in groups.values())
+    assert 20 < len(groups) < len(rows) - 60
+    for batch in ("1000", "3"):  # buckets that go on in the next batch
+        monkeypatch.setattr(near_copies, "PAIRS", int(batch))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = corpus_pipeline.without_near_copies(spark, docs_of(spark, rows), "")
+        assert got.columns[:2] == ["doc_id", "text"] and "fp" in got.columns
+        assert sorted(str(r.doc_id) for r in got.collect()) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert corpus_pipeline.without_near_copies(spark, docs_of(spark, []), "").count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = spark.range(1, 300).selectExpr("id - 1 a", "id b").union(spark.range(1001, 1300).selectExpr("1000L a", "id b"))
     got = components.components(edges).toPandas()
