@@ -238,18 +238,55 @@ def test_packing(spark):
     assert sum(map(len, flat.ids)) == got.length.sum()
 
 
-def test_packing_plan_near_the_bound():
-    rng = np.random.default_rng(1)
-    for sizes in (rng.integers(1, 4097, 3000), rng.integers(1300, 1500, 2000), np.full(1000, 2049), rng.choice([1366, 1365, 4096, 1], 900)):
-        h = dict(collections.Counter(sizes.tolist()))
-        made, covered = packing.plan(h), collections.Counter()
-        for n, used in made:
-            assert sum(k * c for k, c in used.items()) <= 4096
-            covered.update({k: n * c for k, c in used.items()})
-        assert covered == h
-        big = np.array(sorted(h))
-        plain = packing.best_fit(big, np.array([h[k] for k in big.tolist()]), 4096)
-        assert sum(n for n, _ in made) <= 1.01 * sum(n for n, _ in plain) + 1
+HISTOGRAMS = {
+    "uniform": lambda rng: rng.integers(1, 4097, 20_000),
+    "log-normal": lambda rng: np.clip(np.exp(rng.normal(6, 1, 200_000)), 1, 4096).astype(int),
+    "mid": lambda rng: rng.integers(1300, 1500, 2000),
+    "third": lambda rng: rng.choice([1366, 1365, 4096, 1], 900),
+    "half": lambda rng: np.full(1000, 2049),
+    "few": lambda rng: rng.choice([1500, 1300, 700, 2100, 900], 30_000),
+    "one": lambda rng: np.array([4096]),
+}
+
+
+@pytest.mark.parametrize("name", HISTOGRAMS)
+def test_packing_plan_near_the_bound(name):
+    h = dict(collections.Counter(HISTOGRAMS[name](np.random.default_rng(1)).tolist()))
+    (made, bound), covered = packing.solved(h), collections.Counter()
+    for n, used in made:
+        assert sum(k * c for k, c in used.items()) <= 4096
+        covered.update({k: n * c for k, c in used.items()})
+    assert covered == h
+    big = np.array(sorted(h))
+    plain = sum(n for n, _ in packing.best_fit(big, np.array([h[k] for k in big.tolist()]), 4096))
+    n = sum(n for n, _ in made)
+    assert bound <= n + 1e-6 and n <= plain and n <= 1.015 * bound + 1
+    if name in ("mid", "few"):  # where best fit is far off
+        assert n <= 0.96 * plain
+
+
+def test_packing_bound_against_all_configurations():
+    """Small cases: the bound is below, and the plan at or near, the least number of sequences by exhaustive search."""
+    rng = random.Random(5)
+    for _ in range(20):
+        sizes = [rng.randint(2, 12) for _ in range(rng.randint(1, 9))]
+        least = len(sizes)
+
+        def search(i, bins, sizes=sizes):
+            nonlocal least
+            if len(bins) >= least:
+                return
+            if i == len(sizes):
+                least = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + sizes[i] <= 12:
+                    search(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+            search(i + 1, [*bins, sizes[i]])
+
+        search(0, [])
+        made, bound = packing.solved(dict(collections.Counter(sizes)), 12)
+        assert math.ceil(bound - 1e-6) <= least <= sum(n for n, _ in made) <= least + 1
 
 
 def test_bpe(spark):

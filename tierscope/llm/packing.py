@@ -2,13 +2,13 @@
 
 Documents are tokenised and cut in pieces of at most `capacity` tokens. The histogram of piece lengths
 (at most `capacity` numbers, whatever the corpus) goes to the driver, where the configuration linear
-program over it is solved by multiplicative weights: every round prices the lengths, a knapsack dynamic
-program finds for each length the most valuable configuration (multiset of lengths that fit in one
-sequence) that holds it, configurations are raised until the round's share of each length is covered,
-and prices grow where cover lags and fall where it leads. The fractional solution is rounded to whole
-sequences, largest first, as far as there are pieces; what is left over is put by best fit, on the
-histogram too. The plan has one block of places for each length of a configuration, so its size
-depends on capacity and rounds alone; each piece finds its place from its rank among those of its length.
+program over it is solved by multiplicative weights (see Program): each configuration (multiset of lengths that fit
+in one sequence) is weighted by what its pieces are worth, prices of lengths are multiplied by how far they are
+covered, and a knapsack dynamic program prices: it finds for each length the most valuable configuration that holds it,
+and a dual bound. The fractional solution is rounded to whole sequences in several orders, what is left over is put by
+best fit, and the least plan is kept; it is never worse than best fit alone. All rounds run at every size, unless a plan
+meets the dual bound. The plan has one block of places for each length of a configuration, so its size depends on capacity
+and rounds alone; each piece finds its place from its rank among those of its length.
 
 Ranks are counted in salted groups with offsets, so a length that most pieces share is not one task.
 
@@ -18,6 +18,7 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -30,10 +31,14 @@ from .bpe import SPACE
 from .shared import documents_of, small_batches, stage, vocabulary_path
 
 CAPACITY, END = 4096, 1
-#: Rounds of multiplicative weights, and how fast prices move.
-ROUNDS, RATE = 12, 0.5
+#: Width of the weights in each round of multiplicative weights (a knapsack program prices the lengths after each), the steps in
+#: a round, and the gap between the fractional solution and the dual bound at which a solution is rounded at once.
+ROUNDS, STEPS, GAP = (0.1, 0.1, 0.05, 0.05, 0.02, 0.02, 0.02, 0.01, 0.01, 0.005, 0.005, 0.0025), 160, 0.0002
 #: Words a worker remembers, and pieces ranked in one group.
-MOST_WORDS, GROUP = 900_000, 50_000
+MOST_WORDS, GROUP = 900_000, 2000
+
+Config = tuple[tuple[int, int], ...]  # (place of a length, copies), ...
+Plan = tuple[int, dict[int, int]]  # sequences alike, place of a length (or the length) to copies
 
 
 class WordIds(dict):
@@ -110,36 +115,76 @@ def priced(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.nda
     return best, take
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations ((size index, copies), ...) and how often each is used, covering counts."""
-    weight, lag, x = np.ones(len(sizes)), np.zeros(len(sizes)), {}
-    for _ in range(rounds):
-        need = counts / rounds + lag
-        _, take = priced(sizes, weight * sizes / capacity, capacity)
-        for j in range(len(sizes) - 1, -1, -1):
-            if need[j] <= 1e-9:
-                continue
-            used, space = {j: 1}, capacity - sizes[j]
-            while space > 0:
-                if (k := take[space]) < 0:
-                    space -= 1
-                else:
-                    used[k] = used.get(k, 0) + 1
-                    space -= sizes[k]
-            amount = need[j] / used[j]
-            key = tuple(sorted(used.items()))
-            x[key] = x.get(key, 0) + amount
-            for k, copies in used.items():
-                need[k] -= amount * copies
-        lag = need
-        weight = weight * np.exp(np.clip(RATE * rounds * lag / counts, -1, 1))
-    return x
-
-
-def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+def configurations(sizes: np.ndarray, values: np.ndarray, capacity: int, least: float) -> tuple[float, list[Config]]:
+    """The best value of any configuration, and for each length the most valuable one that holds it, where it is worth `least`."""
+    best, take = priced(sizes, values, capacity)
+    found = []
+    for j in np.flatnonzero(values + best[capacity - sizes] >= least).tolist():
+        used, space = {j: 1}, capacity - int(sizes[j])
+        while space > 0:
+            if (k := int(take[space])) < 0:
+                space -= 1
+            else:
+                used[k] = used.get(k, 0) + 1
+                space -= int(sizes[k])
+        found.append(tuple(sorted(used.items())))
+    return float(best[capacity]), found
+
+
+class Program:
+    """The configuration program of a histogram: min sum(x) where the configurations, x times each, cover the counts.
+
+    y prices the lengths; a configuration's weight is x = exp((its value - 1) / mu), so it is used where its pieces are worth
+    a sequence. Prices are multiplied up where a length is covered too little, down where too much. A dual bound comes from
+    any prices: what all pieces are worth, over the worth of the best configuration, by the knapsack program."""
+
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray, capacity: int, first: list[Config]):
+        self.sizes, self.counts, self.capacity = sizes, counts.astype(float), capacity
+        self.alike = [((j, capacity // s),) for j, s in enumerate(sizes.tolist())]  # these bound every price
+        self.pool = dict.fromkeys([*self.alike, *first])
+        self.y = sizes / capacity
+        self.bound = float(self.counts @ sizes) / capacity
+        self.price(0.0)
+
+    def price(self, least: float) -> int:
+        """Adds the configurations that are worth `least` at the prices as they are; how many are new."""
+        most, found = configurations(self.sizes, self.y, self.capacity, least)
+        self.bound = max(self.bound, float(self.counts @ self.y) / most)
+        before = len(self.pool)
+        self.pool.update(dict.fromkeys(found))
+        self.keys = list(self.pool)
+        self.column = np.repeat(np.arange(len(self.keys)), [len(k) for k in self.keys])
+        self.row, copies = np.array([pair for k in self.keys for pair in k], np.int64).T
+        self.copies = copies.astype(float)
+        return len(self.pool) - before
+
+    def settle(self, mu: float, steps: int) -> None:
+        """Steps of multiplicative weights; x and y are means over the later half."""
+        x, y = np.zeros(len(self.keys)), np.zeros(len(self.sizes))
+        for step in range(steps):
+            value = np.bincount(self.column, self.copies * self.y[self.row], len(self.keys))
+            now = np.exp(np.minimum((value - 1) / mu, 30))
+            cover = np.bincount(self.row, self.copies * now[self.column], len(self.sizes))
+            self.y = self.y * np.exp(mu / 4 * np.clip(1 - cover / self.counts, -1, 1))
+            if 2 * step >= steps:
+                x += now
+                y += self.y
+        self.x, self.y = x / (steps - steps // 2), y / (steps - steps // 2)
+
+    def total(self) -> float:
+        """Sequences of the fractional solution, with the volume of what it leaves uncovered."""
+        cover = np.bincount(self.row, self.copies * self.x[self.column], len(self.sizes))
+        return float(self.x.sum() + np.maximum(self.counts - cover, 0) @ self.sizes / self.capacity)
+
+    def prune(self) -> None:
+        """Leaves out configurations that are hardly used (pricing finds them again if they come to be worth it)."""
+        self.pool = dict.fromkeys([*self.alike, *(k for k, x in zip(self.keys, self.x.tolist(), strict=True) if x > 1e-4)])
+
+
+def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[Plan]:
     """Best fit of the left pieces, largest first, in bulk: (sequences alike, size index to copies)."""
     bins: dict[int, list[list]] = {}  # by free space: [how many, used]
-    done: list[tuple[int, dict[int, int]]] = []
+    done: list[Plan] = []
     for j in range(len(sizes) - 1, -1, -1):
         size, n = int(sizes[j]), int(left[j])
         for free in sorted(k for k in bins if k >= size) if n else ():
@@ -162,48 +207,53 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[i
     return done
 
 
-def rounded(configurations: list[tuple[tuple, float]], sizes: np.ndarray, counts: np.ndarray, capacity: int, waste: int) -> list[tuple[int, dict[int, int]]]:
-    """Whole sequences of the configurations that leave at most `waste` free, the fullest first, and the rest by best fit."""
-    left, out = counts.copy(), []
-    for used, amount in configurations:
-        if capacity - sum(int(sizes[k]) * copies for k, copies in used) > waste:
-            break
-        if many := min(int(np.ceil(amount - 1e-9)), *(int(left[k]) // copies for k, copies in used)):
-            out.append((many, dict(used)))
-            for k, copies in used:
-                left[k] -= many * copies
-    return out + best_fit(sizes, left, capacity)
-
+def rounded(program: Program, order: np.ndarray, up: bool) -> list[Plan]:
+    """Whole sequences of the solution in this order, as far as there are pieces, and the rest by best fit.
 
-#: Free places up to which a configuration is taken when the solution is rounded; the fullest go first, then those used
-#: most or those with the largest piece, and the best of these plans is kept.
-WASTES = (0, 2, 8, 32, 128, CAPACITY)
+    up: amounts are rounded up; else down, and then configurations with the larger half of a fraction once more."""
+    left, out = program.counts.astype(np.int64), []
+    whole = np.ceil(program.x - 1e-6) if up else np.floor(program.x + 1e-6)
+    passes = [(order, whole)] if up else [(order, whole), (order[(program.x - whole)[order] > 0.5], np.ones(len(order)))]
+    for which, amount in passes:
+        for c in which[amount[which] > 0].tolist():
+            if many := min(int(amount[c]), *(int(left[k]) // n for k, n in program.keys[c])):
+                out.append((many, dict(program.keys[c])))
+                for k, n in program.keys[c]:
+                    left[k] -= many * n
+    return out + best_fit(program.sizes, left, program.capacity)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
-    """(number of sequences, length to copies) of every configuration used; covers the histogram exactly."""
+def solved(histogram: dict[int, int], capacity: int = CAPACITY, rounds: tuple[float, ...] = ROUNDS) -> tuple[list[Plan], float]:
+    """(number of sequences, length to copies) of every configuration used, covering the histogram exactly; and a bound that no
+    plan can go below."""
     sizes = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[s] for s in sizes.tolist()], dtype=np.int64)
     if len(sizes) == 0:
-        return []
-    free = lambda used: capacity - sum(int(sizes[k]) * copies for k, copies in used)
-    solution = fractional(sizes, counts.astype(float), capacity, rounds).items()
-    orders = (lambda u: (free(u[0]), -u[1], u[0]), lambda u: (free(u[0]), -u[0][-1][0], sum(c for _, c in u[0]), -u[1], u[0]))
-    plans = (rounded(sorted(solution, key=order), sizes, counts, capacity, w) for order in orders for w in WASTES)
-    bound, best = -(-int((sizes * counts).sum()) // capacity), None
-    for p in plans:
-        n = sum(many for many, _ in p)
-        if best is None or n < best[0]:
-            best = (n, p)
-        if n <= bound + bound // 1000:  # within a thousandth of what no plan can go below
+        return [], 0.0
+    many = lambda p: sum(n for n, _ in p)
+    best = best_fit(sizes, counts, capacity)
+    program = Program(sizes, counts, capacity, [tuple(sorted(used.items())) for _, used in best])
+    for i, mu in enumerate(rounds):
+        program.settle(mu, STEPS)
+        if last := i >= len(rounds) - 2 or program.total() <= (1 + GAP) * program.bound:
+            free = capacity - np.bincount(program.column, program.copies * sizes[program.row], len(program.keys))
+            orders = np.argsort(-program.x, kind="stable"), np.lexsort((-program.x, free))
+            best = min([best, *(rounded(program, o, up) for o in orders for up in (True, False))], key=many)
+        if many(best) <= np.ceil(program.bound - 1e-6) and last:
             break
-    return [(many, {int(sizes[k]): copies for k, copies in used.items()}) for many, used in best[1]]
+        program.prune()
+        program.price(1 - 2 * mu)
+    return [(n, {int(sizes[k]): copies for k, copies in used.items()}) for n, used in best], program.bound
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: tuple[float, ...] = ROUNDS) -> list[Plan]:
+    return solved(histogram, capacity, rounds)[0]
 
 
-def blocks(configurations: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
+def blocks(made: list[Plan]) -> dict[str, np.ndarray]:
     """Places by (length, first rank): sequence of the first one, copies in a sequence, offset of the first copy."""
     rows, used, sequence = [], {}, 0
-    for many, copies_of in configurations:
+    for many, copies_of in made:
         at = 0
         for length, copies in sorted(copies_of.items(), reverse=True):
             rank = used.get(length, 0)
@@ -215,13 +265,13 @@ def blocks(configurations: list[tuple[int, dict[int, int]]]) -> dict[str, np.nda
     return {"key": (table[:, 0] << 40) + table[:, 1], "rank": table[:, 1], "sequence": table[:, 2], "copies": table[:, 3], "offset": table[:, 4]}
 
 
-def place(rows: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+def place(rows: DataFrame, capacity: int = CAPACITY, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
     """rows (with doc_id, piece, length) and sequence_id, offset. rows must read the same each time: a staged table."""
     spark = rows.sparkSession
     histogram = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # capacity rows at most
-    salts = 1 + max(histogram.values(), default=0) // GROUP
+    salts = F.from_json(F.lit(json.dumps([1 + histogram.get(n, 0) // GROUP for n in range(capacity + 1)])), "array<int>")
     where = spark.sparkContext.broadcast(blocks(plan(histogram, capacity, rounds)))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
@@ -242,7 +292,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Da
     return ranked.select(*columns, "rank").mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return place(stage(pieces(docs, capacity, vocabulary), "pieces"), capacity, rounds)
 
