@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tierscope.llm import bpe, components, exact_dedup, html_text, language_model, near_copies, neighbours, packing, shared, simhash, suffix_dedup, toxicity, warc
+from tierscope.llm import bpe, components, exact_dedup, html_text, language_model, log_bilinear, near_copies, neighbours, packing, shared, simhash, suffix_dedup, toxicity, warc
 from tierscope.llm.automaton import Automaton
 
 DOCS = "doc_id long, text string"
@@ -433,24 +433,92 @@ def test_language_model(spark):
     assert np.isfinite(got.score).all() and (got.score < 0).all()
 
 
-def test_language_model_sums_to_one_and_learns():
-    p = language_model.start()
-    one, two, z = language_model.tables(p)
-    s = np.exp(one[3] + two[5] - z[3, 5])
-    assert s.sum() == pytest.approx(1, abs=1e-4)
-    rng = np.random.default_rng(0)
-    w1 = rng.integers(0, 8, 40_000)
-    w = (w1 + 1) % 8
-    noise = np.full(language_model.CLASSES, 1e-6)
-    noise[:8] = 1
-    noise /= noise.sum()
-    p["b"][:] = np.log(noise)
-    square = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-    for _ in range(30):
-        for at in range(0, len(w), 4000):
-            language_model.nce(p, square, w[at : at + 4000], w1[at : at + 4000], np.zeros(4000, int), noise, rng)
-    one, two, z = language_model.tables(p)
-    assert np.exp(one[w1, w] + two[0, w] - z[w1, 0]).mean() > 0.5  # chance: 0.125
+def test_language_model_score_against_brute_force(spark, monkeypatch):
+    """Classes, shares, contexts and normalisation, token by token in plain Python, under fixed parameters."""
+    import xxhash
+
+    lm, lb = language_model, log_bilinear
+    rng, last = np.random.default_rng(3), lm.CLASSES - 1
+    params = {k: (rng.standard_normal(s) / 2).astype(np.float32) for k, s in (("q", (last + 1, lb.SIZE)), ("r", (last + 1, lb.SIZE)), ("c", (3, lb.SIZE)), ("b", (last + 1,)))}
+    monkeypatch.setattr(lm, "train", lambda texts, unigram: params)
+    rows = [*((i, t) for i, t in mixed(9, 40) if i != 1006), (None, "a b"), (4, "A a"), (4, "A a"), (7, "\u2028 x\x1cy Ab" * 9)]
+    got = sorted((-1 if pd.isna(r.doc_id) else int(r.doc_id), round(r.score, 3)) for r in lm.score(docs_of(spark, rows).repartition(3), unit=700, span=900).toPandas().itertuples())
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    texts = [(i, [*re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()), b"END"]) for i, t in rows]
+    count, profile = collections.Counter(), collections.defaultdict(lambda: np.zeros(8))
+    code = lambda w: 0 if w == b"END" else xxhash.xxh64_intdigest(w)
+    sign = lambda w: np.zeros(8) if w == b"END" else np.array([1 if code(w) >> (7 - k) & 1 else -1 for k in range(8)])
+    for i, w in texts:
+        total = sum(map(sign, w))
+        for x in w:
+            if not held(i) and i is not None:
+                count[x] += 1
+                profile[x] = profile[x] + np.rint(127 * total / (np.linalg.norm(total) + 1e-9))
+    n, v = sum(count.values()), len(count)
+    smooth = n + 0.1 * (v + 1)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    top = sorted((w for w in count if w != b"END"), key=lambda w: (-count[w], signed(code(w))))[: lm.MARKERS]
+    unit = lambda x: x / (np.linalg.norm(x) + 1e-9)
+    centre = lb.centroids(np.array([unit(profile[w]) for w in top]), np.sqrt([float(count[w]) for w in top]), lm.GROUPS)
+    own = sorted(top[: lm.OWN], key=code)
+
+    def class_of(w):
+        if w == b"END":
+            return 0
+        if w not in count:
+            return last
+        if w in own:
+            return 1 + own.index(w)
+        near = max(range(len(centre)), key=lambda g: unit(profile[w]) @ centre[g] - centre[g] @ centre[g] / 2)
+        return 1 + lm.OWN + 4 * near + sum(count[w] >= k for k in (2, 8, 64))
+
+    mass = collections.Counter()
+    for w, k in count.items():
+        mass[class_of(w)] += k + 0.1
+    want = []
+    for i, w in texts:
+        c, total = [class_of(x) for x in w], 0.0
+        for t, x in enumerate(w):
+            before = [params["q"][c[t - k] if t >= k else 0].astype(float) for k in (1, 2)]
+            bag = sum((params["q"][c[j]].astype(float) for j in range(max(0, t - 10), t - 2)), np.zeros(lb.SIZE)) / 8
+            h = params["c"][0] * before[0] + params["c"][1] * before[1] + params["c"][2] * bag
+            e = [math.exp(params["r"][k] @ h + params["b"][k]) for k in range(last)]
+            total += math.log10(0.1 / smooth) if x not in count else math.log10(e[c[t]] / sum(e) * (1 - 0.1 / smooth) * (count[x] + 0.1) / mass[c[t]])
+        want.append((-1 if i is None else i, round(total, 3)))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)] and np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-4, atol=5e-3)
+    assert sum(mass.values()) + 0.1 == pytest.approx(smooth)  # with the unknown word, probabilities sum to one
+
+
+def test_language_model_gradient_against_differences():
+    lb, rng = log_bilinear, np.random.default_rng(4)
+    classes, drawn, log_noise = 7, np.array([0, 2, 2, 5]), rng.standard_normal(7)
+    p = {k: rng.standard_normal(s) for k, s in (("q", (classes, lb.SIZE)), ("r", (classes, lb.SIZE)), ("c", (3, lb.SIZE)), ("b", (classes,)))}
+    counts = np.array([1, 2, 3, 30, 1])
+    c, place = rng.integers(0, classes - 1, counts.sum()), language_model.place_of(counts)
+
+    def loss(p):
+        one, two, bag, _, _ = lb.contexts(p, c, place)
+        h = p["c"][0] * one + p["c"][1] * two + p["c"][2] * bag
+        s = (h @ p["r"].T + p["b"] - log_noise).astype(float)
+        return np.log1p(np.exp(-s[np.arange(len(c)), c])).sum() + np.log1p(np.exp(s[:, drawn])).sum()
+
+    g = lb.gradient(p, c, place, drawn, log_noise)
+    for k in p:
+        for at in [tuple(rng.integers(0, s) for s in p[k].shape) for _ in range(25)]:
+            if k == "q" and at[0] == classes - 1:
+                continue
+            up, down = ({**p, k: p[k].copy()} for _ in range(2))
+            up[k][at] += 1e-3
+            down[k][at] -= 1e-3
+            assert g[k][at] == pytest.approx((loss(up) - loss(down)) / 2e-3, rel=2e-2, abs=2e-2)
+
+
+def test_language_model_learns_and_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = (language_model.score(docs.repartition(n), unit=u).toPandas().sort_values("doc_id").reset_index() for n, u in ((1, 1 << 20), (7, 1 << 16)))
+    assert np.abs(a.score - b.score).max() < 0.1 and (a.base_score == b.base_score).mean() > 0.9
+    h = a[a.held_out]
+    assert (h.score.sum() - h.base_score.sum()) / h.n_tokens.sum() > 0.15
 
 
 def test_pipeline_against_plain_stages(spark, data):
