@@ -4,12 +4,16 @@ Writing. Of records with equal payloads the one with the smallest page_id is a r
 without a payload of their own. Records go through Spark's text writer, whose line separator is the two CRLF that end a
 WARC record, as gzip files.
 
-Reading. Files are read whole (they are bounded by `per_file` records) and parsed by Content-Length; payload digests
+Files hold about FILE bytes (records of more than LARGE go to files of FEW); a file is one gzip stream, so offsets and lengths are
+places in the archive as it is when inflated.
+
+Reading. A file is inflated piece by piece and parsed by Content-Length, one record in memory at a time; payload digests
 of responses are computed anew and held against their headers.
 
 Index. Each archive gives a run of captures sorted by URL key and time. Spark deals the runs out by ranges of
-(URL key, time, page), so a range has a piece of every run, and merges the pieces with a k-way loser tree; the
-ranges in order are the capture histories of the whole corpus. A URL key that very many captures share is cut by time.
+(URL key, time, page) with about RANGE captures each, so a range has a piece of every run, and merges the pieces with a
+k-way loser tree; the ranges in order are the capture histories of the whole corpus. A URL key that very many captures
+share is cut by time and page.
 
 Defined cases: a null html is empty, a null url is the empty URL; rows with a null page_id are never what others refer
 to unless all of a payload are; repeated rows are each written and each returned; an empty table gives an empty
@@ -30,11 +34,12 @@ from pyspark.sql import functions as F
 from .shared import stage, stage_path
 
 CRLF = "\r\n"
-PER_FILE = 4000
+#: Records in a file at most, its bytes on average, what is a large record, such records in a file, and captures in a range of the index.
+PER_FILE, FILE, LARGE, FEW, RANGE = 4000, 32 << 20, 4 << 20, 4, 250_000
 #: Fixed value: the letters of base32.
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Captures without a time of their own are a second apart from here, by page_id.
-FIRST = "2024-01-01 00:00:00"
+#: Captures have no time of their own: they are a second apart from here by page_id, over and over within SPAN seconds, so any id has a time.
+FIRST, SPAN = "2024-01-01 00:00:00", 315_360_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -46,22 +51,24 @@ def base32_sha1(payload: Column) -> Column:
 
 def prepared(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
-    when = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST)) + F.coalesce(F.col("page_id"), F.lit(0)))
+    when = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST)) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(SPAN)))
     return pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.sha2(html.cast("binary"), 256).alias("sha"))
 
 
-def revisits(rows: DataFrame) -> DataFrame:
+def payloads(rows: DataFrame) -> DataFrame:
+    return stage(rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("n_bytes")), "payloads")
+
+
+def revisits(ids: DataFrame) -> DataFrame:
     """page_id, sha, refers_to of records whose payload a smaller page has; no join key repeats but for repeated rows."""
-    ids = stage(rows.select("page_id", "sha"), "payloads")
     firsts = ids.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 and refers_to is not null").drop("n")
     later = ids.join(stage(firsts, "firsts"), "sha").where("page_id is null or page_id > refers_to")
     return stage(later.select("page_id", "sha", "refers_to").distinct(), "revisits")
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """value: the text of each record, without the separator that ends it."""
-    rows = prepared(pages)
-    told = revisits(rows).toDF("_page", "_sha", "refers_to")
+def records(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """value: the text of each record, without the separator that ends it; n_bytes: of its payload."""
+    told = revisits(ids).toDF("_page", "_sha", "refers_to")
     rows = rows.join(told, rows["page_id"].eqNullSafe(told["_page"]) & (rows["sha"] == told["_sha"]), "left")
     size = F.octet_length("html").cast("string")
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
@@ -76,11 +83,19 @@ def records(pages: DataFrame) -> DataFrame:
         F.when(revisit, F.concat(F.lit(CRLF + "WARC-Refers-To: "), name("refers_to"), F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         F.lit(CRLF + "Content-Type: application/http; msgtype=response" + CRLF + "Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF),
     ]
-    return rows.select(F.concat(*head, block).alias("value"))
+    return rows.select(F.octet_length("html").alias("n_bytes"), F.concat(*head, block).alias("value"))
 
 
-def write(pages: DataFrame, path: str, per_file: int = PER_FILE) -> str:
-    records(pages).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+def write(pages: DataFrame, path: str, per_file: int = PER_FILE, large: int = LARGE) -> str:
+    rows = prepared(pages)
+    ids = payloads(rows)
+    n, size, most = ids.agg(F.count(F.lit(1)), F.sum("n_bytes"), F.max("n_bytes")).first()
+    made = records(rows, ids)
+    parts = [(made.where(F.col("n_bytes") <= large) if (most or 0) > large else made, max(1, min(per_file, FILE * (n or 1) // ((size or 0) + 1))))]
+    if (most or 0) > large:
+        parts.append((made.where(F.col("n_bytes") > large), FEW))
+    for part, many in parts:
+        part.select("value").write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", many).text(path)
     return path
 
 
@@ -89,17 +104,45 @@ CAPTURE = "urlkey string, captured_at timestamp, page_id long, payload_bytes lon
 NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
 
 
-def parsed(content: bytes):
-    """Headers (lower-case names), HTTP headers, payload, and place of each record of an uncompressed archive."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at) + 4
-        head = {k.lower(): v for k, v in HEADER.findall(content, at, end)}
-        size = int(head[b"content-length"])
-        block = content[end : end + size]
+def inflated(content: bytes, step: int = 1 << 20):
+    """A gzip file's content in pieces."""
+    work, at = zlib.decompressobj(31), 0
+    while at < len(content) or work.unconsumed_tail:
+        data = work.unconsumed_tail or content[at : (at := at + step)]
+        yield work.decompress(data, step)
+        if work.eof:
+            if rest := work.unused_data + content[at:]:
+                yield from inflated(rest, step)
+            return
+    yield work.flush()
+
+
+def parsed(pieces):
+    """Headers (lower-case names), HTTP headers, payload, and place of each record of an archive that comes in pieces."""
+    pieces, held, begin = iter(pieces), bytearray(), 0  # held: what is not parsed yet, from `begin` on
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (cut := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if held.strip():
+                    raise ValueError(f"no record at {begin}")
+                return
+        end = cut + 4
+        head = {k.lower(): v for k, v in HEADER.findall(bytes(held[:end]))}
+        whole = end + int(head[b"content-length"]) + 4
+        while len(held) < whole:
+            if not more():
+                raise ValueError(f"the record at {begin} is cut short")
+        block = bytes(held[end : whole - 4])
         cut = block.index(b"\r\n\r\n") + 4
-        yield head, {k.lower(): v for k, v in HEADER.findall(block, 0, cut)}, block[cut:], at, end + size + 4 - at
-        at = end + size + 4
+        yield head, {k.lower(): v for k, v in HEADER.findall(block, 0, cut)}, block[cut:], begin, whole
+        del held[:whole]
+        begin += whole
 
 
 def url_key(url: str) -> str:
@@ -121,7 +164,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
                 out = []
-                for head, http, payload, at, length in parsed(zlib.decompress(content.as_py(), 31)):
+                for head, http, payload, at, length in parsed(inflated(content.as_py())):
                     digest = head[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
                     kind = head[b"warc-type"].decode()
                     size = int(http[b"content-length"])
@@ -130,7 +173,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     url = head[b"warc-target-uri"].decode()
                     refers = head.get(b"warc-refers-to")
                     out.append((url_key(url), head[b"warc-date"].decode(), number(head[b"warc-record-id"]), size, digest, kind, None if refers is None else number(refers), url, name, at, length))
-                out.sort(key=lambda r: (r[0], r[1], -1 if r[2] is None else r[2]))
+                out.sort(key=lambda r: (r[0], r[1], -(1 << 63) - 1 if r[2] is None else r[2]))
                 if out:
                     columns = [list(c) for c in zip(*out, strict=True)]
                     columns[1] = pa.array(columns[1]).cast(pa.timestamp("us", "UTC"))
@@ -141,9 +184,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """k-way merge of sorted runs: each inner node keeps the loser of its match, so a new head meets only its path."""
+    """k-way merge of sorted runs (any iterables): each inner node keeps the loser of its match, so a new head meets only its path."""
 
-    def __init__(self, runs: list[list]):
+    def __init__(self, runs: list):
         self.runs = [iter(r) for r in runs]
         self.k = len(runs)
         self.head = [next(r, None) for r in self.runs]
@@ -175,25 +218,25 @@ class LoserTree:
             self._play(winner)
 
 
-def merged(runs: DataFrame) -> DataFrame:
-    """Captures in global order of (urlkey, captured_at, page_id): the ranges in order are the index."""
-    spark = runs.sparkSession
+def merged(runs: DataFrame, captures: int = RANGE) -> DataFrame:
+    """Captures in global order of (urlkey, captured_at, page_id): the ranges in order are the index. runs: a staged table."""
     order = ["urlkey", "captured_at", F.col("page_id").asc_nulls_first()]
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in b.schema.names), strict=True)]
-        if not rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = [(u, t, -(1 << 63) - 1 if p is None else p) for u, t, p in zip(rows.column("urlkey").to_pylist(), rows.column("captured_at").cast(pa.int64()).to_pylist(), rows.column("page_id").to_pylist(), strict=True)]
+        files = rows.column("file").to_pylist()
         # pieces of sorted runs: one begins wherever the archive changes or the order falls back
-        keyed = [((r[0], r[1], -1 if r[2] is None else r[2]), r) for r in rows]
-        cuts = [0, *(i for i in range(1, len(keyed)) if rows[i][8] != rows[i - 1][8] or keyed[i][0] < keyed[i - 1][0]), len(keyed)]
-        out = [r for _, r in LoserTree([keyed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])]
-        columns = [list(c) for c in zip(*out, strict=True)]
-        kinds = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        for at in range(0, len(out), 10_000):
-            yield pa.record_batch([pa.array(c[at : at + 10_000], t) for c, t in zip(columns, kinds, strict=True)], NAMES)
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        cuts = [0, *(i for i in range(1, len(keys)) if files[i] != files[i - 1] or keys[i] < keys[i - 1]), len(keys)]
+        tree = LoserTree([((keys[i], i) for i in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)])
+        at = [i for _, i in tree]
+        for k in range(0, len(at), 10_000):
+            yield from rows.take(pa.array(at[k : k + 10_000])).combine_chunks().to_batches()
+
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // captures))
     return runs.repartitionByRange(n, *order).mapInArrow(run, CAPTURE)
 
 
