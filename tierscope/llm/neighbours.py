@@ -1,14 +1,15 @@
 """Exact nearest neighbours by a block matrix join.
 
-Vectors lie in blocks. Every group of query blocks meets every group of candidate blocks once, under one join
-key. In a task each pair of blocks is one tile: int8 codes (with a scale for each vector) are multiplied as a
-matrix, which gives the distances of the decoded vectors; with the norms of the two decoding errors that is
-a lower and an upper bound of each true distance. Pairs whose lower bound is within the k-th smallest upper bound
-of their query, or its k-th smallest distance so far, are recomputed in double precision from the original
-vectors and go through a heap; Spark merges the heaps of the groups.
+Vectors lie in blocks of a table. In each pass a bounded group of query blocks (QUERY_BLOCKS of BLOCK vectors) goes to all tasks,
+and every candidate block is read where it lies, so candidates are never shuffled. In a task each pair of blocks is one
+tile: int8 codes (with a scale for each vector) are multiplied as a matrix, which gives the distances of the decoded
+vectors; with the norms of the two decoding errors that is a lower and an upper bound of each true distance. Pairs whose
+lower bound is within the k-th smallest upper bound of their query, or its k-th smallest distance so far, are recomputed
+in double precision from the original vectors and go through a heap; Spark merges the heaps of the tasks.
 
 Defined cases: vectors that are null, all zero or hold null or non-finite components, and rows with a null
-vec_id, take no part; vectors of another length than the query's are no candidates; a query never meets rows of its own
+vec_id, take no part; where components are so large or small that a bound isn't finite, the exact distance decides, and it is
+scaled so that squares neither overflow nor vanish; vectors of another length than the query's are no candidates; a query never meets rows of its own
 vec_id; repeated rows are candidates each; ties go to the smaller vec_id; other columns are ignored.
 """
 
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import rows_of, stage
 
 K, EVERY = 10, 100
-#: Vectors in a block; blocks of queries and of candidates in a group.
-BLOCK, QUERY_BLOCKS, CANDIDATE_BLOCKS = 2048, 8, 4
+#: Vectors in a block, and blocks of queries in a pass.
+BLOCK, QUERY_BLOCKS = 2048, 8
 
 
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -69,28 +70,42 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 class Codes:
-    """int8 codes of vectors: x = scale * code + error, with the norm of the error."""
+    """int8 codes of vectors: x = scale * code + error, with the norm of the error (infinite where there is no finite code)."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        self.scale = np.abs(x).max(axis=1) / 127
-        code = np.rint(x / self.scale[:, None])
-        self.error = np.sqrt(((x - code * self.scale[:, None]) ** 2).sum(axis=1))
-        self.norm = (code**2).sum(axis=1) * self.scale**2
+        with np.errstate(all="ignore"):
+            self.scale = np.abs(x).max(axis=1) / 127
+            code = np.rint(x / self.scale[:, None])
+            self.error = np.sqrt(((x - code * self.scale[:, None]) ** 2).sum(axis=1))
+            self.norm = (code**2).sum(axis=1) * self.scale**2
+        odd = ~(np.isfinite(self.error) & np.isfinite(self.norm) & (self.norm > 1e-290))
+        code[odd], self.scale[odd], self.norm[odd], self.error[odd] = 0, 0, 0, np.inf
         # products of int8 codes are whole numbers, exact in 32-bit floats up to 2**24
         self.code = code.astype(np.int8).astype(np.float32 if x.shape[1] * 127**2 < 2**24 else np.float64)
 
 
 def bounds(q: Codes, c: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the distances of one tile."""
-    product = (q.code @ c.code.T).astype(np.float64) * q.scale[:, None] * c.scale
-    near = np.sqrt(np.maximum(q.norm[:, None] + c.norm - 2 * product, 0))
-    slack = q.error[:, None] + c.error + 1e-7 * (1 + near)
+    """Lower and upper bounds of the distances of one tile; the slack is for rounding, which grows with the norms."""
+    with np.errstate(over="ignore"):
+        product = (q.code @ c.code.T).astype(np.float64) * q.scale[:, None] * c.scale
+        norms = q.norm[:, None] + c.norm
+        near = np.sqrt(np.maximum(norms - 2 * product, 0))
+        slack = q.error[:, None] + c.error + 1e-7 * (near + np.sqrt(norms))
+    near[~np.isfinite(near)], slack[~np.isfinite(slack)] = 0, np.inf
     return near - slack, near + slack
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.cumsum((x - y) ** 2, axis=1)[:, -1])
+    with np.errstate(over="ignore"):
+        d = x - y
+        out = np.sqrt(np.cumsum(d**2, axis=1)[:, -1])
+        odd = np.flatnonzero(~np.isfinite(out) | (out < 1e-140))
+        if len(odd):
+            most = np.abs(d[odd]).max(axis=1)
+            unit = np.where((most > 0) & np.isfinite(most), most, 1)
+            out[odd] = unit * np.sqrt(((d[odd] / unit[:, None]) ** 2).sum(axis=1))
+    return out
 
 
 class Heaps:
@@ -121,42 +136,40 @@ class Heaps:
                 self.far[i] = -self.heap[i][0][0]
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, query_blocks: int = QUERY_BLOCKS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance), for queries whose vec_id is divisible by `every`."""
     held = stage(blocks(vectors, block), "candidates", "none")
     asked = stage(blocks(vectors.where(F.pmod("vec_id", F.lit(every)) == 0), block), "queries", "none")
-    many = {side: -(-df.count() // size) or 1 for side, df, size in (("c", held, CANDIDATE_BLOCKS), ("q", asked, QUERY_BLOCKS))}
-    own = lambda side: F.pmod("block", F.lit(many[side])).cast("int")
-    all_of = lambda side: F.explode(F.sequence(F.lit(0), F.lit(many[side] - 1)))
-    columns = ["size", "ids", "vectors", "kind"]
-    rows = held.select(F.lit(1).alias("side"), own("c").alias("c"), all_of("q").alias("q"), *columns)
-    rows = rows.union(asked.select(F.lit(0).alias("side"), all_of("c").alias("c"), own("q").alias("q"), *columns))
+    passes = -(-asked.count() // query_blocks) or 1
+    own = F.pmod("block", F.lit(passes))
+    found = [in_pass(held, asked.where(own == i), k) for i in range(passes)]
+    if passes > 1:  # each pass is done before the next one's queries go out
+        found = [stage(f, "found") for f in found]
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.union(f)
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def run(batches):
-        heaps: list[Heaps] = []
-        now = None
 
-        def done():
-            for h in heaps:
-                out = [(q, -v, -d) for q, heap in zip(h.ids.tolist(), h.heap, strict=True) for d, v in heap]
-                if out:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+def in_pass(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: the k nearest of each task, for the queries of one pass."""
+    matrix = lambda r: (np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], r["kind"]).reshape(-1, r["size"]).astype(np.float64))
+    columns = ["size", "ids", "vectors", "kind"]
+    sent = held.sparkSession.sparkContext.broadcast([r.asDict() for r in asked.select(*columns).collect()])  # about query_blocks blocks
 
+    def run(batches):
+        heaps = [(r["size"], Heaps(*matrix(r), k)) for r in sent.value]
         for b in batches:
-            for row in b.to_pylist():
-                if now != (now := (row["c"], row["q"], row["size"])):
-                    yield from done()
-                    heaps = []
-                ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vectors"], row["kind"]).reshape(-1, row["size"]).astype(np.float64)
-                if row["side"] == 0:
-                    heaps.append(Heaps(ids, x, k))
-                elif heaps:
-                    codes = Codes(x)
-                    for h in heaps:
+            for row in rows_of(b):
+                ids, x = matrix(row)
+                codes = Codes(x)
+                for size, h in heaps:
+                    if size == row["size"]:
                         h.meet(ids, codes)
-        yield from done()
+        for _, h in heaps:
+            out = [(q, -v, -d) for q, heap in zip(h.ids.tolist(), h.heap, strict=True) for d, v in heap]
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-    spread = rows.repartition("c", "q", "size").sortWithinPartitions("c", "q", "size", "side")
-    found = spread.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return held.select(*columns).mapInArrow(run, "query_id long, vec_id long, score double")
