@@ -1,23 +1,28 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features of a text are its words and their first four and five letters, each present or not. Those that
-go with the toxic label are chosen by a z-score, counted by Spark over the labelled sample. Labels say only
-toxic or not; the ordered grades to learn are 0 for a clean text and, for a toxic one, 1 to 3 by how many of the
-chosen features it holds (cuts GRADES). One weight vector is shared by all ordered thresholds:
-P(grade > k) = sigmoid(w.x - threshold k). A text's severity is the expected grade, and it is toxic where P(grade > 0) is at least a level, which is set
-where the rates of both errors on the labelled sample add up to least.
+Features of a text are its words and their first four and five letters, each present or not, by a hash of BITS bits. How far a
+feature goes with toxic labels is its z-score, from smoothed counts over the labelled sample; it enters the regression
+with the square of that, so features that say little weigh little and none is left out. A labelled text's own label doesn't count in the
+z-scores of its features, so words that it alone has say nothing about it. Weights are regularised.
+
+Grades are the levels of the label: 0 for a clean text, then each value there is. One weight vector is shared by all ordered
+thresholds: P(grade > k) = sigmoid(w.x - threshold k). A text's severity is the expected grade. Labels that only tell toxic from clean
+give two grades and one threshold, and the severity is the probability of the toxic one. A text is toxic where P(grade > 0) is
+at least a level, which is set in the middle of where both errors on the labelled sample, clean texts counting WRONG times, add up to least.
 
 The sample is bounded: at most CLEAN clean and TOXIC toxic labelled documents, the first by a hash of doc_id.
 Everything else covers all documents and whole texts.
 
-Defined cases: a null text is empty; with no label of one kind the severity is 0 and nothing is toxic; labels that
-are null are left out, and a document with several is taken once for each; repeated rows are each returned; an empty
-table gives an empty result; other columns are ignored by `severities` and kept by `drop_toxic`.
+Defined cases: a null text is empty; with no label of one kind, or no feature in any labelled text, the severity is 0 and nothing
+is toxic; labels that are null or negative are left out, and a document with several is taken once for each; repeated rows are
+each returned; rows with a null doc_id are scored and have no label; an empty table gives an empty result; other columns are
+ignored by `severities` and kept by `drop_toxic`.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,113 +32,139 @@ from pyspark.sql import functions as F
 from .shared import documents_of, small_batches, stage
 
 CLEAN, TOXIC = 12_000, 6_000
-#: Features at most, their least z-score, count, and rate among toxic texts over that among clean ones; chosen features in a
-#: text from which grades 2 and 3 begin.
-FEATURES, LEAST_Z, LEAST_COUNT, LEAST_RATIO, GRADES = 4096, 5.0, 8, 25.0, (4, 10)
+#: Bits of a feature's hash, what is added to counts, the least share of the largest value that is not taken for zero, and how much a wrongly toxic text counts.
+BITS, SMOOTH, ROUNDING, WRONG = 20, 0.5, 1e-4, 10
+#: Words whose features a worker remembers.
+MOST_WORDS = 400_000
 WORD = re.compile(r"\w+")
 
+_known: dict[str, tuple[int, ...]] = {}
+
+
+def features(text: str) -> np.ndarray:
+    """Sorted numbers of a text's features."""
+    import xxhash
 
-def features(text: str) -> set[str]:
-    words = set(WORD.findall(text.lower()))
-    long = [w for w in words if len(w) > 4]
-    return words | {"4:" + w[:4] for w in long} | {"5:" + w[:5] for w in long}
+    found: set[int] = set()
+    if len(_known) > MOST_WORDS:
+        _known.clear()
+    for w in set(WORD.findall(text.lower())):
+        own = _known.get(w)
+        if own is None:
+            names = (w, "4:" + w[:4], "5:" + w[:5]) if len(w) > 4 else (w,)
+            own = _known[w] = tuple(xxhash.xxh32_intdigest(n.encode()) >> (32 - BITS) for n in names)
+        found.update(own)
+    return np.array(sorted(found), np.int64)
 
 
 def sample(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> DataFrame:
-    """text, toxic of the labelled sample."""
-    told = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    first = [told.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((0, clean), (1, toxic))]
+    """doc_id, text, toxic of the labelled sample."""
+    told = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic >= 0")
+    first = [told.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(n) for kind, n in (("toxic = 0", clean), ("toxic > 0", toxic))]
     return documents_of(docs).join(F.broadcast(first[0].union(first[1])), "doc_id").select("doc_id", "text", "toxic")
 
 
-def chosen(rows: DataFrame, clean: int, toxic: int) -> list[str]:
-    def run(batches):
-        for b in batches:
-            pairs = [(f, t) for text, t in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True) for f in features(text)]
-            yield pa.record_batch([pa.array([f for f, _ in pairs], pa.string()), pa.array([t for _, t in pairs], pa.int32())], ["feature", "toxic"])
+def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: np.ndarray | float, n_clean: np.ndarray | float) -> np.ndarray:
+    """Signed square of the z-score of features that so many toxic and clean texts have."""
+    p = (toxic + clean + SMOOTH) / (n_toxic + n_clean + 2 * SMOOTH)
+    z = (toxic / n_toxic - clean / n_clean) / np.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
+    return np.sign(z) * z**2
 
-    n = clean + toxic
-    counts = rows.mapInArrow(run, "feature string, toxic int").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
-    p = F.col("n") / n
-    z = (F.col("t") / toxic - (F.col("n") - F.col("t")) / clean) / F.sqrt(p * (1 - p) * (1 / toxic + 1 / clean) + 1e-12)
-    ratio = ((F.col("t") + 0.5) / toxic) / ((F.col("n") - F.col("t") + 0.5) / clean)
-    best = counts.where((F.col("n") >= LEAST_COUNT) & (ratio >= LEAST_RATIO)).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    return [r[0] for r in best.orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature").collect()]
 
-
-def fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, n_features: int, levels: int = 4, steps: int = 800, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of the proportional-odds model, by Adam on the whole (sparse, 0/1) sample."""
+def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, levels: int, steps: int = 200, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds of the proportional-odds model, by Adam on the whole (sparse) sample."""
     n, k = len(grade), levels - 1
     p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(k - 1)])  # weights, first threshold, log gaps
     m, v = np.zeros_like(p), np.zeros_like(p)
     for i in range(1, steps + 1):
         w, gap = p[:n_features], np.exp(p[n_features + 1 :])
         cut = p[n_features] + np.concatenate([[0], np.cumsum(gap)])
-        eta = np.bincount(row, w[column], n)
+        eta = np.bincount(row, value * w[column], n)
         edge = np.concatenate([[-np.inf], cut, [np.inf]])
         low, high = (1 / (1 + np.exp(np.clip(eta - e, -500, 500))) for e in (edge[grade], edge[grade + 1]))  # P(y < grade), P(y <= grade)
         mass = np.maximum(high - low, 1e-12)
         dlow, dhigh = low * (1 - low) / mass, high * (1 - high) / mass
         by_eta = dhigh - dlow  # of -log likelihood
         by_cut = np.bincount(grade, -dhigh, levels)[:k] + np.bincount(grade, dlow, levels)[1:]
-        g = np.concatenate([np.bincount(column, by_eta[row], n_features) / n + decay * w, [by_cut.sum() / n], np.cumsum(by_cut[::-1])[::-1][1:] * gap / n])
+        g = np.concatenate([np.bincount(column, value * by_eta[row], n_features) / n + decay * w, [by_cut.sum() / n], np.cumsum(by_cut[::-1])[::-1][1:] * gap / n])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
 
 
 def level(eta: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut of eta with the least sum of both error rates, midway between the scores on its two sides; toxic is at or above it."""
+    """The cut of eta with the least sum of errors, the middle one of all such cuts; toxic is at or above it."""
     scores = np.unique(eta)
     cuts = np.concatenate([[scores[0] - 1], (scores[1:] + scores[:-1]) / 2, [scores[-1] + 1]])
     missed = np.searchsorted(np.sort(eta[toxic]), cuts) / max(toxic.sum(), 1)
     wrong = 1 - np.searchsorted(np.sort(eta[~toxic]), cuts) / max((~toxic).sum(), 1)
-    return float(cuts[(missed + wrong).argmin()])
+    best = np.flatnonzero(missed + WRONG * wrong <= (missed + WRONG * wrong).min() + 1e-12)
+    return float(cuts[best[len(best) // 2]])
+
+
+@dataclass
+class Model:
+    weights: np.ndarray  # of every feature
+    cut: np.ndarray  # ordered thresholds
+    least: float  # P(grade > 0) from which a text is toxic
+
+    def above(self, text: str) -> np.ndarray:
+        """P(grade > k) for each threshold."""
+        eta = self.weights[features(text)].sum()
+        return 1 / (1 + np.exp(np.clip(self.cut - eta, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> tuple[dict[str, float], list[float], float] | None:
-    """(weight of each feature, thresholds, least P(grade > 0) of a toxic text), or None without both kinds of label."""
+def train(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> Model | None:
+    """The model, or None without labelled texts of both kinds that have features."""
     small_batches(docs.sparkSession)
     rows = stage(sample(docs, labels, clean, toxic), "labelled")
-    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    if len(n) < 2 or not (names := chosen(rows, n[0], n[1])):
-        return None
-    at = {f: i for i, f in enumerate(names)}
 
     def run(batches):
         for b in batches:
-            held = [sorted(at[f] for f in features(t) if f in at) for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(held, pa.list_(pa.int32()))], ["doc_id", "toxic", "held"])
+            held = [features(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(held, pa.binary())], ["doc_id", "toxic", "held"])
 
-    got = sorted(map(tuple, rows.mapInArrow(run, "doc_id long, toxic int, held array<int>").collect()))
-    sizes = np.array([len(h) for _, _, h in got])
-    grade = np.where([t == 0 for _, t, _ in got], 0, 1 + np.searchsorted(GRADES, sizes, "right"))
-    row, column = np.repeat(np.arange(len(got)), sizes), np.array([i for *_, h in got for i in h], dtype=np.int64)
-    w, cut = fit(row, column, grade, len(names))
-    at_least = level(np.bincount(row, w[column], len(got)), grade > 0)
-    return dict(zip(names, w.tolist(), strict=True)), cut.tolist(), float(1 / (1 + np.exp(cut[0] - at_least)))
+    got = sorted((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(run, "doc_id long, toxic int, held binary").collect())  # the bounded sample
+    return fitted([np.frombuffer(h, "<i4") for *_, h in got], np.array([t for _, t, _ in got], np.int64))
 
 
-def scored(text: str, weights: dict[str, float], cut: np.ndarray) -> np.ndarray:
-    """P(grade > k) for each threshold."""
-    eta = sum(sorted(weights[f] for f in features(text) if f in weights))
-    return 1 / (1 + np.exp(np.clip(cut - eta, -500, 500)))
+def fitted(held: list[np.ndarray], label: np.ndarray) -> Model | None:
+    """The model of texts by their features and labels."""
+    levels, grade = np.unique(label, return_inverse=True)
+    bad = label > 0
+    if len(levels) < 2 or not bad.any() or bad.all() or not sum(map(len, held)):
+        return None
+    row, column = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held).astype(np.int64)
+    n_toxic, n_clean = int(bad.sum()), int((~bad).sum())
+    t, c = (np.bincount(column[own[row]], minlength=1 << BITS) for own in (bad, ~bad))
+    whole, own = evidence(t, c, n_toxic, n_clean), bad[row]
+    without = evidence(t[column] - own, c[column] - ~own, np.maximum(n_toxic - own, 1), np.maximum(n_clean - ~own, 1))
+    most = np.abs(whole).max()
+    if most == 0:
+        return None
+    some = np.abs(without) >= ROUNDING * most
+    used, at = np.unique(column[some], return_inverse=True)
+    w, cut = fit(row[some], at, without[some] / most, grade, len(used), len(levels))
+    weights = np.zeros(1 << BITS)
+    weights[used] = w * whole[used] / most
+    at_least = level(np.bincount(row[some], without[some] / most * w[at], len(held)), bad)
+    return Model(weights, cut, float(1 / (1 + np.exp((cut[0] - at_least) / 2))))  # midway to even odds
 
 
 def severities(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """One row per row of docs: doc_id, severity, grade, toxic."""
     model = train(docs, labels, **how)
+    if model is None:
+        return docs.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic"))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
 
     def run(batches):
-        weights, cut, least = model[0], np.array(model[1]), model[2]
+        m = sent.value
         for b in batches:
-            p = np.array([scored(t, weights, cut) for t in b.column("text").to_pylist()]).reshape(-1, len(cut))
+            p = np.array([m.above(t) for t in b.column("text").to_pylist()]).reshape(-1, len(m.cut))
             each = np.hstack([1 - p[:, :1], p[:, :-1] - p[:, 1:], p[:, -1:]])
-            yield pa.record_batch([b.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= least)], ["doc_id", "severity", "grade", "toxic"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= m.least)], ["doc_id", "severity", "grade", "toxic"])
 
-    if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(False).alias("toxic"))
-    small_batches(docs.sparkSession)
     return documents_of(docs).mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
 
 
@@ -142,11 +173,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     model = train(docs, labels, **how)
     if model is None:
         return docs
-    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        weights, cut, least = model[0], np.array(model[1]), model[2]
+        m = sent.value
         for b in batches:
-            yield b.filter(pa.array([scored(t or "", weights, cut)[0] < least for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([m.above(t or "")[0] < m.least for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
