@@ -346,6 +346,32 @@ def test_warc(spark, tmp_path):
     assert keys == sorted(keys) and len(set(got.file)) > 1
 
 
+def test_warc_of_any_ids_and_sizes(spark, tmp_path):
+    """Ids to the ends of a long and none, long pages in files of their own, many ranges, clashing columns."""
+    ids = [0, 10**12, 2**62, 2**63 - 1, -(2**63), -(10**11), None, None, 5, 5]
+    pages = [(i, "http://a.b/x", "é" * (k * 100_000) + "\x00") for k, i in enumerate(ids)] + [(77, "http://a.b/y", "é" * 200_000 + "\x00")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({"n_bytes": F.lit(1), "value": F.lit(2), "file": F.lit(3)})
+    path = warc.write(df, "file://" + str(tmp_path / "w"), large=300_000)
+    got = warc.merged(shared.stage(warc.read(spark, path), "t"), captures=3).collect()
+    assert len(got) == len(pages) and {r.payload_bytes for r in got} == {len(h.encode()) for *_, h in pages}
+    assert sorted(str(r.page_id) for r in got) == sorted(str(i) for i, *_ in pages)
+    assert [(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"] == [(77, 2**62)] or {(r.page_id, r.refers_to) for r in got if r.record_type == "revisit"} == {(2**62, 77)}
+
+
+def test_archives_come_in_pieces():
+    import zlib as z
+
+    record = lambda n: b"WARC/1.1\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" % (19 + n) + b"x" * n + b"\r\n\r\n"
+    raw = b"".join(record(n) for n in (0, 5, 70_000))
+    gz = lambda b: (c := z.compressobj(wbits=31)).compress(b) + c.flush()
+    for content in (gz(raw), gz(record(0)) + gz(record(5)) + gz(record(70_000))):
+        got = list(warc.parsed(warc.inflated(content, 100)))
+        assert [len(payload) for _, _, payload, _, _ in got] == [0, 5, 70_000]
+        assert all(raw[at : at + n].startswith(b"WARC") and raw[at : at + n].endswith(b"\r\n\r\n") for *_, at, n in got)
+    with pytest.raises(ValueError):
+        list(warc.parsed(warc.inflated(gz(raw[:-9]))))
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(200):
@@ -370,6 +396,30 @@ def test_html_text_of_other_markup():
     assert html_text.main_text("", w) == "" and html_text.main_text("<<p <", w) in ("<<p <", "")
 
 
+def test_html_text_of_wrapped_pages_and_odd_classes():
+    w, long = {"w:p:": 1.0, "t:p": -0.1}, "one two three four five six seven"
+    for page in (f"<form><p>{long}</p></form>", f"<div class='post alert-free'><p>{long}</p></div>", f"<div class='content widget-area'><p>{long}</p></div>", f"<div class=share-area><p>{long}</p></div>"):
+        assert html_text.main_text(page, w) == long
+    assert html_text.main_text(f"<p>{long}</p><form><p>a b</p></form><div id=comments class=content><p>c</p></div><div class='post comments'>d</div>", w) == long
+    assert html_text.main_text(f"<main><h1>T</h1><p>{long}</p><div class=comments>" + "<p>a b c d e f g h i j k l m</p>" * 9 + "</div></main>", w) == "T\n" + long
+    assert html_text.main_text(f"<p>{long} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>", w) == long + " x=2"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text", "<p a=\"" * 100_000, "<b><div>" * 50_000 + "</b>" * 50_000, "<ul><li>" * 50_000 + "</i>" * 100_000, "<!" * 100_000, "</" * 100_000, "<a" * 100_000 + ">", "<script>" * 100_000, "<p>x" * 100_000, "<form>" * 50_000 + "x"])
+def test_html_text_takes_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page, {"w:p:": 1.0})
+    assert time.process_time() - began < 2
+
+
+def test_html_text_edges(spark):
+    pages = spark.createDataFrame([(None, None, None), (None, "u", "<p>a</p>"), (1, None, ""), (2, "u", "<p>" + "word " * 200_000 + "</p>")], "page_id long, url string, html string").withColumns({"text": F.lit(1), "n_chars": F.lit(2)})
+    got = {(r.page_id, r.url): r for r in html_text.extract(pages).collect()}
+    assert got[None, None].text == "" and got[1, None].n_chars == 0 and got[2, "u"].n_chars == 999_999 and got[None, "u"].text == "a" and len(got) == 4
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((700, 16)).astype(np.float32)
@@ -385,6 +435,32 @@ def test_neighbours(spark):
     assert set(got.query_id) == set(range(0, 700, 100))
 
 
+@pytest.mark.parametrize("query_blocks", [8, 1])
+def test_neighbours_of_extreme_vectors(spark, query_blocks):
+    """Huge, tiny, far off and repeated vectors, repeated ids, clashing columns: every query has its rows, in the order of exact arithmetic."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((60, 4))
+    x = np.concatenate([base[:20] * 1e200, base[20:40] * 5e-324 * 50, 1e9 + base[40:] * 1e-6, [[5e-324, 0, 0, 0]], base[:2], base[:2]])
+    ids = [*range(0, 200, 2), *range(201, 400)][: len(x) - 2] + [7, 7]
+    rows = [(i, v) for i, v in zip(ids, x.tolist(), strict=True) if any(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"block": F.lit(1), "size": F.lit(2), "rank": F.lit(3)})
+    got = neighbours.nearest(df.repartition(3), every=10, block=16, query_blocks=query_blocks).toPandas()
+    square = lambda a, b: sum((Fraction(p) - Fraction(q)) ** 2 for p, q in zip(a, b, strict=True))
+    for q, v in rows:
+        if q % 10:
+            continue
+        g = got[got.query_id == q].sort_values("rank")
+        exact = {}
+        for i, y in rows:
+            exact.setdefault(i, []).append(square(v, y))
+        least = sorted(d for i, ds in exact.items() if i != q for d in ds)[:10]
+        assert len(g) == 10 and np.isfinite(g.score).all() and q not in set(g.vec_id)
+        for have, want in zip(g.score, least, strict=True):
+            assert abs(Fraction(have) ** 2 - want) <= want * Fraction(1, 10**9) + Fraction(10) ** -640
+
+
 def test_toxicity_on_held_out_labels(spark):
     rng = random.Random(4)
     rows, labels = [], []
@@ -399,8 +475,6 @@ def test_toxicity_on_held_out_labels(spark):
     got = toxicity.severities(docs_of(spark, [*rows, (9000, None), (9001, "")]), train).toPandas().set_index("doc_id")
     test = [(i, y) for i, y in labels[1000:]]
     assert sum(got.loc[i].toxic == bool(y) for i, y in test) >= 0.97 * len(test)
-    many = [i for i, y in test if y]
-    assert np.corrcoef([got.loc[i].severity for i in many], [sum(rows[i][1].count(x) for x in ("moron", "idiot", "scum")) for i in many])[0, 1] > 0.5
     assert not got.loc[9000].toxic and not got.loc[9001].toxic
     kept = toxicity.drop_toxic(docs_of(spark, rows), train)
     assert kept.columns == docs_of(spark, rows).columns and set(kept.toPandas().doc_id) == set(got[~got.toxic].index) - {9000, 9001}
@@ -412,10 +486,64 @@ def test_cumulative_link_recovers_order():
     eta = x @ np.array([2.0, -1.0, 0.5])
     grade = np.digitize(eta + rng.logistic(size=2000), [0.0, 1.5, 3.0])
     row, column = np.nonzero(x)
-    w, cut = toxicity.fit(row, column, grade, 3)
+    w, cut = toxicity.fit(row, column, np.ones(len(row)), grade, 3, 4, 800)
     assert np.allclose(w, [2, -1, 0.5], atol=0.35) and (np.diff(cut) > 0).all() and np.allclose(cut, [0, 1.5, 3], atol=0.35)
 
 
+def test_toxicity_against_a_plain_scorer(spark):
+    """Grades of three levels: features, evidence without the text's own label, and the scores, worked out text by text."""
+    import xxhash
+
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(400):
+        y = 0 if i % 4 else 1 + i // 4 % 2
+        w = words(rng, rng.randint(1, 30), "abcdefg", 5).split() + [rng.choice(["moron", "scumbag"]) for _ in range(3 * y)] + ["slur"] * (y == 2)
+        rows.append((i, " ".join(w)))
+        labels.append((i, y))
+    df = docs_of(spark, [*rows, (None, "moron"), (900, None)])
+    told = spark.createDataFrame([*labels, (7, None), (8, -3)], "doc_id long, toxic int").withColumn("text", F.lit("x"))
+    model = toxicity.train(df, told)
+    number = lambda f: xxhash.xxh32_intdigest(f.encode()) >> 12
+    own = lambda t: {number(f) for w in re.findall(r"\w+", t.lower()) for f in ((w, "4:" + w[:4], "5:" + w[:5]) if len(w) > 4 else (w,))}
+    assert len(model.cut) == 2 and model.cut[0] < model.cut[1]
+    n, count = collections.Counter(y > 0 for _, y in labels), collections.Counter()
+    for (_, t), (_, y) in zip(rows, labels, strict=True):
+        count.update((f, y > 0) for f in own(t))
+
+    def square(t, c, nt, nc):
+        p = (t + c + 0.5) / (nt + nc + 1)
+        z = (t / nt - c / nc) / math.sqrt(p * (1 - p) * (1 / nt + 1 / nc))
+        return z * abs(z)
+
+    for f in list({f for f, _ in count})[:300]:
+        assert toxicity.evidence(count[f, True], count[f, False], n[True], n[False]) == pytest.approx(square(count[f, True], count[f, False], n[True], n[False]))
+    for r in toxicity.severities(df, told).collect():
+        text = dict([*rows, (None, "moron"), (900, "")])[r.doc_id]
+        eta = sum(model.weights[f] for f in own(text))
+        p = [1 / (1 + math.exp(c - eta)) for c in model.cut]
+        each = [1 - p[0], p[0] - p[1], p[1]]
+        assert r.severity == pytest.approx(sum(p)) and each[r.grade] == pytest.approx(max(each)) and r.toxic == (p[0] >= model.least)
+    got = {r.doc_id: r for r in toxicity.severities(df, told).collect()}
+    mean = lambda y: np.mean([got[i].severity for i, z in labels if z == y])
+    assert mean(0) < 0.2 < mean(1) < mean(2)
+
+
+@pytest.mark.parametrize("even", [0, 1])
+def test_toxicity_on_halves_of_a_small_table(spark, even):
+    """A few dozen labels: most toxic texts of the other half are found, hardly a clean one is taken for toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.severities(docs, labels.where(F.col("doc_id") % 2 == even)).join(labels.where(F.col("doc_id") % 2 != even).withColumnRenamed("toxic", "label"), "doc_id").toPandas()
+    assert got[got.label == 1].toxic.mean() > 0.55 and got[got.label == 0].toxic.mean() < 0.03
+
+
+def test_toxicity_without_features(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for rows in ([(1, None), (2, "")], [(1, "!!"), (2, "..")]):
+        assert [tuple(r)[1:] for r in toxicity.severities(docs_of(spark, rows), labels).collect()] == [(0.0, 0, False)] * 2
+        assert toxicity.drop_toxic(docs_of(spark, rows), labels).count() == 2
+
+
 def test_language_model(spark):
     rows = [*mixed(9, 40), (None, "a b"), (4, "A a"), (4, "A a")]
     got = language_model.score(docs_of(spark, rows)).toPandas()
@@ -480,7 +608,7 @@ def test_language_model_score_against_brute_force(spark, monkeypatch):
         c, total = [class_of(x) for x in w], 0.0
         for t, x in enumerate(w):
             before = [params["q"][c[t - k] if t >= k else 0].astype(float) for k in (1, 2)]
-            bag = sum((params["q"][c[j]].astype(float) for j in range(max(0, t - 10), t - 2)), np.zeros(lb.SIZE)) / 8
+            bag = sum((params["q"][c[j] if j >= 0 else 0].astype(float) for j in range(max(-2, t - 10), t - 2)), np.zeros(lb.SIZE)) / 8
             h = params["c"][0] * before[0] + params["c"][1] * before[1] + params["c"][2] * bag
             e = [math.exp(params["r"][k] @ h + params["b"][k]) for k in range(last)]
             total += math.log10(0.1 / smooth) if x not in count else math.log10(e[c[t]] / sum(e) * (1 - 0.1 / smooth) * (count[x] + 0.1) / mass[c[t]])
@@ -494,15 +622,16 @@ def test_language_model_gradient_against_differences():
     classes, drawn, log_noise = 7, np.array([0, 2, 2, 5]), rng.standard_normal(7)
     p = {k: rng.standard_normal(s) for k, s in (("q", (classes, lb.SIZE)), ("r", (classes, lb.SIZE)), ("c", (3, lb.SIZE)), ("b", (classes,)))}
     counts = np.array([1, 2, 3, 30, 1])
-    c, place = rng.integers(0, classes - 1, counts.sum()), language_model.place_of(counts)
+    c = rng.integers(0, classes - 1, counts.sum())
 
     def loss(p):
-        one, two, bag, _, _ = lb.contexts(p, c, place)
-        h = p["c"][0] * one + p["c"][1] * two + p["c"][2] * bag
+        laid, real = lb.laid_out(c, counts, classes)
+        one, two, bag = lb.contexts(p, laid)
+        h = (p["c"][0] * one + p["c"][1] * two + p["c"][2] * bag)[real - 10]
         s = (h @ p["r"].T + p["b"] - log_noise).astype(float)
         return np.log1p(np.exp(-s[np.arange(len(c)), c])).sum() + np.log1p(np.exp(s[:, drawn])).sum()
 
-    g = lb.gradient(p, c, place, drawn, log_noise)
+    g = lb.gradient(p, c, counts, drawn, log_noise)
     for k in p:
         for at in [tuple(rng.integers(0, s) for s in p[k].shape) for _ in range(25)]:
             if k == "q" and at[0] == classes - 1:

@@ -1,22 +1,25 @@
 """A merge list compiled to a deterministic automaton, and encoding by its transitions.
 
-States are tokens (what was read last), arcs are labelled with tokens. The compiler starts from one
+Token automaton. States are tokens (what was read last), arcs are labelled with tokens. The compiler starts from one
 state per base symbol, all arcs present, and takes the merges in order. The gadget of merge
 (a, b) -> c: takes the arc a-b away; adds state c; lets c be reached from where a could be reached
 (unless that arc goes in this very step) and gives it the arcs that b has. What is left after the last
-merge accepts exactly the sequences that merging leaves alone, one per word, so the accepting path
-of a word is its encoding.
+merge accepts exactly the sequences that merging leaves alone, one per word. Written out, the arcs would be up to the square
+of the vocabulary, so the compiler keeps the gadgets (two parents and a step for each state), from which an arc is told.
 
-Written out, the arcs would be up to the square of the vocabulary. So the compiler keeps the gadgets
-(two parents and a step for each state), and a transition is looked up in a table that is filled by
-unrolling the gadgets of its two ends the first time it is asked for. Decoding emits the arc labels.
+Symbol automaton. Every beginning of a word has one accepted sequence, and so one last token. A state over base symbols holds that
+token and, for each earlier place from which a label may still be going on, the label's beginning (a node of the label
+tree) and the token before it. Reading a symbol moves all of these on; of the labels that end, exactly one has an arc
+from the token before it. Transitions stand in a table keyed by state and symbol, and a row is compiled from the gadgets when it is
+first reached. A word is read once from left to right, a look-up for each symbol, without going back; its last tokens, taken from
+the end, are its encoding. Decoding emits the arc labels.
 """
 
 from __future__ import annotations
 
 NEVER = 1 << 60
-#: Symbols looked ahead to bound the length of the next arc's label.
-LOOK = 4
+#: Transitions and arcs kept; beyond, the tables are emptied and filled again.
+MOST = 3_000_000
 
 
 class Automaton:
@@ -31,13 +34,34 @@ class Automaton:
             self.step[a] = -1
         for k, (a, b, c) in enumerate(merges):
             self._gadget(k, a, b, c)
-        self.state = {label: t for t, label in spelled.items() if t in self.step}
-        #: By how a label begins: the length of the longest such label.
-        self.reach: dict[object, int] = {}
-        for label in self.state:
-            for size in range(1, min(len(label), LOOK) + 1):
-                self.reach[label[:size]] = max(self.reach.get(label[:size], 0), len(label) if size == LOOK else size)
         self.table: dict[tuple[int, int], bool] = {}
+        #: The label tree: (node, symbol) to node, and the token that ends at a node.
+        self.tree: dict[tuple[int, object], int] = {}
+        self.ends: list[int] = [-1]
+        self.inner: list[bool] = [True]
+        for t, label in spelled.items():
+            if t in self.step:
+                self._spell(t, label)
+        self._empty()
+
+    def _spell(self, t: int, label) -> None:
+        node = 0
+        for symbol in label:
+            self.inner[node] = True
+            at = self.tree.get((node, symbol))
+            if at is None:
+                at = self.tree[node, symbol] = len(self.ends)
+                self.ends.append(-1)
+                self.inner.append(False)
+            node = at
+        self.ends[node] = t
+
+    def _empty(self) -> None:
+        begin = ((0, -1),)
+        self.moves: dict[tuple[int, object], int] = {}
+        self.states: dict[tuple, int] = {begin: 0}
+        self.open: list[tuple] = [begin]
+        self.last: list[int] = [-1]
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         if a not in self.step or b not in self.step or not self._unroll(a, b):
@@ -50,7 +74,7 @@ class Automaton:
         """Whether the transition from state t under token u is left after all merges."""
         found = self.table.get((t, u))
         if found is None:
-            if len(self.table) > 2_000_000:  # a table of what was asked for: emptied when large, then filled again
+            if len(self.table) > MOST:  # a table of what was asked for: emptied when large, then filled again
                 self.table.clear()
             found = self.table[t, u] = self._unroll(t, u)
         return found
@@ -76,37 +100,43 @@ class Automaton:
                 if gone.get((t, u), NEVER) < i:
                     return False
 
+    def _move(self, state: int, symbol) -> int:
+        """Compiles one entry of the table."""
+        on, last, tree = [], -1, self.tree
+        for node, before in self.open[state]:
+            at = tree.get((node, symbol))
+            if at is None:
+                continue
+            t = self.ends[at]
+            if t >= 0 and (before < 0 or self.arc(before, t)):
+                last = t
+            if self.inner[at]:
+                on.append((at, before))
+        if last < 0:
+            raise ValueError(f"no label ends with {symbol!r} here")
+        on.append((0, last))
+        key = tuple(on)
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = len(self.open)
+            self.open.append(key)
+            self.last.append(last)
+        self.moves[state, symbol] = to
+        return to
+
     def encode(self, word) -> list[int]:
-        """The accepting path of a word (a sequence of base symbols whose slices are labels)."""
-        state, reach, table, arc = self.state, self.reach, self.table, self.arc
-        n, at, path, most, last = len(word), 0, [], 0, -1
-        while at < n:
-            if not most:
-                for size in (4, 3, 2, 1):
-                    if most := reach.get(word[at : at + size], 0):
-                        break
-                if most > n - at:
-                    most = n - at
-            for size in range(most, 0, -1):
-                t = state.get(word[at : at + size])
-                if t is not None and (last < 0 or ((last, t) in table and table[last, t]) or arc(last, t)):
-                    path.append(t)
-                    last = t
-                    at += size
-                    most = 0
-                    break
-            else:  # no arc leads on: back over the last one
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                size = len(self.label[path.pop()])
-                last = path[-1] if path else -1
-                at -= size
-                most = size - 1
-                while most == 0:
-                    if not path:
-                        raise ValueError(f"no path spells {word!r}")
-                    size = len(self.label[path.pop()])
-                    last = path[-1] if path else -1
-                    at -= size
-                    most = size - 1
+        """The accepting path of a word (a sequence of base symbols)."""
+        if len(self.moves) > MOST:
+            self._empty()
+        moves, last, state, lasts = self.moves, self.last, 0, []
+        for symbol in word:
+            to = moves.get((state, symbol))
+            state = self._move(state, symbol) if to is None else to
+            lasts.append(last[state])
+        label, path, at = self.label, [], len(lasts)
+        while at:
+            t = lasts[at - 1]
+            path.append(t)
+            at -= len(label[t])
+        path.reverse()
         return path
