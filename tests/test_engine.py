@@ -181,23 +181,57 @@ def test_shift_is_found_and_calm_series_is_not(spark):
     assert series.detect_shift(df.where("observation_id < 15")).first().inconclusive == "too_few_blocks"
 
 
-def test_prng_and_prefix():
-    draw = synth.mulberry32(1)
-    assert [round(draw(), 12) for _ in range(2)] == [0.627073940588, 0.002735721180]
+SPEC = "seed string, tiers array<bigint>, probabilities array<double>, stickiness double, observers int"
+
+
+def test_ladders_and_prefix(spark):
     of = synth.truth([199, 299], floor_rarity=0.1)
-    assert of["probabilities"] == [0.1, 0.9] and synth.sample_tiers(of, 7, 50)[:20] == synth.sample_tiers(of, 7, 20)
-    assert synth.hash32("") == 0x811C9DC5
+    assert of["probabilities"] == [0.1, 0.9]
+    specs = spark.createDataFrame([("s", of["prices"], of["probabilities"], 0.0, None), ("t", of["prices"], None, 0.9, 5)], SPEC)
+    long, short = ({(r.seed, r.position): r for r in synth.ladders(specs, n).collect()} for n in (2000, 20))
+    assert all(long[k] == r for k, r in short.items()) and len(short) == 40
+    assert 0.07 < sum(r.price_minor == 199 for (s, _), r in long.items() if s == "s") / 2000 < 0.13
+    t = [long["t", i].price_minor for i in range(2000)]
+    assert 0.9 < sum(a == b for a, b in zip(t, t[5:], strict=False)) / 1995 < 0.98  # stays, or draws the same afresh
+    with pytest.raises(ValueError):
+        synth.truth([199], plant=(200, 0.1))
 
 
 def test_floor_is_never_too_low_and_rarely_wrong(spark):
     specs = [{"seed": f"p{i}", "tiers": [199 + 50 * j for j in range(2 + i % 4)]} for i in range(60)]
-    sample = synth.ladders(spark, specs, 60).withColumnRenamed("seed", "cell_key").withColumn("currency", F.lit("USD"))
+    df = spark.createDataFrame([(s["seed"], s["tiers"], None, 0.0, None) for s in specs], SPEC)
+    sample = synth.ladders(df, 60).withColumnRenamed("seed", "cell_key").withColumn("currency", F.lit("USD"))
     got = {r.cell_key: r for r in resolve.resolve(sample).collect()}
     done = [(r, s) for s in specs if (r := got[s["seed"]]).status == "RESOLVED"]
     assert all(r.floor_minor >= s["tiers"][0] for r, s in done)
     assert len(done) > 40 and sum(r.k != len(s["tiers"]) for r, s in done) <= 2
 
 
+def test_a_batch_takes_ids_of_earlier_matches(spark):
+    """Against a walk in order: each new product, the best earlier one that is the same, back to the first."""
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"k{i}", i, " ".join(rng.sample(["milk", "whole", "organic", "farm", "fresh", "gold", "sun", "valley"], rng.choice([6, 7, 7, 8]))), "Acme", "1 gal", None) for i in range(60)]
+    batch = spark.createDataFrame(rows + [("k3", 99, "again", None, None, None)], "sku_key string, position long, title string, brand string, size_text string, upc string")
+    links = spark.createDataFrame([("k5", "known:5")], "sku_key string, canonical_id string")
+    got = {r.sku_key: r for r in products.resolve_batch(batch, links, None).collect()}
+    signed = {r.position: r for r in products.signed(batch.where("position < 60 and sku_key <> 'k5'")).collect()}
+    words = {i: set(r.tokens) for i, r in signed.items()}
+    sides = spark.createDataFrame([(b, a) for a, b in itertools.combinations(sorted(words), 2)], "x long, y long")
+    part = lambda n, c: products.signed(batch).where("position < 60").select(F.col("position").alias(n), F.struct("tokens", "brand_tokens", "size").alias(c))
+    score, reason = products.compared("a", "b")
+    same = sides.join(part("x", "a"), "x").join(part("y", "b"), "y").where(reason.isNull()).select("x", "y", score.alias("s")).collect()
+    ids = {}
+    for i in sorted(words):
+        before = [(-r.s, r.y) for r in same if r.x == i]
+        own = products.canonical(products.signed(batch.where(F.col("position") == i))).first().canonical_id if not before else None
+        ids[i] = ids[min(before)[1]] if before else own
+    assert {k: r.canonical_id for k, r in got.items()} == {f"k{i}": x for i, x in ids.items()} | {"k5": "known:5"}
+    assert 1 < len(set(ids.values())) < 40
+
+
 def test_keys(spark):
     good = ["a||b|c|", "a|s|b|c|085"]
     bad = ["a|b|c", "||b|c|", "a|||c|", "a||b||", "a||b|c||", None, "a||b|c|" + "x" * 512]
@@ -230,7 +264,7 @@ def test_pii_violations_all_has_every_rule(spark, tmp_path):
         for rule, p in scrub.RULES.items():
             if found := [m[0] for m in re.finditer(p, t, re.ASCII)]:
                 want.append((i, rule, found[0], len(found)))
-    got = __spark_entry__.queries()["pii_violations_all"](spark, str(tmp_path)).select("doc_id", "rule", "first", "hits")
+    got = __spark_entry__.queries()["pii_violations"](spark, str(tmp_path)).select("doc_id", "rule", "first", "hits")
     assert {rule for _, rule, *_ in want} == set(scrub.RULES)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
@@ -240,7 +274,45 @@ def test_whole_rate_queries_meet_every_row(spark):
 
     data = "/root/testdata/sf0.01"
     q = __spark_entry__.queries()
-    rows = q["rate_demands_whole"](spark, data).collect()
+    rows = q["rate_demands"](spark, data).collect()
     n = spark.read.parquet(f"{data}/events.parquet").count()
     assert sum(r.demand for r in rows if r.key.startswith("panelist:")) == n > 1000
-    assert sum(r.pairs for r in q["same_store_counts"](spark, data).collect()) > q["same_store"](spark, data).count()
+    assert sum(r.pairs for r in q["same_store_counts"](spark, data).collect()) > q["same_store"](spark, data).count() > 1000
+    assert q["best_match"](spark, data).count() >= 100
+
+
+def test_scrubbed_documents_are_those_that_a_rule_changes(spark, tmp_path):
+    import hashlib
+    import re
+
+    import __spark_entry__
+    from tierscope.operators import scrub
+
+    texts = ["Hi Bob Smith, write to a@b.org", "12 Oak Tree Street 80202", "call 303-555-1234", "nothing", "", "Hello Ann"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in __spark_entry__.queries()["scrub_pii"](spark, str(tmp_path)).collect()}
+    clean = {i: r[0] for i, r in enumerate(spark.createDataFrame([(t,) for t in texts], "t string").select(scrub.scrub_text(F.col("t"))).collect())}
+    assert set(got) == {i for i, t in enumerate(texts) if clean[i] != t} and 3 not in got and 0 in got
+    assert all(got[i].sha == hashlib.sha256(clean[i].encode()).hexdigest() for i in got) and not re.search("b.org", clean[0])
+
+
+def test_stream_batches_are_checked_refused_and_stored_once(spark, tmp_path):
+    from tierscope.streaming import ingest as streaming
+
+    path = "file://" + str(tmp_path / "s")
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    schema = "observation_id long, panelist_id long, cell_key string, price_minor long, currency string, observed_at timestamp_ntz, received_at timestamp_ntz, request long"
+    row = lambda i, who, m, price=199, request=0: (i, who, "c", price, "USD", at(m), at(m), request)
+    run = streaming.ingest_batch(spark, path, limit=3, minutes=10, request="request", valid=F.col("price_minor") > 0)
+    stored = lambda: sorted(r.observation_id for r in spark.read.parquet(path + "/rows").collect())
+    batch = lambda rows: spark.createDataFrame(rows, schema)
+    run(batch([row(1, 1, 0), row(2, 1, 9), row(3, 1, 18), row(4, 2, 0, -5)]), 0)
+    assert stored() == [1, 3]  # 2 is within ten minutes of 1; 4 isn't valid
+    again = batch([row(1, 1, 0), row(5, 1, 24), row(6, 3, 24, request=7), *(row(10 + i, 4, 40 + 4 * i, request=7) for i in range(4))])
+    run(again, 1)
+    assert stored() == [1, 3]  # 5 is near 3; request 7 has a panelist with four rows in an hour
+    run(batch([row(7, 1, 300), row(8, 3, 24), row(9, 3, 24, 249)]), 2)
+    run(batch([row(7, 1, 300), row(8, 3, 24), row(9, 3, 24, 249)]), 2)
+    assert stored() == [1, 3, 7, 8, 9]
+    run(batch([]), 3)
+    assert stored() == [1, 3, 7, 8, 9]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sizes, text, upc
 from ..schema import CANDIDATES, KEY_TOKENS, MATCH_AT, QUERY_TOKENS
+from ..sources.staged import staged
 
 
 def signed(products: DataFrame, title="title", brand="brand", size_text="size_text") -> DataFrame:
@@ -57,15 +58,23 @@ def standalone_confidence() -> Column:
     return F.least(F.lit(90), 50 + more) / 100
 
 
-def candidates(queries: DataFrame, products: DataFrame, most: int = CANDIDATES, tokens: int = QUERY_TOKENS) -> DataFrame:
-    """query_id, product_id, shared: the products that share the most tokens with each query.
+def candidates(queries: DataFrame, products: DataFrame, most: int = CANDIDATES, tokens: int = QUERY_TOKENS, earlier: bool = False) -> DataFrame:
+    """query_id, product_id, shared: the products that share the most tokens with each query; earlier: of those with a smaller id.
 
-    Both sides are token tables, so nothing but equal tokens meets; a query asks with its first tokens in order."""
-    q = queries.select("query_id", F.explode(F.slice("tokens", 1, tokens)).alias("token"))
+    Both sides are token tables, so nothing but equal tokens meets; a query asks with its first tokens in order. Queries with
+    the same tokens ask once (not with earlier, where the answer is each one's own)."""
+    asked = queries.select("query_id", F.slice("tokens", 1, tokens).alias("asked"))
+    asks = asked.select(F.col("query_id").alias("ask_id"), "asked") if earlier else asked.groupBy("asked").agg(F.min("query_id").alias("ask_id"))
     p = products.select("product_id", F.explode("tokens").alias("token"))
-    shared = q.join(p, "token").groupBy("query_id", "product_id").agg(F.count(F.lit(1)).alias("shared"))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("shared"), "product_id"))
-    return shared.withColumn("rank", best).where(F.col("rank") <= most)
+    met = asks.select("ask_id", F.explode("asked").alias("token")).join(p, "token")
+    if earlier:
+        met = met.where(F.col("product_id") < F.col("ask_id"))
+    shared = met.groupBy("ask_id", "product_id").agg(F.count(F.lit(1)).alias("shared"))
+    best = F.row_number().over(Window.partitionBy("ask_id").orderBy(F.desc("shared"), "product_id"))
+    top = shared.withColumn("rank", best).where(F.col("rank") <= most)
+    if not earlier:
+        top = top.join(asks, "ask_id").join(asked, "asked")
+    return top.select(F.col("ask_id" if earlier else "query_id").alias("query_id"), "product_id", "shared", "rank")
 
 
 def best_match(queries: DataFrame, products: DataFrame, found: DataFrame, threshold: float = MATCH_AT) -> DataFrame:
@@ -104,10 +113,22 @@ def linked(keys: DataFrame, links: DataFrame, products: DataFrame) -> DataFrame:
     return links.join(keys.select("sku_key").distinct(), "sku_key", "left_semi").join(products, "canonical_id")
 
 
-def resolve_batch(batch: DataFrame, links: DataFrame, products: DataFrame, most: int = 200) -> DataFrame:
-    """Ids for the SKUs of a batch in ingest order (position): linked ones keep theirs, a new one may take the id of an
-    earlier new one. The order is the meaning, so new SKUs of one batch, `most` at most, are walked on the driver."""
-    spark = batch.sparkSession
+def roots(pointers: DataFrame) -> DataFrame:
+    """node, up for pointers(node, up), each up followed to its end; pointers go to smaller ids, so there is one.
+
+    Each round doubles the way that every pointer has gone; rounds are few and each is written to the shared folder."""
+    now = staged(pointers, "pointers")
+    while True:
+        on = now.join(now.select(F.col("node").alias("up"), F.col("up").alias("next")), "up", "left")
+        after = staged(on.select("node", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), "pointers")
+        if after.where("moved").isEmpty():
+            return now
+        now = after.drop("moved")
+
+
+def resolve_batch(batch: DataFrame, links: DataFrame, products: DataFrame | None) -> DataFrame:
+    """Ids for the SKUs of a batch in ingest order (position): linked ones keep theirs, a new one may take the id of the best
+    matching earlier new one (ties to the earliest), and so on back to the first."""
     first = batch.groupBy("sku_key").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "sku_key"]), "position").alias("r")).select("sku_key", "r.*")
     told = first.join(links, "sku_key").select("sku_key", "canonical_id", F.lit("linked").alias("method"))
     fresh = signed(first.join(links.select("sku_key"), "sku_key", "left_anti")).withColumn("query_id", F.col("position"))
@@ -117,26 +138,11 @@ def resolve_batch(batch: DataFrame, links: DataFrame, products: DataFrame, most:
         rows = canonical(fresh, best, "known_id")
     else:
         rows = canonical(fresh)
-    rows = rows.select("sku_key", "position", "canonical_id", "method", "tokens", "brand_tokens", "size").orderBy("position").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a batch has at most {most} new products")
-    schema = "sku_key string, canonical_id string, method string"
-    kept: list[dict] = []
-    pairs = [(a, b) for i, b in enumerate(rows) for a in rows[:i] if b["method"] == "fuzzy" and a["method"] == "fuzzy" and set(a["tokens"]) & set(b["tokens"])]
-    same: dict[str, list] = {}
-    if pairs:
-        part = "struct<tokens:array<string>,brand_tokens:array<string>,size:struct<ml:double,g:double,ct:double>>"
-        value = lambda r: (r["tokens"], r["brand_tokens"], r["size"])
-        df = spark.createDataFrame([(a["sku_key"], b["sku_key"], value(a), value(b)) for a, b in pairs], f"x string, y string, a {part}, b {part}")
-        score, reason = compared("a", "b")
-        for r in df.select("x", "y", score.alias("score"), reason.alias("reason")).where("reason is null").collect():
-            same.setdefault(r["y"], []).append((r["score"], r["x"]))
-    ids: dict[str, str] = {}
-    for r in rows:
-        id_ = r["canonical_id"]
-        if found := same.get(r["sku_key"]):
-            top = max(s for s, _ in found)
-            id_ = min(ids[x] for s, x in found if s == top)
-        ids[r["sku_key"]] = id_
-        kept.append({"sku_key": r["sku_key"], "canonical_id": id_, "method": r["method"]})
-    return told.unionByName(spark.createDataFrame([(k["sku_key"], k["canonical_id"], k["method"]) for k in kept], schema))
+    rows = staged(rows.select("sku_key", "position", "canonical_id", "method", "tokens", "brand_tokens", "size"), "fresh")
+    fuzzy = rows.where("method = 'fuzzy'")
+    asking, there = fuzzy.withColumnRenamed("position", "query_id"), fuzzy.withColumnRenamed("position", "product_id")
+    best = best_match(asking, there, candidates(asking, there, earlier=True))
+    ends = roots(best.select(F.col("query_id").alias("node"), F.col("product_id").alias("up")))
+    ids = rows.select(F.col("position").alias("up"), F.col("canonical_id").alias("first_id"))
+    new = rows.join(ends.join(ids, "up"), F.col("position") == F.col("node"), "left").select("sku_key", F.coalesce("first_id", "canonical_id").alias("canonical_id"), "method")
+    return told.unionByName(new)

@@ -1,39 +1,11 @@
-"""Synthetic ladders with a known truth: reproducible per seed, the first n of a sample are those of any longer one."""
+"""Synthetic ladders with a known truth: each row comes from a hash of its seed and position, so any number of tasks makes them,
+and the first n rows of a ladder are those of any longer one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MASK = 0xFFFFFFFF
-
-
-def hash32(text: str) -> int:
-    """FNV-1a over UTF-16 code units, 32 bits."""
-    h = 0x811C9DC5
-    for i in range(0, len(raw := text.encode("utf-16-le")), 2):
-        h = ((h ^ int.from_bytes(raw[i : i + 2], "little")) * 0x01000193) & MASK
-    return h
-
-
-def seed_state(seed: int | str, label: str = "") -> int:
-    return hash32(f"{'number' if isinstance(seed, int) else 'string'}:{seed}|{label}")
-
-
-def mulberry32(state: int) -> Callable[[], float]:
-    a = state & MASK
-
-    def draw() -> float:
-        nonlocal a
-        a = (a + 0x6D2B79F5) & MASK
-        t = ((a ^ (a >> 15)) * (a | 1)) & MASK
-        t ^= (t + (((t ^ (t >> 7)) * (t | 61)) & MASK)) & MASK
-        return (t ^ (t >> 14)) / 4294967296
-
-    return draw
-
 
 def truth(tiers: list[int], probabilities: list[float] | None = None, floor_rarity: float | None = None, plant: tuple[int, float] | None = None) -> dict:
     """Prices in order with their probabilities: uniform by default; the floor's may be set, or a floor be planted below all."""
@@ -53,34 +25,27 @@ def truth(tiers: list[int], probabilities: list[float] | None = None, floor_rari
     return {"prices": [t for t, _ in pairs], "probabilities": [x for _, x in pairs], "floor": pairs[0][0], "floor_probability": pairs[0][1], "k": len(pairs)}
 
 
-def sample_tiers(of: dict, seed: int | str, n: int, stickiness: float = 0.0, observers: int | None = None) -> list[int]:
-    """Tier numbers; an observer repeats its own last tier with probability `stickiness`. Two draws each, whichever is used."""
-    draw, last, out = mulberry32(seed_state(seed, "tiers")), {}, []
-    ends = [sum(of["probabilities"][: i + 1]) for i in range(of["k"])]
-    for i in range(n):
-        who = i if observers is None else i % observers
-        stay, u = draw(), draw()
-        fresh = next((t for t, e in enumerate(ends) if u < e), of["k"] - 1)
-        last[who] = last[who] if who in last and stay < stickiness else fresh
-        out.append(last[who])
-    return out
-
-
-def ladders(spark: SparkSession, specs: list[dict], n: int) -> DataFrame:
-    """seed, position, panelist_id, observed_at, price_minor for each spec(seed, tiers, ...), one task for each seed at most."""
-    rows = spark.createDataFrame([(str(s["seed"]), s["tiers"], s.get("probabilities"), float(s.get("stickiness", 0)), s.get("observers")) for s in specs], "seed string, tiers array<bigint>, probabilities array<double>, stickiness double, observers int")
+def draw(seed: Column, position: Column, label: str) -> Column:
+    """A number in [0, 1): the first 32 bits of the MD5 of seed, label and position."""
+    text = F.concat_ws("|", seed, F.lit(label), position.cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296
 
-    def run(pdf):
-        import pandas as pd
 
-        s = pdf.iloc[0]
-        of = truth([int(t) for t in s.tiers], None if s.probabilities is None else list(s.probabilities))
-        who = None if pd.isna(s.observers) else int(s.observers)
-        tiers = sample_tiers(of, s.seed, n, s.stickiness, who)
-        return pd.DataFrame({"seed": s.seed, "position": range(n), "panelist_id": [i if who is None else i % who for i in range(n)], "price_minor": [of["prices"][t] for t in tiers]})
+def ladders(specs: DataFrame, n: int) -> DataFrame:
+    """seed, position, panelist_id, observed_at, price_minor for specs(seed, tiers in order, probabilities or null, stickiness, observers or null).
 
-    made = rows.groupBy("seed").applyInPandas(run, "seed string, position long, panelist_id long, price_minor long")
-    return made.withColumn("observed_at", F.lit("2026-09-04 15:26:18").cast("timestamp_ntz") + F.make_interval(mins=F.col("position").cast("int")))
+    An observer repeats its own last tier with probability `stickiness`: its price is the last one it drew afresh."""
+    rows = specs.withColumn("position", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    rows = rows.withColumn("panelist_id", F.when(F.col("observers").isNull(), F.col("position")).otherwise(F.col("position") % F.col("observers")))
+    p = F.coalesce("probabilities", F.transform("tiers", lambda _: 1.0 / F.size("tiers")))
+    below = F.aggregate(p, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + F.when(F.col("u") >= a["sum"] + x, 1).otherwise(0)).alias("n")))["n"]
+    tier = F.least(below, F.size("tiers") - 1)
+    drawn = rows.withColumn("u", draw(F.col("seed"), F.col("position"), "tier")).withColumn("own", F.get("tiers", tier))
+    own = Window.partitionBy("seed", "panelist_id").orderBy("position")
+    stays = (draw(F.col("seed"), F.col("position"), "stay") < F.col("stickiness")) & (F.row_number().over(own) > 1)
+    price = F.last(F.when(~F.col("stays"), F.col("own")), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    at = F.lit("2026-09-04 15:26:18").cast("timestamp_ntz") + F.make_interval(mins=F.col("position").cast("int"))
+    return drawn.withColumn("stays", stays).select("seed", "position", "panelist_id", at.alias("observed_at"), price.cast("long").alias("price_minor"))
 
 
 def native_ladder(spark: SparkSession, tiers: list[int], n: int, seed: int = 0) -> DataFrame:

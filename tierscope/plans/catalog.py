@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import coupon, keys, money, sizes, text, upc, urls
 from ..operators import health, ingest, panel, probes, products, resolve, scrub, series, synth, windows
-from ..schema import FORBIDDEN_KEYS
+from ..schema import DEVICES, FORBIDDEN_KEYS, SCHEMA_VERSION, SURFACES, errors
+from ..sources.staged import finished, scratch
 from ..streaming import ingest as streaming
 from . import views as V
 
@@ -132,11 +133,25 @@ def json_clean_session(spark, d):
     return obs(spark, d).select("observation_id", (F.try_variant_get(F.parse_json("props"), "$.k", "int") > 49).alias("flag"), F.get_json_object("props", "$.missing").alias("missing"))
 
 
+def _nested(o):
+    """Observations as the contract has them, some with faults: every tenth count a bad zip3, every seventh no title, dear ones below zero."""
+    i, k = F.col("observation_id"), F.col("k")
+    uuid = lambda c: F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(c.cast("string"), 12, "0"))
+    price = F.when(F.col("price_minor") > 1000, -F.col("price_minor")).otherwise(F.col("price_minor"))
+    return o.select(
+        "observation_id", F.lit(SCHEMA_VERSION).alias("schemaVersion"), uuid(i).alias("observationId"), uuid(F.col("panelist_id")).alias("panelistId"), F.col("observed_at").cast("timestamp").alias("observedAt"), "retailer",
+        F.struct("store_id", F.col("store_label")).cast("struct<retailerStoreId:string,label:string>").alias("store"),
+        F.struct(F.col("sku"), F.lit(None).cast("string"), F.when(k % 7 != 3, F.col("title")).otherwise(""), F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat(F.lit("https://shop.example/"), F.col("sku"))).cast("struct<retailerSku:string,upc:string,title:string,brand:string,sizeText:string,url:string>").alias("product"),
+        F.struct(F.struct(price, "currency"), F.lit("$1"), "is_estimate", F.lit(None), F.lit(None), F.array().cast("array<string>"), F.lit(None)).cast("struct<price:struct<amountMinor:bigint,currency:string>,priceText:string,isEstimate:boolean,wasPrice:struct<amountMinor:bigint,currency:string>,unitPriceText:string,promoTags:array<string>,memberPrice:boolean>").alias("facts"),
+        F.struct("fulfillment", "session_state", F.lit(SURFACES[0]), F.lit(DEVICES[0]), F.when(k % 10 == 0, "8x").otherwise(F.col("zip3")), "clean_session", F.lit(None)).cast("struct<fulfillment:string,sessionState:string,surface:string,device:string,zip3:string,cleanSession:boolean,fulfillmentInferred:boolean>").alias("context"),
+        F.struct("adapter", F.lit("1.0.0"), F.sha2(F.col("props"), 256)).cast("struct<adapter:string,clientVersion:string,evidenceHash:string>").alias("provenance"),
+    )
+
+
 @query
 def validate_rows(spark, d):
-    o = obs(spark, d)
-    checks = F.array_compact(F.array(F.when(F.col("price_minor") > 1000, "price: implausible"), F.when(F.col("zip3").isNull(), "zip3: missing"), F.when(~F.coalesce(F.col("zip3"), F.lit("000")).rlike(r"^\d{3}$"), "zip3: malformed"), F.when(F.col("clean_session").isNull(), "cleanSession: missing")))
-    return o.select("observation_id", F.explode(checks).alias("error"))
+    """The contract's own checks on every row: one row for each error."""
+    return _nested(obs(spark, d)).select("observation_id", F.explode(errors()).alias("error"))
 
 
 @query
@@ -172,9 +187,12 @@ def probe_rows(spark, d):
 
 @query
 def same_store(spark, d):
-    o = obs(spark, d).select("observation_id", "panelist_id", "sku", "retailer", F.when(F.col("observation_id") % 5 == 0, F.lit("s1")).alias("store_id"), "store_label")
-    a, b = o.where("observation_id % 20 = 0").alias("anon"), o.where("observation_id % 20 = 5").alias("mine")
-    return a.join(b, (F.col("anon.panelist_id") == F.col("mine.panelist_id")) & (F.col("anon.sku") == F.col("mine.sku"))).select(F.col("anon.observation_id").alias("a"), F.col("mine.observation_id").alias("m"), probes.same_store().alias("same"))
+    """Verdicts for every two stores at which a panelist saw a product, logged out and logged in: distinct stores meet, not rows."""
+    own = ["panelist_id", "sku", "retailer", "store_id", "store_label"]
+    o = obs(spark, d).withColumn("store_id", F.when(F.col("observation_id") % 5 == 0, F.lit("s1")))
+    a, b = (o.where(F.col("session_state") == s).select(*own).distinct().alias(x) for s, x in (("logged_out", "anon"), ("logged_in", "mine")))
+    met = a.join(b, (F.col("anon.panelist_id") == F.col("mine.panelist_id")) & (F.col("anon.sku") == F.col("mine.sku")))
+    return met.select("anon.panelist_id", "anon.sku", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("anon", "mine") for c in ("store_id", "store_label")), probes.same_store().alias("same"))
 
 
 @query
@@ -363,21 +381,24 @@ def rate_windows(spark, d):
 
 @query
 def rate_counts_left(spark, d):
+    """Every panelist's hours against the counts of what was stored logged in."""
     o = obs(spark, d)
-    asked = o.where("observation_id < 500").select("panelist_id", F.date_trunc("hour", F.col("received_at")).alias("window_start")).distinct()
-    return ingest.counts_for(asked, ingest.rate_windows(o.where("observation_id % 2 = 0")), ["panelist_id", "window_start"])
+    asked = o.select("panelist_id", F.date_trunc("hour", F.col("received_at")).alias("window_start")).distinct()
+    return ingest.counts_for(asked, ingest.rate_windows(o.where("session_state = 'logged_in'")), ["panelist_id", "window_start"])
 
 
 @query
 def rate_demands(spark, d):
-    return ingest.demands(obs(spark, d).where("observation_id < 1000").withColumn("token", F.when(F.col("panelist_id") % 2 == 0, "abc")), keys.rate_token_key("token"))
+    """What all rows ask for, under a token for each retailer but one."""
+    return ingest.demands(obs(spark, d).withColumn("token", F.when(F.col("retailer") != "target", F.col("retailer"))), keys.rate_token_key("token"))
 
 
 @query
 def rate_over_limit(spark, d):
-    o = obs(spark, d)
-    asked = o.where("observation_id < 1000").groupBy(F.concat(F.lit("panelist:"), F.col("panelist_id").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("demand"))
-    have = o.where("observation_id between 1000 and 1999").groupBy(F.concat(F.lit("panelist:"), F.col("panelist_id").cast("string")).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+    """Demand of the later half of January against what the earlier half has stored."""
+    o, half = obs(spark, d), F.col("observed_at") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    key = F.concat(F.lit("panelist:"), F.col("panelist_id").cast("string")).alias("key")
+    asked, have = (o.where(side).groupBy(key).agg(F.count(F.lit(1)).alias(n)) for side, n in ((half, "demand"), (~half, "count")))
     return ingest.over_limit(asked, have, 16).select("key", "demand", "count")
 
 
@@ -465,10 +486,30 @@ def token_candidates_topk(spark, d):
     return products.candidates(_queries(spark, d), _signed(spark, d)).select("query_id", "product_id", "shared", "rank")
 
 
+def _listings(spark, d):
+    """Other sellers' listings of every fiftieth product: the same words in another title, and no code."""
+    p, seller = V.products(spark, d).where("product_id % 50 = 0"), F.col("seller")
+    title = F.when(seller == 0, F.col("title")).when(seller == 1, F.concat(F.lit("The "), "title")).otherwise(F.concat("title", F.lit(", with")))
+    rows = p.withColumn("seller", F.explode(F.array(*map(F.lit, range(3))))).withColumns({"query_id": F.col("product_id") * 3 + seller, "title": title, "upc": F.lit(None).cast("string")})
+    return products.signed(rows.drop("product_id", "seller"))
+
+
+def _matches(spark, d):
+    q, p = _listings(spark, d), _signed(spark, d)
+    return products.best_match(q, p, products.candidates(q, p))
+
+
 @query
 def best_match(spark, d):
-    q, p = _queries(spark, d), _signed(spark, d)
-    return products.best_match(q, p.where("product_id % 50 <> 0"), products.candidates(q, p.where("product_id % 50 <> 0"))).select("query_id", "product_id", six("score").alias("score"))
+    return _matches(spark, d).select("query_id", "product_id", six("score").alias("score"))
+
+
+@query
+def canonical_match(spark, d):
+    """Listings take the id of the best product that is the same, with the score as confidence; the others keep a key of their own."""
+    known = products.canonical(_signed(spark, d)).select("product_id", F.col("canonical_id").alias("known_id"))
+    best = _matches(spark, d).join(known, "product_id").drop("product_id")
+    return products.canonical(_listings(spark, d), best, "known_id").select("query_id", "canonical_id", "method", six("confidence").alias("confidence"))
 
 
 @query
@@ -519,7 +560,7 @@ def product_record(spark, d):
 
 @query
 def identity_batch(spark, d):
-    p = V.products(spark, d).where("product_id <= 120").select(F.concat(F.lit("walmart|"), F.col("product_id").cast("string")).alias("sku_key"), F.col("product_id").alias("position"), "title", "brand", "size_text", "upc")
+    p = V.products(spark, d).select(F.concat(F.lit("walmart|"), F.col("product_id").cast("string")).alias("sku_key"), F.col("product_id").alias("position"), "title", "brand", "size_text", "upc")
     links = p.where("position % 4 = 0").select("sku_key", F.concat(F.lit("known:"), F.col("position").cast("string")).alias("canonical_id"))
     return products.resolve_batch(p, links, None)
 
@@ -655,27 +696,38 @@ def _docs(spark, d):
 
 
 @query
-def scrub_pii(spark, d):
+def scrub_email(spark, d):
+    """The email rule alone: the part of scrub_pii that SQL can check."""
     s = _docs(spark, d).select("doc_id", "text", F.regexp_replace("text", scrub.RULES["email"], r"\[scrubbed\]").alias("clean"))
     return s.where("text <> clean").select("doc_id", F.sha2("clean", 256).alias("sha"), F.length("clean").alias("n_chars"))
 
 
+def scrub_pii(spark, d):
+    """Documents that any rule changes, as they are afterwards."""
+    s = _docs(spark, d).select("doc_id", "text", scrub.scrub_text(F.col("text")).alias("clean"))
+    return s.where("text <> clean").select("doc_id", F.sha2("clean", 256).alias("sha"), F.length("clean").alias("n_chars"))
+
+
+WHOLE["scrub_pii"] = scrub_pii
+
+
 @query
 def scrub_all_rules(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(scrub.scrub_text(F.col("text")), 256).alias("sha"))
 
 
 @query
-def pii_violations(spark, d):
+def pii_violations_two(spark, d):
+    """The findings of the two rules that SQL can check."""
     return scrub.violations(_docs(spark, d), "doc_id", "text").where("rule in ('email', 'zip')")
 
 
-def pii_violations_all(spark, d):
-    """Every rule's findings; pii_violations is the part that SQL can check."""
+def pii_violations(spark, d):
+    """Every rule's findings."""
     return scrub.violations(_docs(spark, d), "doc_id", "text")
 
 
-WHOLE["pii_violations_all"] = pii_violations_all
+WHOLE["pii_violations"] = WHOLE["pii_violations_all"] = pii_violations
 
 
 def _pages(spark, d):
@@ -757,7 +809,9 @@ def waitlist_join(spark, d):
 
 @query
 def synth_ladder(spark, d):
-    return synth.ladders(spark, [{"seed": f"s{i}", "tiers": [199, 249, 299], "stickiness": 0.5, "observers": 10} for i in range(4)], 100)
+    """A ladder for every part: its truth is a function of the part, its sample a hash of seed and position."""
+    p = V.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("seed"), F.transform(F.sequence(F.lit(0), F.col("p_partkey") % 4), lambda i: (199 + 50 * i).cast("long")).alias("tiers"), F.lit(None).cast("array<double>").alias("probabilities"), F.lit(0.5).alias("stickiness"), F.lit(10).alias("observers"))
+    return synth.ladders(p, 30)
 
 
 def _replayed(spark, d, columns):
@@ -770,40 +824,22 @@ def _replayed(spark, d, columns):
     return e.select(*columns)
 
 
-def _finished(spark, stream, mode):
-    import uuid
-
-    name = "s" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", _scratch(spark, name)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
-def _scratch(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/streams/{name}"
-
-
 @query
 def stream_hourly(spark, d):
     s = streaming.hourly(_replayed(spark, d, ["panelist_id", "observed_at"]))
-    return _finished(spark, s, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "panelist_id", "rows")
+    return finished(s, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "panelist_id", "rows")
 
 
 @query
 def stream_dedup(spark, d):
     s = streaming.deduplicated(_replayed(spark, d, ["observation_id", "panelist_id", "sku", "observed_at"]), 720, ("panelist_id", "sku"))
-    return _finished(spark, s, "append").select("observation_id")
+    return finished(s, "append").select("observation_id")
 
 
 @query
 def stream_ingest(spark, d):
-    root = _scratch(spark, "ingest-" + __import__("uuid").uuid4().hex)
+    root = scratch(spark, "ingest")
     rows = _replayed(spark, d, ["observation_id", "panelist_id", "sku", "observed_at"]).withColumns({"received_at": F.col("observed_at"), "cell_key": F.col("sku"), "price_minor": F.lit(199).cast("long"), "currency": F.lit("USD")})
     q = rows.writeStream.foreachBatch(streaming.ingest_batch(spark, root, 1000, 720)).option("checkpointLocation", root + "/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").parquet(root + "/rows").select("observation_id")
+    return spark.read.parquet(root + "/rows").select("observation_id")

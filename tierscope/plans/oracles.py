@@ -126,6 +126,11 @@ MINOR = "'$' || (price // 100) || '.' || lpad(CAST(price % 100 AS VARCHAR), 2, '
 PLURAL = lambda n, noun: f"({n} || ' {noun}' || CASE WHEN {n} = 1 THEN '' ELSE 's' END)"
 EMAIL, ZIP = scrub.RULES["email"], scrub.RULES["zip"]
 
+BEST = f"""picked AS (SELECT top.query_id AS base_id, top.product_id, {DICE} AS score FROM top JOIN q a ON a.query_id = top.query_id JOIN tok b ON b.product_id = top.product_id WHERE {reason()} IS NULL
+        QUALIFY row_number() OVER (PARTITION BY top.query_id ORDER BY {DICE} DESC, top.product_id) = 1),
+best AS (SELECT base_id * 3 + seller AS query_id, product_id, score FROM picked, (SELECT unnest([0, 1, 2]) AS seller))"""
+DRAW = "CAST('0x' || substr(md5(seed || '|{label}|' || position), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
 SQL: dict[str, str] = {
     "cell_resolution": f"{R} SELECT cell_key, {FLAT} FROM r",
     "cell_resolution_noise": f"""WITH {OBS}, v0 AS (SELECT * REPLACE (sku AS cell_key) FROM o WHERE observed_at >= TIMESTAMP '2024-01-01' AND observed_at < TIMESTAMP '2024-02-01'),
@@ -143,17 +148,18 @@ SQL: dict[str, str] = {
     "point_lookup": f"{O} SELECT observation_id, panelist_id, cell_key, price_minor FROM o WHERE observation_id = 42",
     "export_window": f"{O} SELECT observation_id, observed_at, panelist_id, cell_key, price_minor, clean_session FROM o WHERE observed_at >= TIMESTAMP '2024-01-08' AND observed_at < TIMESTAMP '2024-01-15'",
     "json_clean_session": f"{O} SELECT observation_id, k > 49 AS flag, CAST(NULL AS VARCHAR) AS missing FROM o",
-    "validate_rows": f"""{O} SELECT observation_id, 'price: implausible' AS error FROM o WHERE price_minor > 1000 UNION ALL SELECT observation_id, 'zip3: missing' FROM o WHERE zip3 IS NULL
-        UNION ALL SELECT observation_id, 'zip3: malformed' FROM o WHERE NOT regexp_matches(coalesce(zip3, '000'), '^[0-9]{{3}}$') UNION ALL SELECT observation_id, 'cleanSession: missing' FROM o WHERE clean_session IS NULL""",
+    "validate_rows": f"""{O} SELECT observation_id, 'facts.price: not whole USD cents of zero or more' AS error FROM o WHERE price_minor > 1000 UNION ALL SELECT observation_id, 'context.zip3: malformed' FROM o WHERE k % 10 = 0
+        UNION ALL SELECT observation_id, 'product.title: 1 to 512 characters' FROM o WHERE k % 7 = 3 UNION ALL SELECT observation_id, 'store: empty' FROM o WHERE store_label IS NULL""",
     "parse_cell_key": f"{O} SELECT observation_id, observation_id % 7 > 1 AS ok FROM o",
     "forbidden_keys": f"{O} SELECT observation_id, 'list[0].email' AS path FROM o WHERE observation_id % 50 = 0",
     "week_windows": f"""{O} SELECT CAST(w AS INTEGER) AS week, TIMESTAMP '2024-01-01' + to_days(CAST(7 * (w - 1) AS INTEGER)) AS start, TIMESTAMP '2024-01-01' + to_days(CAST(7 * w AS INTEGER)) AS "end", count(*) AS rows, count(DISTINCT panelist_id) AS panelists
         FROM range(1, 5) t(w) JOIN o ON observed_at >= TIMESTAMP '2024-01-01' + to_days(CAST(7 * (w - 1) AS INTEGER)) AND observed_at < TIMESTAMP '2024-01-01' + to_days(CAST(7 * w AS INTEGER)) GROUP BY ALL""",
     "since_dates": f"{O} SELECT CAST(CAST(observed_at AS DATE) AS VARCHAR) AS day, count(*) AS rows FROM o WHERE CAST(observed_at AS DATE) >= DATE '2024-01-24' GROUP BY ALL",
     "probe_rows": f"{O} SELECT observation_id, panelist_id, price_minor FROM o WHERE session_state = 'logged_out' AND clean_session IS TRUE",
-    "same_store": f"""{O}, s AS (SELECT observation_id, panelist_id, sku, retailer, CASE WHEN observation_id % 5 = 0 THEN 's1' END AS store_id, store_label FROM o)
-        SELECT a.observation_id AS a, m.observation_id AS m, CASE WHEN a.store_id IS NOT NULL AND m.store_id IS NOT NULL THEN a.store_id = m.store_id WHEN a.retailer <> 'instacart' AND a.store_label IS NOT NULL AND m.store_label IS NOT NULL THEN a.store_label = m.store_label END AS same
-        FROM s a JOIN s m ON a.panelist_id = m.panelist_id AND a.sku = m.sku WHERE a.observation_id % 20 = 0 AND m.observation_id % 20 = 5""",
+    "same_store": f"""{O}, s AS (SELECT DISTINCT panelist_id, sku, retailer, session_state, CASE WHEN observation_id % 5 = 0 THEN 's1' END AS store_id, store_label FROM o)
+        SELECT a.panelist_id, a.sku, a.store_id AS anon_store_id, a.store_label AS anon_store_label, m.store_id AS mine_store_id, m.store_label AS mine_store_label,
+        CASE WHEN a.store_id IS NOT NULL AND m.store_id IS NOT NULL THEN a.store_id = m.store_id WHEN a.retailer <> 'instacart' AND a.store_label IS NOT NULL AND m.store_label IS NOT NULL THEN a.store_label = m.store_label END AS same
+        FROM s a JOIN s m ON a.panelist_id = m.panelist_id AND a.sku = m.sku WHERE a.session_state = 'logged_out' AND m.session_state = 'logged_in'""",
     "coupon_required": "WITH t AS (SELECT k, list_sum(list_transform(range(1, k + 1), lambda i: 1::DOUBLE / i)) AS h FROM range(1, 21) r(k)) SELECT CAST(k AS INTEGER) AS k, round(h, 6) AS harmonic, round(k * h, 6) AS expected, CAST(ceil(round(1.5 * k * h, 9)) AS BIGINT) AS required FROM t",
     "coupon_all_seen": f"WITH g AS (SELECT CAST(k AS INTEGER) AS k, n, list_transform(range(1, k + 1), lambda i: i * 2.0::DOUBLE / (k * (k + 1))) AS shares FROM range(1, 9) a(k), (SELECT unnest([0, 1, 5, 6, 20, 100]) AS n) b) SELECT k, n, round({all_seen('shares', 'n', 'k')}, 6) AS p FROM g",
     "expected_draws": """WITH g AS (SELECT CAST(k AS INTEGER) AS k, list_transform(range(1, k + 1), lambda i: i * 2.0::DOUBLE / (k * (k + 1))) AS shares FROM range(1, 9) a(k)),
@@ -196,11 +202,11 @@ SQL: dict[str, str] = {
     "flags_semi": f"{O} SELECT * FROM flags WHERE panelist_id IN (SELECT panelist_id FROM o WHERE sku = 'view')",
     "flag_counts": f"{O} SELECT status, count(*) AS panelists FROM flags GROUP BY ALL",
     "rate_windows": f"{O} SELECT panelist_id, date_trunc('hour', received_at) AS window_start, count(*) AS count FROM o GROUP BY ALL",
-    "rate_counts_left": f"""{O}, a AS (SELECT DISTINCT panelist_id, date_trunc('hour', received_at) AS window_start FROM o WHERE observation_id < 500), b AS (SELECT panelist_id, date_trunc('hour', received_at) AS window_start, count(*) AS c FROM o WHERE observation_id % 2 = 0 GROUP BY ALL)
+    "rate_counts_left": f"""{O}, a AS (SELECT DISTINCT panelist_id, date_trunc('hour', received_at) AS window_start FROM o), b AS (SELECT panelist_id, date_trunc('hour', received_at) AS window_start, count(*) AS c FROM o WHERE session_state = 'logged_in' GROUP BY ALL)
         SELECT panelist_id, window_start, coalesce(c, 0) AS count FROM a LEFT JOIN b USING (panelist_id, window_start)""",
-    "rate_demands": f"""{O} SELECT CASE WHEN panelist_id % 2 = 0 THEN 'token:' || substr(sha256('abc'), 1, 16) ELSE 'token:open' END AS key, count(*) AS demand FROM o WHERE observation_id < 1000 GROUP BY ALL
-        UNION ALL SELECT 'panelist:' || panelist_id, count(*) FROM o WHERE observation_id < 1000 GROUP BY panelist_id""",
-    "rate_over_limit": f"""{O}, a AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS demand FROM o WHERE observation_id < 1000 GROUP BY ALL), b AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS c FROM o WHERE observation_id BETWEEN 1000 AND 1999 GROUP BY ALL)
+    "rate_demands": f"""{O} SELECT CASE WHEN retailer <> 'target' THEN 'token:' || substr(sha256(retailer), 1, 16) ELSE 'token:open' END AS key, count(*) AS demand FROM o GROUP BY ALL
+        UNION ALL SELECT 'panelist:' || panelist_id, count(*) FROM o GROUP BY panelist_id""",
+    "rate_over_limit": f"""{O}, a AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS demand FROM o WHERE observed_at >= TIMESTAMP '2024-01-16' GROUP BY ALL), b AS (SELECT 'panelist:' || panelist_id AS key, count(*) AS c FROM o WHERE observed_at < TIMESTAMP '2024-01-16' GROUP BY ALL)
         SELECT key, demand, coalesce(c, 0) AS count FROM a LEFT JOIN b USING (key) WHERE demand + coalesce(c, 0) > 16""",
     "same_store_counts": f"""{O}, s AS (SELECT observation_id, panelist_id, sku, retailer, session_state, CASE WHEN observation_id % 5 = 0 THEN 's1' END AS store_id, store_label FROM o)
         SELECT a.panelist_id, a.sku, CASE WHEN a.store_id IS NOT NULL AND m.store_id IS NOT NULL THEN a.store_id = m.store_id WHEN a.retailer <> 'instacart' AND a.store_label IS NOT NULL AND m.store_label IS NOT NULL THEN a.store_label = m.store_label END AS same, count(*) AS pairs
@@ -219,9 +225,9 @@ SQL: dict[str, str] = {
     "latest_own": f"{O} SELECT panelist_id, sku, observation_id, price_minor FROM o WHERE clean_session IS DISTINCT FROM TRUE QUALIFY row_number() OVER (PARTITION BY panelist_id, sku ORDER BY observed_at DESC, observation_id DESC) = 1",
     "sku_links_inner": f"WITH {PRODUCTS} SELECT 'target|' || a.product_id AS sku_key, b.product_id AS canonical_id, b.title FROM p0 a JOIN p0 b ON b.product_id = a.product_id // 2 WHERE a.product_id % 3 = 0",
     "token_candidates_topk": f"WITH {PRODUCTS}, {CANDIDATES.replace('{src}', 'tok')} SELECT query_id, product_id, shared, rank FROM top",
-    "best_match": f"""WITH {PRODUCTS}, src AS (SELECT * FROM tok WHERE product_id % 50 <> 0), {CANDIDATES.replace("{src}", "src")}
-        SELECT top.query_id, top.product_id, round({DICE}, 6) AS score FROM top JOIN q a ON a.query_id = top.query_id JOIN tok b ON b.product_id = top.product_id WHERE {reason()} IS NULL
-        QUALIFY row_number() OVER (PARTITION BY top.query_id ORDER BY {DICE} DESC, top.product_id) = 1""",
+    "best_match": f"WITH {PRODUCTS}, {CANDIDATES.replace('{src}', 'tok')}, {BEST} SELECT query_id, product_id, round(score, 6) AS score FROM best",
+    "canonical_match": f"""WITH {PRODUCTS}, {CANDIDATES.replace("{src}", "tok")}, {BEST}, u AS (SELECT *, {gtin("upc")} AS code FROM tok), k AS (SELECT product_id, coalesce('gtin:' || code, {FUZZY}) AS id FROM u)
+        SELECT query_id, id AS canonical_id, 'fuzzy' AS method, round(score, 6) AS confidence FROM best JOIN k USING (product_id)""",
     "tokenize_titles": f"WITH {PRODUCTS} SELECT product_id, array_to_string(tokens, '-') AS tokens, array_to_string(brand_tokens, '-') AS brand_tokens FROM tok",
     "size_compare": f"WITH {PRODUCTS} SELECT a.product_id AS a, b.product_id AS b, {SIZES} AS sizes FROM tok a JOIN tok b ON b.product_id = a.product_id + 1",
     "normalize_upc": f"""WITH c AS (SELECT p_partkey AS product_id, lpad(CAST(p_partkey * 7919 AS VARCHAR), 11, '0') || (p_partkey % 10) AS code FROM part)
@@ -273,8 +279,8 @@ SQL: dict[str, str] = {
     "capture_outcomes": f"""{O}, x AS (SELECT panelist_id, sku || '|' || price_minor AS rendering, observation_id, k % 10 = 9 AS bad FROM o), y AS (SELECT *, observation_id = min(CASE WHEN NOT bad THEN observation_id END) OVER (PARTITION BY panelist_id, rendering) AS first FROM x)
         SELECT CASE WHEN bad THEN 'extract_failed' WHEN first THEN 'stored' ELSE 'duplicate' END AS outcome, count(*) AS rows FROM y GROUP BY ALL""",
     "backoff": "SELECT f AS failures, CASE WHEN f <= 0 THEN 0 ELSE CAST(least(86400000, 900000 * power(2, f - 1)) AS BIGINT) END AS ms FROM range(0, 12) t(f)",
-    "scrub_pii": f"WITH s AS (SELECT doc_id, text, regexp_replace(text, '{EMAIL}', '[scrubbed]', 'g') AS c FROM documents) SELECT doc_id, sha256(c) AS sha, CAST(length(c) AS INTEGER) AS n_chars FROM s WHERE text <> c",
-    "pii_violations": f"""SELECT doc_id, rule, hits[1] AS first, CAST(len(hits) AS INTEGER) AS hits FROM (SELECT doc_id, 'email' AS rule, regexp_extract_all(text, '{EMAIL}') AS hits FROM documents UNION ALL SELECT doc_id, 'zip', regexp_extract_all(text, '{ZIP}') FROM documents) WHERE len(hits) > 0""",
+    "scrub_email": f"WITH s AS (SELECT doc_id, text, regexp_replace(text, '{EMAIL}', '[scrubbed]', 'g') AS c FROM documents) SELECT doc_id, sha256(c) AS sha, CAST(length(c) AS INTEGER) AS n_chars FROM s WHERE text <> c",
+    "pii_violations_two": f"""SELECT doc_id, rule, hits[1] AS first, CAST(len(hits) AS INTEGER) AS hits FROM (SELECT doc_id, 'email' AS rule, regexp_extract_all(text, '{EMAIL}') AS hits FROM documents UNION ALL SELECT doc_id, 'zip', regexp_extract_all(text, '{ZIP}') FROM documents) WHERE len(hits) > 0""",
     "text_sha256": "SELECT doc_id, sha256(text) AS sha FROM documents",
     "json_ld": "SELECT page_id, CAST(page_id AS VARCHAR) AS sku, (page_id % 90) * 100 + 50 AS price_minor FROM pages",
     "url_canonical": """WITH u AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) AS base, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) AS p FROM pages)
@@ -285,6 +291,9 @@ SQL: dict[str, str] = {
     "money_parse": "SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS amount_minor, '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) AS token, '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) AS shown FROM part",
     "waitlist_validate": "SELECT * FROM (VALUES (' A@B.co ', 'a@b.co', TRUE), ('a@b', 'a@b', FALSE), ('a@@b.co', 'a@@b.co', FALSE), ('', '', FALSE), ('x y@z.com', 'x y@z.com', FALSE), ('ok@mail.example', 'ok@mail.example', TRUE), ('@b.co', '@b.co', FALSE), ('a@.co', 'a@.co', FALSE), ('a@b.', 'a@b.', FALSE)) t(raw, email, ok)",
     "waitlist_join": f"{O} SELECT 'u' || (panelist_id % 40) || '@mail.example' AS email, min(observed_at) AS \"at\" FROM o GROUP BY ALL",
+    "synth_ladder": f"""WITH p AS (SELECT 'p' || p_partkey AS seed, p_partkey % 4 + 1 AS k, unnest(range(30)) AS position FROM part),
+        s AS (SELECT seed, position, position % 10 AS panelist_id, 199 + 50 * CAST(floor({DRAW.replace("{label}", "tier")} * k) AS BIGINT) AS own, {DRAW.replace("{label}", "stay")} < 0.5 AND position >= 10 AS stays FROM p)
+        SELECT seed, position, panelist_id, TIMESTAMP '2026-09-04 15:26:18' + to_minutes(position) AS observed_at, last_value(CASE WHEN NOT stays THEN own END IGNORE NULLS) OVER (PARTITION BY seed, panelist_id ORDER BY position) AS price_minor FROM s""",
     "stream_hourly": f"{O} SELECT date_trunc('hour', observed_at) AS hour, panelist_id, count(*) AS rows FROM o GROUP BY ALL",
 }
 SQL["stream_dedup"] = SQL["semantic_dedup"]

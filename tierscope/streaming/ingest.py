@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ingest
 from ..schema import DEDUP_MINUTES, RATE_LIMIT, WINDOW_HOURS
+from ..sources.staged import staged
 
 
 def hourly(stream: DataFrame, key: str = "panelist_id", ts: str = "observed_at") -> DataFrame:
@@ -56,31 +58,52 @@ def throttled(stream: DataFrame, minutes: float = 60, key: tuple[str, ...] = ("p
     return deduplicated(stream, minutes, key)
 
 
-def ingest_batch(spark: SparkSession, path: str, limit: int = RATE_LIMIT, minutes: float = DEDUP_MINUTES):
-    """A foreachBatch function: rate check, dedup by id and by meaning, append. path: folder of observations and counts.
+def ingest_batch(spark: SparkSession, path: str, limit: int = RATE_LIMIT, minutes: float = DEDUP_MINUTES, request: str = "panelist_id", valid: Column | None = None):
+    """A foreachBatch function: checks, rate limit, dedup by id and by meaning, append. path: folder of `rows` and `counts`.
 
-    A panelist over its hourly limit has the rows of the batch refused, and they aren't counted. A batch that is tried
-    again writes its own folder anew, so it is stored once."""
+    valid: what a row has to meet; others are left out. request: the column that tells requests apart; one that holds a panelist over the
+    hourly limit is refused whole and isn't counted. Rows are stored by the hour they were observed, and counts by the hour they were received, so a
+    batch reads the hours around its own, and of all other rows the ids alone. A batch that is tried again writes its own
+    partitions anew, so it is stored once."""
+    micro = f"interval {int(minutes * 60)} seconds"
 
     def run(batch: DataFrame, epoch: int) -> None:
         own = spark if batch.sparkSession is None else batch.sparkSession
-        batch = batch.withColumn("window_start", F.date_trunc("hour", F.col("received_at").cast("timestamp")))
-        stored = own.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{path}/rows").where(~F.col("_metadata.file_path").contains(f"/epoch={epoch}/")) if _there(own, f"{path}/rows") else batch.limit(0)
-        seen = stored.groupBy("panelist_id", "window_start").agg(F.count(F.lit(1)).alias("have"))
-        asked = batch.groupBy("panelist_id", "window_start").agg(F.count(F.lit(1)).alias("want")).join(seen, ["panelist_id", "window_start"], "left")
-        over = asked.where(F.col("want") + F.coalesce("have", F.lit(0)) > limit).select("panelist_id").distinct()
-        rows = batch.join(over, "panelist_id", "left_anti")
-        rows = ingest.semantic_dedup(ingest.new_rows(rows, stored), stored, minutes)
-        rows.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+        batch = staged(batch if valid is None else batch.where(valid), "batch").withColumn("window_start", F.date_trunc("hour", F.col("received_at").cast("timestamp")))
+        first, last = batch.agg(F.min("observed_at"), F.max("observed_at")).first()
+        if first is None:
+            return
+        rows, counts = _stored(own, f"{path}/rows", batch.withColumn("hour", _hour("observed_at")), epoch), _stored(own, f"{path}/counts", _counts(batch), epoch)
+        # the windows of a batch: an equality on the partition column, which prunes what is read
+        hours = [r[0] for r in batch.select(_hour("window_start")).distinct().collect()]
+        asked = batch.groupBy("panelist_id", "window_start").agg(F.count(F.lit(1)).alias("want"))
+        have = counts.where(F.col("hour").isin(hours)).groupBy("panelist_id", "window_start").agg(F.sum("n").alias("have"))
+        over = asked.join(have, ["panelist_id", "window_start"], "left").where(F.col("want") + F.coalesce("have", F.lit(0)) > limit).select("panelist_id").distinct()
+        refused = batch.join(over, "panelist_id", "left_semi").select(request).distinct()
+        taken = ingest.new_rows(batch.join(refused, request, "left_anti"), rows)
+        near = rows.where(F.col("hour").between(_hour(F.lit(first) - F.expr(micro)), _hour(F.lit(last) + F.expr(micro))))
+        kept = staged(ingest.semantic_dedup(taken, near, minutes), "kept")
+        for df, name in ((kept.withColumn("hour", _hour("observed_at")), "rows"), (_counts(kept), "counts")):
+            df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "epoch").parquet(f"{path}/{name}")
 
     return run
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+def _hour(at: Column | str) -> Column:
+    return F.date_format(F.col(at) if isinstance(at, str) else at, "yyyyMMddHH").cast("long").alias("hour")
+
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("panelist_id", "window_start").agg(F.count(F.lit(1)).alias("n")).withColumn("hour", _hour("window_start"))
+
+
+def _stored(spark: SparkSession, path: str, like: DataFrame, epoch: int) -> DataFrame:
+    """What other epochs have stored under path, with the columns of `like`."""
     try:
-        spark.read.option("recursiveFileLookup", "true").parquet(path).schema
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return False
-        raise
-    return True
+        there = spark.read.schema(like.schema.add("epoch", "long")).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+    return there.where(F.col("epoch") != epoch).drop("epoch")
