@@ -264,7 +264,9 @@ def test_pii_violations_all_has_every_rule(spark, tmp_path):
         for rule, p in scrub.RULES.items():
             if found := [m[0] for m in re.finditer(p, t, re.ASCII)]:
                 want.append((i, rule, found[0], len(found)))
-    got = __spark_entry__.queries()["pii_violations"](spark, str(tmp_path)).select("doc_id", "rule", "first", "hits")
+    got = __spark_entry__.queries()["pii_violations"](spark, str(tmp_path))
+    assert all(r.first in r.sample and len(r.sample) <= len(r.first) + 40 + 40 for r in got.collect())
+    got = got.select("doc_id", "rule", "first", "hits")
     assert {rule for _, rule, *_ in want} == set(scrub.RULES)
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
@@ -316,3 +318,47 @@ def test_stream_batches_are_checked_refused_and_stored_once(spark, tmp_path):
     assert stored() == [1, 3, 7, 8, 9]
     run(batch([]), 3)
     assert stored() == [1, 3, 7, 8, 9]
+
+
+def test_pages_that_are_not_scrubbed(spark):
+    page = '<p>Call 303-555-1234 now</p><!-- c --><script>x</script><a href="https://a.b/c?d">x</a><a href="/c" onclick="y">a@b.org</a>'
+    df = spark.createDataFrame([(page,), ("<p>fine</p>",), (None,)], "html string").select(scrub.page_violations(F.col("html")).alias("v"), scrub.page_violations(scrub.scrub_html(F.col("html"))).alias("after"))
+    got = df.collect()
+    assert {v.rule for v in got[0].v} >= {"phone", "comment", "dropped-tag", "href", "attribute", "email"} and got[1].v == [] and got[2].v == []
+    assert all(r.after == [] for r in got)
+
+
+def test_fixture_problems(spark):
+    meta = lambda **x: json.dumps({"retailer": "target", "sessionState": "logged_in", "store": {"label": "Store 1"}, "expected": {"priceText": "$1.29", "title": "Milk", "price": {"amountMinor": 129}}} | x)
+    html = "<h1>Milk</h1><p>$1.29</p>"
+    rows = [("f/target/a.html", html, meta()), ("f/walmart/a-logged-out.html", html, meta(store={"label": "80202"})), ("f/target/b.html", "<p>none</p>", meta(expected={"priceText": "$1.29", "title": "Milk", "price": {"amountMinor": 1}})), ("f/target/c.html", html, None), ("f/target/d.html", html + "x" * 500_000, meta())]
+    got = {}
+    for r in scrub.fixture_problems(spark.createDataFrame(rows, "path string, html string, meta string")).collect():
+        got.setdefault(r.path, set()).add(r.problem)
+    assert "f/target/a.html" not in got and got["f/target/c.html"] == {"no sidecar"} and got["f/target/d.html"] == {"over 409600 bytes"}
+    assert got["f/walmart/a-logged-out.html"] == {"retailer and folder disagree", "name and session disagree", "store label has a full ZIP code"}
+    assert got["f/target/b.html"] == {"price text not on the page", "title not on the page", "price text and amount disagree"}
+
+
+def test_pilot_settings():
+    from tierscope.sources.pilot import pilot
+
+    given = {"metro": "Denver", "retailer": "target", "recruiting_source": "posters", "panel_target": [30, 60], "api_base_url": "https://a.b"}
+    assert pilot(given).weeks == 2 and pilot(given).thresholds.multi_tier_share == 0.2
+    for wrong in ({"retailer": "Y"}, {"weeks": 9}, {"zip3s": ["80202"]}, {"start_date": "soon"}, {"odd": 1}, {"thresholds": {"multi_tier_share": 2}}):
+        with pytest.raises(ValueError):
+            pilot({**given, **wrong})
+
+
+def test_completed_observations(spark):
+    page = spark.createDataFrame([("target@1.0.0", "e" * 64, "target", "u")] * 2, "adapter string, evidenceHash string, retailer string, url string")
+    got = ingest.completed(page, F.lit("p"), F.lit("1.0.0")).collect()
+    assert len({r.observationId for r in got}) == 2 and all(r.provenance.clientVersion == "1.0.0" and r.provenance.evidenceHash == "e" * 64 and r.observedAt and r.retailer == "target" for r in got)
+
+
+def test_deleting_twice_deletes_nothing(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "panelist_id long, x string")
+    ids = spark.createDataFrame([(2,), (3,)], "panelist_id long")
+    kept, counts = ingest.deleted({"rows": rows}, ids)
+    assert counts.first().deleted == 2 and sorted(r.x for r in kept["rows"].collect()) == ["a", "d"] and kept["rows"].columns == rows.columns
+    assert ingest.deleted(kept, ids)[1].first().deleted == 0

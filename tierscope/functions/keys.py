@@ -56,3 +56,12 @@ def rotating_id(panelist: str, day: str, days: int = 7) -> Column:
 
 def rate_token_key(token: str) -> Column:
     return F.when(F.col(token).isNull(), "token:open").otherwise(F.concat(F.lit("token:"), F.substring(F.sha2(token, 256), 1, 16)))
+
+
+def device_class(width: Column, coarse: Column) -> Column:
+    """Touch-first screens below 768 are mobile and below 1200 tablets; all else is a desktop."""
+    return F.when(coarse & (width < 768), "mobile").when(coarse & (width < 1200), "tablet").otherwise("desktop")
+
+
+def surface_of(device: Column) -> Column:
+    return F.when(device == "desktop", "web").otherwise("mobile_web")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import SEMANTIC
-from ..schema import ABUSE_HIGH, ABUSE_LOW, ABUSE_PANELISTS, DEDUP_MINUTES, RATE_LIMIT, RETENTION_DAYS
+from ..schema import ABUSE_HIGH, ABUSE_LOW, ABUSE_PANELISTS, DEDUP_MINUTES, RATE_LIMIT, RETENTION_DAYS, SCHEMA_VERSION
 
 
 def first_of(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
@@ -134,3 +134,42 @@ def live_sent(sent: DataFrame, stored: DataFrame, now: Column, days: int = 7) ->
 def backoff_ms(failures: Column) -> Column:
     """15 minutes, doubled for each failure after the first, a day at most."""
     return F.when(failures <= 0, 0).otherwise(F.least(F.lit(86_400_000.0), 900_000 * F.pow(F.lit(2.0), failures - 1))).cast("long")
+
+
+def completed(extracted: DataFrame, panelist: Column, client_version: Column, at: Column | None = None) -> DataFrame:
+    """What a page gave, as whole observations: an id of its own, the panelist, the time and the provenance."""
+    rest = [c for c in extracted.columns if c not in ("adapter", "evidenceHash")]
+    provenance = F.struct(F.col("adapter").alias("adapter"), client_version.alias("clientVersion"), F.col("evidenceHash").alias("evidenceHash"))
+    return extracted.select(F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.uuid().alias("observationId"), panelist.alias("panelistId"), (F.current_timestamp() if at is None else at).alias("observedAt"), *rest, provenance.alias("provenance"))
+
+
+def ids_to_delete(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """panelist_id, known: the identity's own ids, then any other that is still on a stored row; each once."""
+    own = known.select("panelist_id").distinct()
+    others = rows.select("panelist_id").distinct().join(own, "panelist_id", "left_anti")
+    return own.withColumn("known", F.lit(True)).union(others.withColumn("known", F.lit(False)))
+
+
+def _split(tables: dict[str, DataFrame], stays: dict[str, Column]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What stays of each table, and (table, deleted) for all of them."""
+    counts = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count_if(~F.coalesce(stays[name], F.lit(False))).alias("deleted")).select(F.lit(name).alias("table"), "deleted")
+        counts = one if counts is None else counts.union(one)
+    return {name: rows.where(stays[name]) for name, rows in tables.items()}, counts
+
+
+def deleted(tables: dict[str, DataFrame], ids: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table without the rows of these panelists, and how many each lost; a second time deletes nothing."""
+    gone = ids.select("panelist_id", F.lit(True).alias("_gone")).distinct()
+    marked = {name: rows.join(gone, "panelist_id", "left") for name, rows in tables.items()}
+    kept, counts = _split(marked, dict.fromkeys(tables, F.col("_gone").isNull()))
+    return {name: rows.drop("_gone") for name, rows in kept.items()}, counts
+
+
+def retained(observations: DataFrame, flags: DataFrame, buckets: DataFrame, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What stays of raw rows by receipt, of flags by the time they were set, and of rate buckets by their window; and what goes.
+
+    Rows exactly at a cutoff stay."""
+    raw, hours = now - F.expr(f"interval {RETENTION_DAYS} days"), now - F.expr("interval 2 hours")
+    return _split({"observations": observations, "flags": flags, "buckets": buckets}, {"observations": F.col("received_at") >= raw, "flags": F.col("flagged_at") >= raw, "buckets": F.col("window_start") >= hours})

@@ -100,3 +100,13 @@ def twice_seen(votes: DataFrame) -> DataFrame:
 
 def session_rank(obs: DataFrame) -> DataFrame:
     return obs.withColumn("nth", F.row_number().over(Window.partitionBy("panelist_id").orderBy("observed_at", "observation_id")))
+
+
+def window_totals(obs: DataFrame) -> DataFrame:
+    """One row: rows, panelists and the latest time; null where there is none."""
+    return obs.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("panelist_id").alias("panelists"), F.max("observed_at").alias("latest"))
+
+
+def panelist_cells(obs: DataFrame) -> DataFrame:
+    """Each panelist's cells once, with the time it was first seen there."""
+    return obs.groupBy("panelist_id", "cell_key").agg(F.min("observed_at").alias("first_seen"))

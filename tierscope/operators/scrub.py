@@ -46,10 +46,13 @@ def scrub_text(text: Column, names: list[str] = (), selector: bool = False) -> C
 
 
 def violations(rows: DataFrame, key: str, text: str, names: list[str] = ()) -> DataFrame:
-    """One row for each rule that finds something: key, rule, first (its first hit), hits."""
+    """One row for each rule that finds something: key, rule, first (its first hit), hits, sample (it with up to 20 characters on each side)."""
     found = F.array(*(F.struct(F.lit(rule).alias("rule"), F.regexp_extract_all(text, F.lit(p), 0).alias("all")) for rule, p in rules(names).items()))
-    hits = rows.select(key, F.explode(found).alias("v")).where(F.size("v.all") > 0)
-    return hits.select(key, "v.rule", F.get("v.all", F.lit(0)).alias("first"), F.size("v.all").alias("hits"))
+    hits = rows.select(key, F.col(text).alias("_text"), F.explode(found).alias("v")).where(F.size("v.all") > 0)
+    first = F.get("v.all", F.lit(0))
+    at = F.instr("_text", first)
+    begin = F.greatest(at - 20, F.lit(1))
+    return hits.select(key, "v.rule", first.alias("first"), F.size("v.all").alias("hits"), F.substring("_text", begin, at + F.length(first) + 20 - begin).alias("sample"))
 
 
 def visible_text(html: Column) -> Column:
@@ -102,6 +105,76 @@ class _Scrubber(HTMLParser):
             self.out.append(escape(self.clean(data), quote=False))
 
 
+class _Checker(HTMLParser):
+    """Collects what a scrubbed page may not have: (rule, where, sample)."""
+
+    def __init__(self, names: list[str]):
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[str, str, str]] = []
+        self.full, self.light = ({k: re.compile(p) for k, p in rules(names, s).items()} for s in (False, True))
+
+    def look(self, text: str, where: str, selector: bool = False) -> None:
+        for rule, p in (self.light if selector else self.full).items():
+            self.found += [(rule, where, text[max(0, m.start() - 20) : m.end() + 20]) for m in p.finditer(text)]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in DROPPED:
+            self.found.append(("dropped-tag", "tag", f"<{tag}>"))
+        for k, v in attrs:
+            v = v or ""
+            if not (k == "href" or k in KEPT_ATTRIBUTES or k.startswith(("data-", "aria-"))):
+                self.found.append(("attribute", f"attr:{k}", f"<{tag} {k}>"))
+                continue
+            if k == "href" and not re.fullmatch(r"/[^?#]*", v):
+                self.found.append(("href", "attr:href", v[:80]))
+            self.look(v, f"attr:{k}", k in SELECTORS)
+
+    def handle_comment(self, data):
+        self.found.append(("comment", "tag", "<!-- -->"))
+
+    def handle_data(self, data):
+        self.look(data, "text")
+
+
+def page_violations(html: Column, names: list[str] = ()) -> Column:
+    """Every way in which a page isn't scrubbed: array of (rule, where, sample); empty for a clean one."""
+    own = list(names)
+
+    @F.pandas_udf("array<struct<rule:string,where:string,sample:string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        def one(page):
+            c = _Checker(own)
+            c.feed(page or "")
+            c.close()
+            return [{"rule": a, "where": b, "sample": s} for a, b, s in c.found]
+
+        return pages.map(one)
+
+    return run(html)
+
+
+META = "retailer string, sessionState string, store struct<label:string>, expected struct<priceText:string,title:string,price:struct<amountMinor:bigint>>"
+MOST_BYTES = 400 * 1024
+
+
+def fixture_problems(pages: DataFrame, names: list[str] = ()) -> DataFrame:
+    """path, problem for pages(path, html, meta): recorded pages with the JSON of what is expected of them, or null."""
+    m, part = F.from_json("meta", META), F.split("path", "/")
+    slug = F.regexp_replace(F.element_at(part, -1), r"\.html$", "")
+    text, cents = visible_text(F.col("html")), F.round(F.regexp_replace("m.expected.priceText", r"[^0-9.]", "").try_cast("double") * 100)
+    lacks = lambda c: ~F.contains(text, F.coalesce(c, F.lit("")))
+    rows = pages.withColumns({"m": m, "broken": page_violations(F.col("html"), names)})
+    bad = F.transform("broken", lambda v: F.concat(v["rule"], F.lit(" in "), v["where"], F.lit(": "), v["sample"]))
+    there = F.col("meta").isNotNull()
+    told = F.array(
+        F.when(F.octet_length("html") > MOST_BYTES, F.lit(f"over {MOST_BYTES} bytes")), F.when(~there, "no sidecar"), F.when(there & F.col("m.retailer").isNull(), "sidecar without a retailer"),
+        F.when(there & (F.element_at(part, -2) != F.col("m.retailer")), "retailer and folder disagree"), F.when(there & (slug.endswith("-logged-out") != (F.col("m.sessionState") == "logged_out")), "name and session disagree"),
+        F.when(there & lacks(F.col("m.expected.priceText")), "price text not on the page"), F.when(there & lacks(F.col("m.expected.title")), "title not on the page"),
+        F.when(there & (cents != F.col("m.expected.price.amountMinor")), "price text and amount disagree"), F.when(there & F.col("m.store.label").rlike(r"\d{5}"), "store label has a full ZIP code"),
+    )
+    return rows.select("path", F.explode(F.concat(F.array_compact(told), bad)).alias("problem"))
+
+
 def scrub_html(html: Column, names: list[str] = ()) -> Column:
     """A page scrubbed element by element, in Arrow batches; its SHA-256 is the evidence hash."""
     own = list(names)

@@ -719,7 +719,7 @@ def scrub_all_rules(spark, d):
 @query
 def pii_violations_two(spark, d):
     """The findings of the two rules that SQL can check."""
-    return scrub.violations(_docs(spark, d), "doc_id", "text").where("rule in ('email', 'zip')")
+    return scrub.violations(_docs(spark, d), "doc_id", "text").where("rule in ('email', 'zip')").drop("sample")
 
 
 def pii_violations(spark, d):
@@ -814,6 +814,78 @@ def synth_ladder(spark, d):
     return synth.ladders(p, 30)
 
 
+@query
+def verdict_lines(spark, d):
+    p = _pairs(spark, d, 2880, 5)
+    v = F.when(F.col("verdict").isin("STORE_UNKNOWN") | F.col("verdict").isNull(), "UNCHECKED").otherwise(F.col("verdict"))
+    return p.select("observation_id", money.verdict_line(v, F.col("delta")).alias("line"), money.verdict_detail(v).alias("detail"))
+
+
+@query
+def device_classes(spark, d):
+    o = obs(spark, d).withColumns({"width": F.col("k") * 15, "coarse": F.col("observation_id") % 3 != 0})
+    device = keys.device_class(F.col("width"), F.col("coarse"))
+    return o.select("observation_id", device.alias("device"), keys.surface_of(device).alias("surface"))
+
+
+@query
+def window_totals(spark, d):
+    """Of the trailing window, and of one that has no rows."""
+    o = obs(spark, d)
+    return panel.window_totals(recent(spark, d)).withColumn("window", F.lit("recent")).union(panel.window_totals(windows.trailing(o, "1999-01-01 00:00:00")).withColumn("window", F.lit("none")))
+
+
+@query
+def panelist_cells(spark, d):
+    return panel.panelist_cells(obs(spark, d))
+
+
+@query
+def identity_checks(spark, d):
+    """Ids that are UUIDs, renderings' keys, and pseudonyms that change every week."""
+    o = obs(spark, d).withColumns({"uuid": F.when(F.col("k") % 4 == 0, F.concat(F.lit("0000000A-0000-4000-8000-"), F.lpad(F.col("observation_id").cast("string"), 12, "0"))).otherwise(F.col("sku")), "day": F.to_date("observed_at")})
+    return o.select("observation_id", keys.is_uuid("uuid").alias("is_uuid"), keys.rendering_key("sku", "props").alias("rendering"), keys.rotating_id("panelist_id", "day").alias("pseudonym"))
+
+
+@query
+def health_rows(spark, d):
+    """Reports exploded to adapters, faulty ones left out, with reasons read from JSON."""
+    k = F.col("k").cast("long")
+    failed = F.concat(F.lit('{"no_price":'), F.when(F.col("k") % 5 == 0, "-1").when(F.col("k") % 5 == 1, '"x"').otherwise((F.col("k") % 4).cast("string")), F.lit("}"))
+    adapter = F.struct(F.col("sku").alias("adapter"), F.lit("1.2.0").alias("version"), k.alias("attempted"), F.when(F.col("k") % 9 == 0, k + 1).otherwise(k - k % 4).alias("extracted"), health.failed_from_json(failed).alias("failed"))
+    reports = obs(spark, d).select("observation_id", F.to_date("observed_at").alias("date"), F.when(F.col("k") % 11 == 0, "1.x").otherwise("1.0.3").alias("clientVersion"), F.array(adapter).alias("adapters"))
+    good = reports.where(F.size(health.report_errors()) == 0)
+    rows = health.report_rows(good)
+    return rows.groupBy("adapter", F.col("date").cast("string").alias("date")).agg(F.count(F.lit(1)).alias("reports"), F.sum("attempted").alias("attempted"), F.sum("extracted").alias("extracted"), F.sum(F.coalesce(F.try_element_at("failed", F.lit("no_price")), F.lit(0).cast("long"))).alias("no_price"))
+
+
+def _three(spark, d):
+    """Stored rows, flags with the time they were set, and hourly buckets."""
+    o = obs(spark, d)
+    flags = V.flags(o).withColumn("flagged_at", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("panelist_id").cast("int") % 60))
+    return {"observations": o, "flags": flags, "buckets": ingest.rate_windows(o)}
+
+
+@query
+def retention_counts(spark, d):
+    t = _three(spark, d)
+    return ingest.retained(t["observations"], t["flags"], t["buckets"], F.lit("2024-04-14 12:00:00").cast("timestamp_ntz"))[1]
+
+
+@query
+def delete_counts(spark, d):
+    """An identity's ids, and others on its rows, deleted from all three tables."""
+    t = _three(spark, d)
+    known = t["observations"].where("panelist_id % 7 = 0").select("panelist_id")
+    return ingest.deleted(t, ingest.ids_to_delete(known, t["observations"].where("panelist_id % 7 < 2")))[1]
+
+
+@query
+def ids_to_delete(spark, d):
+    o = obs(spark, d)
+    return ingest.ids_to_delete(o.where("panelist_id % 7 = 0").select("panelist_id"), o.where("panelist_id % 7 < 2"))
+
+
 def _replayed(spark, d, columns):
     """The observations as a stream that ends: the same file, read as a source."""
     from pyspark.sql.types import StructType

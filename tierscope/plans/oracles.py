@@ -294,6 +294,20 @@ SQL: dict[str, str] = {
     "synth_ladder": f"""WITH p AS (SELECT 'p' || p_partkey AS seed, p_partkey % 4 + 1 AS k, unnest(range(30)) AS position FROM part),
         s AS (SELECT seed, position, position % 10 AS panelist_id, 199 + 50 * CAST(floor({DRAW.replace("{label}", "tier")} * k) AS BIGINT) AS own, {DRAW.replace("{label}", "stay")} < 0.5 AND position >= 10 AS stays FROM p)
         SELECT seed, position, panelist_id, TIMESTAMP '2026-09-04 15:26:18' + to_minutes(position) AS observed_at, last_value(CASE WHEN NOT stays THEN own END IGNORE NULLS) OVER (PARTITION BY seed, panelist_id ORDER BY position) AS price_minor FROM s""",
+    "verdict_lines": f"""WITH {OBS}, {pairs(2880, 5)}, v AS (SELECT *, CASE WHEN verdict IS NULL OR verdict = 'STORE_UNKNOWN' THEN 'UNCHECKED' ELSE verdict END AS w, '$' || (abs(delta) // 100) || '.' || lpad(CAST(abs(delta) % 100 AS VARCHAR), 2, '0') AS usd FROM pairs)
+        SELECT observation_id, CASE w WHEN 'SAME' THEN 'Same' WHEN 'MORE' THEN 'You pay ' || usd || ' more' WHEN 'LESS' THEN 'You pay ' || usd || ' less' WHEN 'STORE_DIFFERS' THEN 'Store differs' ELSE 'Could not check' END AS line,
+        CASE w WHEN 'STORE_DIFFERS' THEN 'Anonymous visitors are served a different store.' WHEN 'UNCHECKED' THEN 'The anonymous page showed no price this time.' END AS detail FROM v""",
+    "device_classes": f"{O}, v AS (SELECT observation_id, CASE WHEN observation_id % 3 = 0 OR k * 15 >= 1200 THEN 'desktop' WHEN k * 15 < 768 THEN 'mobile' ELSE 'tablet' END AS device FROM o) SELECT observation_id, device, CASE device WHEN 'desktop' THEN 'web' ELSE 'mobile_web' END AS surface FROM v",
+    "window_totals": f"{O} SELECT count(*) AS rows, count(DISTINCT panelist_id) AS panelists, max(observed_at) AS latest, 'recent' AS \"window\" FROM t72 UNION ALL SELECT 0, 0, NULL, 'none'",
+    "panelist_cells": f"{O} SELECT panelist_id, cell_key, min(observed_at) AS first_seen FROM o GROUP BY ALL",
+    "identity_checks": f"{O} SELECT observation_id, k % 4 = 0 AS is_uuid, sku || '|' || props || '|' || price_minor AS rendering, sha256(panelist_id || '|' || (date_diff('day', DATE '1970-01-01', CAST(observed_at AS DATE)) // 7)) AS pseudonym FROM o",
+    "health_rows": f"""{O} SELECT sku || '@1.2.0' AS adapter, CAST(CAST(observed_at AS DATE) AS VARCHAR) AS date, count(*) AS reports, CAST(sum(k) AS BIGINT) AS attempted, CAST(sum(k - k % 4) AS BIGINT) AS extracted,
+        CAST(sum(CASE WHEN k % 5 > 1 THEN k % 4 ELSE 0 END) AS BIGINT) AS no_price FROM o WHERE k % 11 <> 0 AND k % 9 <> 0 GROUP BY ALL""",
+    "retention_counts": f"""{O}, f AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(panelist_id % 60 AS INTEGER)) AS flagged_at FROM flags), b AS (SELECT DISTINCT panelist_id, date_trunc('hour', received_at) AS window_start FROM o)
+        SELECT 'observations' AS "table", count(*) AS deleted FROM o WHERE received_at < TIMESTAMP '2024-01-15 12:00:00' UNION ALL SELECT 'flags', count(*) FROM f WHERE flagged_at < TIMESTAMP '2024-01-15 12:00:00' UNION ALL SELECT 'buckets', count(*) FROM b WHERE window_start < TIMESTAMP '2024-04-14 10:00:00'""",
+    "delete_counts": f"""{O}, b AS (SELECT DISTINCT panelist_id, date_trunc('hour', received_at) AS window_start FROM o)
+        SELECT 'observations' AS "table", count(*) AS deleted FROM o WHERE panelist_id % 7 < 2 UNION ALL SELECT 'flags', count(*) FROM flags WHERE panelist_id % 7 < 2 UNION ALL SELECT 'buckets', count(*) FROM b WHERE panelist_id % 7 < 2""",
+    "ids_to_delete": f"{O} SELECT DISTINCT panelist_id, panelist_id % 7 = 0 AS known FROM o WHERE panelist_id % 7 < 2",
     "stream_hourly": f"{O} SELECT date_trunc('hour', observed_at) AS hour, panelist_id, count(*) AS rows FROM o GROUP BY ALL",
 }
 SQL["stream_dedup"] = SQL["semantic_dedup"]
