@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import SEMANTIC
@@ -22,15 +22,13 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: str = "observation_id", o
 
 
 def _kept_times(events: Column, gap: int) -> Column:
-    """Greedy fold over sorted (at, stored, id): a stored event always stays, another one if none kept is nearer than gap.
-
-    Kept events are in time order, so the nearest earlier one is the last; later stored ones are looked at in `near_stored`."""
+    """Greedy fold over sorted (at, stored, id, near_stored): an event is kept if no stored and no kept one is nearer than gap."""
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(state, e):
         near = F.coalesce(e["at"] - state["last"] < gap, F.lit(False)) | e["near_stored"]
         keep = ~e["stored"] & ~near
-        return F.struct(F.when(e["stored"] | keep, e["at"]).otherwise(state["last"]).alias("last"), F.when(keep, F.concat(state["ids"], F.array(e["id"]))).otherwise(state["ids"]).alias("ids"))
+        return F.struct(F.when(keep, e["at"]).otherwise(state["last"]).alias("last"), F.when(keep, F.concat(state["ids"], F.array(e["id"]))).otherwise(state["ids"]).alias("ids"))
 
     return F.aggregate(events, start, step)["ids"]
 
@@ -38,7 +36,9 @@ def _kept_times(events: Column, gap: int) -> Column:
 def semantic_dedup(batch: DataFrame, stored: DataFrame | None = None, minutes: float = DEDUP_MINUTES, key: tuple[str, ...] = SEMANTIC) -> DataFrame:
     """Rows of a batch that repeat no stored row and no kept row of the same key within less than `minutes`, oldest first.
 
-    Stored rows are read only around the batch: each key's earliest to latest time, `minutes` wider."""
+    Stored rows are read only around the batch: each key's earliest to latest time, `minutes` wider. Windows tell the nearest
+    stored times and cut a key's rows where they are `minutes` apart or more; what is kept in one such stretch says nothing about the
+    next, so the greedy fold holds one stretch and not the history of a key."""
     micro = int(minutes * 60_000_000)
     at = F.unix_micros(F.col("observed_at").cast("timestamp"))
     new = batch.select(*key, at.alias("at"), F.lit(False).alias("stored"), F.col("observation_id").alias("id"))
@@ -47,10 +47,17 @@ def semantic_dedup(batch: DataFrame, stored: DataFrame | None = None, minutes: f
         span = new.groupBy(*key).agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
         old = stored.select(*key, at.alias("at"), F.lit(True).alias("stored"), F.col("observation_id").alias("id")).join(span, list(key))
         rows = new.union(old.where((F.col("at") > F.col("lo") - micro) & (F.col("at") < F.col("hi") + micro)).drop("lo", "hi"))
-    grouped = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "stored", "id"))).alias("e"))
-    old_times = F.transform(F.filter("e", lambda x: x["stored"]), lambda x: x["at"])
-    marked = grouped.withColumn("t", old_times).select(*key, F.transform("e", lambda x: F.struct(x["at"].alias("at"), x["stored"].alias("stored"), x["id"].alias("id"), (~x["stored"] & F.exists("t", lambda o: F.abs(o - x["at"]) < micro)).alias("near_stored"))).alias("e"))
-    kept = marked.select(F.explode(_kept_times(F.col("e"), micro)).alias("observation_id"))
+    order = Window.partitionBy(*key).orderBy("at", "stored", "id")
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    marked = rows.withColumn("begins", F.coalesce(F.col("at") - F.lag("at").over(order) >= micro, F.lit(True)))
+    if stored is None:
+        marked = marked.withColumn("near_stored", F.lit(False))
+    else:
+        old_at = F.when(F.col("stored"), F.col("at"))
+        before, after = F.last(old_at, ignorenulls=True).over(back), F.first(old_at, ignorenulls=True).over(ahead)
+        marked = marked.withColumn("near_stored", F.coalesce(F.col("at") - before < micro, F.lit(False)) | F.coalesce(after - F.col("at") < micro, F.lit(False)))
+    stretches = marked.withColumn("stretch", F.count_if("begins").over(back)).groupBy(*key, "stretch").agg(F.array_sort(F.collect_list(F.struct("at", "stored", "id", "near_stored"))).alias("e"))
+    kept = stretches.select(F.explode(_kept_times(F.col("e"), micro)).alias("observation_id"))
     return batch.join(kept, "observation_id", "left_semi")
 
 

@@ -52,24 +52,20 @@ def detect_shift(obs: DataFrame, key: tuple[str, ...] = ("cell_key",), size: int
 def first_resolution(votes: DataFrame, settings: list[tuple[float, int]], key: tuple[str, ...] = ("cell_key",)) -> DataFrame:
     """For each cell and setting (factor, sightings): the first prefix of votes in time order that resolves, or no row.
 
-    A fold over the prices of the cell in order, with a count for each price."""
+    Running windows tell for every prefix how many prices it has and how many of them were seen often enough; no cell is
+    held in an array, and one pass answers all settings."""
     order = Window.partitionBy(*key).orderBy("observed_at", "observation_id")
-    laid = votes.select(*key, "price_minor", F.row_number().over(order).alias("at"))
-    arrays = laid.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "price_minor"))), lambda x: x["price_minor"]).alias("prices"))
-    empty = F.expr("named_struct('n', 0, 'counts', cast(map() as map<bigint,int>), 'at', cast(null as int), 'k', cast(null as int), 'low', cast(null as bigint))")
-
-    def step(s: Column, price: Column) -> Column:
-        counts = F.map_concat(F.map_filter(s["counts"], lambda p, _: p != price), F.create_map(price, F.coalesce(F.try_element_at(s["counts"], price), F.lit(0)) + 1))
-        n, k = s["n"] + 1, F.size(counts)
-        h = F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
-        ok = (n >= F.ceil(F.round(k * h * F.col("factor"), 9))) & (F.array_min(F.map_values(counts)) >= F.col("sightings"))
-        hit = s["at"].isNull() & ok
-        return F.struct(n.alias("n"), counts.alias("counts"), F.when(hit, n).otherwise(s["at"]).alias("at"), F.when(hit, k).otherwise(s["k"]).alias("k"), F.when(hit, F.array_min(F.map_keys(counts))).otherwise(s["low"]).alias("low"))
-
-    each = F.explode(F.array(*(F.struct(F.lit(float(f)).alias("factor"), F.lit(m).alias("sightings")) for f, m in settings)))
-    both = arrays.withColumn("s", each).select(*key, "prices", "s.*")
-    folded = both.withColumn("r", F.aggregate("prices", empty, step))
-    return folded.where("r.at is not null").select(*key, "factor", "sightings", F.col("r.at").alias("at"), F.col("r.k").alias("k"), F.col("r.low").alias("floor_minor"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    times = F.row_number().over(Window.partitionBy(*key, "price_minor").orderBy("observed_at", "observation_id"))
+    rows = votes.select(*key, "observed_at", "observation_id", "price_minor", times.alias("times"))
+    often = {m: f"often_{m}" for m in sorted({m for _, m in settings})}
+    running = {"at": F.row_number().over(order), "k": F.count_if(F.col("times") == 1).over(so_far).cast("int"), "low": F.min("price_minor").over(so_far)}
+    running |= {name: F.count_if(F.col("times") == m).over(so_far) for m, name in often.items()}
+    laid = rows.withColumns(running).withColumn("harmonic", F.sum(F.when(F.col("times") == 1, 1 / F.col("k"))).over(so_far))
+    ready = [(F.col("at") >= F.ceil(F.round(F.col("k") * F.col("harmonic") * float(f), 9))) & (F.col(often[m]) == F.col("k")) for f, m in settings]
+    first = laid.groupBy(*key).agg(*(F.min(F.when(ok, F.struct("at", "k", "low"))).alias(f"s{i}") for i, ok in enumerate(ready)))
+    each = F.array(*(F.struct(F.lit(float(f)).alias("factor"), F.lit(m).alias("sightings"), F.col(f"s{i}").alias("r")) for i, (f, m) in enumerate(settings)))
+    return first.select(*key, F.inline(each)).where("r is not null").select(*key, "factor", "sightings", "r.at", "r.k", F.col("r.low").alias("floor_minor"))
 
 
 #: The sweep: every factor at the usual sightings, every number of sightings at the usual factor.
