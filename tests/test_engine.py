@@ -116,6 +116,14 @@ def test_sizes(spark, given, ml, g, ct):
     assert (s.ml, s.g, s.ct) == tuple(None if x is None else pytest.approx(x) for x in (ml, g, ct))
 
 
+def test_sizes_where_forms_meet(spark):
+    given = ["2 Pack of 3", "12 Pack 12 fl oz", "Case of 6, 1/2 gal", "quarter-gallon 3 each", "6 per case 0,5 l", "Packs 4 of 2.5 Ounces", "8oz.", "1.5 Ounce bag", "half gal 64 oz", "Pack of 0 4ct"]
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in given], "v string").select(sizes.parse_size(F.col("v")).alias("p")).select("p.size.*").collect()]
+    near = lambda x: None if x is None else pytest.approx(x)
+    want = [(None, None, 3), (354.882, None, 12), (1892.705, None, 6), (946.3525, None, 3), (500, None, 6), (None, 70.87375, 4), (None, 226.796, None), (None, 42.52425, None), (1892.705, 1814.368, None), (None, None, 4)]
+    assert got == [tuple(map(near, w)) for w in want]
+
+
 def test_fuzzy_key_and_tokens(spark):
     df = spark.createDataFrame([("Great Value Whole Vitamin D Milk, Gallon", "Great Value", "1 gal", None)], "title string, brand string, size_text string, upc string")
     r = products.canonical(products.signed(df)).first()
