@@ -65,6 +65,37 @@ def test_empty_other_tables(spark):
     assert toxicity.severities(docs_of(spark, [(1, "x")]), labels).collect()[0][1:] == (0.0, 0, False)
 
 
+ODD = [(None, None), (None, "a b c d e f"), (5, None), (5, "x"), (5, "x"), (6, "word " * 60_000), (7, "\U0001f600\x00 \u2028 end")]
+
+
+@pytest.mark.parametrize("name", [*EMPTY_RESULTS, "toxicity"])
+def test_odd_rows_and_clashing_columns(spark, name):
+    """Null ids and texts, repeated rows, a long text, and other columns with the names of results."""
+    clash = ["n_bytes", "piece", "length", "fingerprint", "component_id", "keep_id", "group_size", "n_tokens", "held_out", "score", "severity", "unit", "node", "part", "rank"]
+    df = docs_of(spark, ODD).withColumns({c: F.lit(1) for c in clash}).repartition(2)
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, toxic int")
+    got = (EMPTY_RESULTS | {"toxicity": lambda d: toxicity.severities(d, labels)})[name](df).toPandas()
+    if name.startswith("keep") or name == "drop":
+        assert list(got.columns) == df.columns
+        assert len(got) == {"keep_exact": 5, "drop": 7}.get(name, len(got)) and (name != "keep_near" or len(got) >= 4)
+    elif name == "pack":
+        assert got[got.piece == 0].shape[0] == 7 and got.length.max() == 4096
+    else:
+        assert len(got) == 7 and got.doc_id.isna().sum() == 2
+
+
+def test_pipeline_on_odd_rows(spark):
+    import corpus_pipeline
+
+    left = docs_of(spark, ODD).withColumns({"lang": F.lit("en"), "node": F.lit(1), "part": F.lit(2), "rank": F.lit(3)})
+    for _, work in corpus_pipeline.STAGES[1:-1]:
+        after = work(spark, left, "")
+        assert after.columns == left.columns
+        left = shared.stage(after, "test")
+    assert left.count() == 5 and left.where("doc_id = 5").count() == 2
+    assert corpus_pipeline.packed(spark, left, "").where("piece = 0").count() == 5
+
+
 def test_exact_dedup(spark):
     rows = [*mixed(), (5, None), (5, None), (None, "alone"), (None, "b"), (9, "b")]
     got = exact_dedup.exact_dedup(docs_of(spark, rows), runs=7, fan_in=3).toPandas()
@@ -203,46 +234,17 @@ def brute_repeats(rows, t=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("unit", "batch"), [(2 << 20, "1000"), (1500, "7")])
-def test_suffix_dedup(spark, unit, batch):
-    """Also with units so small that most copies lie in others, and runs of a rank that go on from batch to batch."""
+@pytest.mark.parametrize("size", [(2 << 20, 8 << 20), (1500, 3000)])
+def test_suffix_dedup(spark, size):
+    """Also with units so small that most copies lie in others, repeated and null ids, and a text that repeats itself."""
     rng = random.Random(2)
     rows = [*mixed(5), (3000, words(rng, 30) + "same line " * 30), (3001, "same line " * 40), (3001, "same line " * 40), (None, "same line " * 40), (None, None)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    got = sorted((tuple(r) for r in suffix_dedup.suffix_dedup(docs_of(spark, rows).repartition(3), unit=unit).collect()), key=str)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    got = sorted((tuple(r) for r in suffix_dedup.suffix_dedup(docs_of(spark, rows).repartition(3), unit=size[0], span=size[1]).collect()), key=str)
     want = brute_repeats([(i, (x or "").encode()) for i, x in rows if i is not None])
     whole = lambda x: (None, len(x), 0, 0, hashlib.sha256(x).hexdigest())
     assert got == sorted([*want, *(whole((x or "").encode()) for i, x in rows if i is None)], key=str)
 
 
-def test_runs_of_a_rank_in_pieces(monkeypatch):
-    """What is told of rows must not depend on where batches end, nor on how many rows are held."""
-    import pyarrow as pa
-
-    rng = np.random.default_rng(1)
-    rows = sorted((int(r), int(c), int(d), int(d) % 5, i) for i, (r, c, d) in enumerate(zip(rng.integers(0, 40, 600) ** 2 // 50, rng.integers(0, 4, 600), rng.integers(0, 30, 600), strict=True)))
-
-    def told(cuts, held):
-        monkeypatch.setattr(suffix_dedup, "HELD", held)
-        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
-        batches = [pa.record_batch([pa.array([x[k] for x in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], ["rank", "context", "doc", "unit", "entry"]) for part in parts]
-        return {x for b in suffix_dedup.settled_pairs(iter(batches)) for x in b.column("told").to_pylist()}
-
-    whole = told([], 10**9)
-    docs, pairs, least = collections.defaultdict(set), collections.defaultdict(set), {}
-    for r, c, d, _, _ in rows:
-        docs[r].add(d)
-        pairs[r].add(c)
-        least.setdefault((r, c), d)
-    assert {x >> 1 for x in whole if x & 1} == {i for r, c, d, _, i in rows if d > least[r, c]}
-    assert {(r, c) for r, c, d, _, i in rows if 2 * i in whole} == {(r, c) for r in docs for c in pairs[r] if len(docs[r]) > 1 and len(pairs[r]) > 1}
-    for held in (10**9, 8, 0):
-        for _ in range(20):
-            got = told(sorted(rng.choice(600, 9, replace=False).tolist()), held)
-            assert {x for x in got if x & 1} == {x for x in whole if x & 1} and whole <= got | {x for x in whole if x & 1}
-
-
 def test_suffix_dedup_keeps_columns_and_characters(spark):
     same = "é" * 60
     df = docs_of(spark, [(1, same), (2, "x" + same + "y"), (3, None), (None, same)]).withColumn("n_chars", F.length("text").cast("long"))

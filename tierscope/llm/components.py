@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars.
+
+Defined cases: repeated edges, edges both ways and loops say nothing new; a node with no edge to another has no row; an
+edge with a null end is left out; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

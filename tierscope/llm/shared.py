@@ -3,25 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staged import shared_dir
+
 #: Rows in one Arrow batch: whole texts can be long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) a new temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
 
