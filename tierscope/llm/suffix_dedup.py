@@ -1,20 +1,23 @@
 """Removal of repeated byte strings across documents, by distributed prefix doubling over sampled positions.
 
-The rank of a position is a fingerprint of the bytes that follow it. Doubling begins within a text, where it needs no other one
-(1, 2, 4, 8, 16 bytes, then HALF = threshold / 2). Every window of `threshold` bytes holds, at its smallest HALF-byte rank, a
-position that is picked wherever the same window occurs, so only these go on (about one in fourteen). Then Spark sorts
-the rows of positions, and what is settled drops out:
-
-1. By rank pair: the HALF-byte rank, and the rank of the context, which reaches HALF bytes back and a threshold on. A rank that
-   one document alone has is unique and dropped. A position whose pair also stands in a smaller document is past the
-   threshold on both sides: its whole context is removed. For each pair of a shared rank its smallest document goes on.
-2. By rank again, with the contexts of those positions: they are reranked at each offset 0..HALF by the full threshold
+The rank of a position is a fingerprint of the bytes that follow it, made by doubling (1, 2, 4, 8, 16 bytes,
+then HALF = threshold / 2). Every window of `threshold` bytes holds, at its smallest HALF-byte rank, a
+position that is picked wherever the same window occurs, so ranks are exchanged for these alone (about
+one in fourteen). Then, with Spark dealing out ranges of ranks and sorting each:
+
+1. Positions are sorted by rank pair: the HALF-byte rank, and the rank of the context, which reaches
+   HALF bytes back and a threshold on. A rank that one document alone has is unique and dropped. A
+   position whose pair also stands in a smaller document is past the threshold on both sides: its
+   whole context is removed. For each other pair of a shared rank one position goes on.
+2. Those positions bring their contexts, and are reranked at each offset 0..HALF by the full threshold
    window there; the windows that a smaller document has too are removed.
 
-A sorted run of equal ranks is read in a stream, whatever its length; in the second step it is held whole. The texts are kept in
-compressed units of about UNIT bytes, and a unit sends one row for each pair that it has, so a passage that very many documents
-share with the same surroundings is a row for each unit. Ranks are 64-bit hashes: a false match takes two of them (128 bits) in
-the first step and a rank and a window's hash in the second.
+The texts are kept in compressed units of about UNIT bytes; what comes back to a unit are places in its own
+sorted list. A string that very many documents share counts once for each unit. Ranks are 64-bit hashes of which 48 bits
+travel for a rank and 48 for a context within its rank, so a false match takes 96 bits; a window's hash has 64 within a rank's run.
+
+Positions travel packed, a unit's share of a range in one row: as plain rows that Spark sorts by rank pair (the same steps and
+results) they took more disk than the check allows (README). A range is sorted in numpy.
 
 Defined cases: a null text is empty; texts shorter than the threshold lose nothing; repeated rows
 are the same document, so neither takes from the other; a null doc_id neither gives nor loses; an empty
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from .shared import documents_of, rows_of, small_batches, stage
 
 THRESHOLD = 50
-#: Bytes of text in a unit, and looked at in one go; rows of a run that are held to tell whether one document has them all; rows compared at once.
-UNIT, SLICE, HELD, AT_ONCE = 2 << 20, 1 << 20, 1 << 20, 1 << 16
+#: Bytes of text in a unit, looked at in one go, and behind one range of ranks.
+UNIT, SLICE, RANGE = 2 << 20, 1 << 18, 5 << 20
+#: Bits of a rank and of a context that travel.
+BITS = 48
 MIX, LARGE = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 NONE = np.iinfo(np.int64).min
 
@@ -127,8 +132,8 @@ class Unit:
         parts = [p for lo in range(0, len(self.x), SLICE) if (p := self._picked(lo, min(lo + SLICE, len(self.x)))) is not None]
         none = np.zeros(0, np.uint64)
         self.at = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
-        self.rank = np.concatenate([none, *(p[1] for p in parts)])
-        self.context = np.concatenate([none, *(p[2] for p in parts)])
+        self.rank = np.concatenate([none, *(p[1] for p in parts)]) >> np.uint64(64 - BITS)
+        self.context = np.concatenate([none, *(p[2] for p in parts)]) >> np.uint64(64 - BITS)
         self.row = np.searchsorted(self.ends, self.at, "right")
         self.doc = self.ids[self.row]
         keep = self.doc != NONE
@@ -205,65 +210,76 @@ def steps(v: np.ndarray) -> np.ndarray:
     return np.diff(v, prepend=np.zeros(1, v.dtype))
 
 
-def columns_of(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-
-
-def judged(rank, context, doc, known: dict | None) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Of rows in order of (rank, context, doc), which are past (a smaller document has the pair) and which go on.
-
-    known: what was told of the first rank by earlier rows of it; the last rank is taken as complete. Returns what is told of it."""
-    new_rank = np.r_[True, rank[1:] != rank[:-1]]
-    new_pair = new_rank | np.r_[True, context[1:] != context[:-1]]
-    begin, pair = np.flatnonzero(new_rank), np.cumsum(new_pair) - 1
-    group = np.cumsum(new_rank) - 1
-    least, most = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
-    pairs, first = np.add.reduceat(new_pair.astype(np.int64), begin), doc[new_pair]
-    many = least < most
-    if known is not None and known["rank"] == rank[0]:
-        same = known["context"] == context[0]
-        many[0] |= known["many"] or not known["least"] == least[0] == most[0]
-        pairs[0] += known["pairs"] - same
-        if same:
-            first[0] = known["first"]
-        least[0] = min(least[0], known["least"])
-    past = doc > first[pair]
-    on = ~past & (pairs > 1)[group] & many[group]  # rows of the smallest document, which may lie in several units
-    told = {"rank": rank[-1], "context": context[-1], "first": first[-1], "least": least[-1], "many": bool(many[-1]), "pairs": int(pairs[-1])}
-    return past, on, told
-
-
-def settled_pairs(batches):
-    """unit, told (twice the entry, and one more where it is past) of rows sorted by rank, context and document."""
-
-    def out(rows, past, on):
-        keep = past | on
-        return pa.record_batch([pa.array(rows[3][keep]), pa.array(2 * rows[4][keep].astype(np.int32) + past[keep])], ["unit", "told"])
-
-    held, known = None, None
-    for b in batches:
-        rows = columns_of(b, "rank", "context", "doc", "unit", "entry")
-        if not len(rows[0]):
-            continue
-        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last rank may go on in the next batch
-        if cut:
-            past, on, _ = judged(*(x[:cut] for x in rows[:3]), known)
-            known = None
-            yield out([x[:cut] for x in rows], past, on)
-        held = [x[cut:] for x in rows]
-        if len(held[0]) > HELD:  # a run so long is taken as one of several documents and pairs; that sends a row on for nothing at most
-            past, on, known = judged(*held[:3], known or {"rank": held[0][0], "context": None, "first": None, "least": held[2][0], "many": True, "pairs": 1})
-            yield out(held, past, on)
-            held = None
-    if held is not None and len(held[0]):
-        past, on, _ = judged(*held[:3], known)
-        yield out(held, past, on)
-
-
-def same_windows(x: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, rank: np.ndarray, threshold: int) -> np.ndarray:
-    """For each context (a row of x), at which offsets a smaller document of the same rank has the same window (bits)."""
+def doc_numbers(docs: np.ndarray) -> tuple[bytes, bytes]:
+    """Documents as places in their own sorted list, and that list."""
+    import zstandard
+
+    own, place = np.unique(docs, return_inverse=True)
+    return planes(place.astype(np.uint64), 2 if len(own) <= 1 << 16 else 4), zstandard.ZstdCompressor(level=3).compress(np.diff(own, prepend=0).astype("<i8").tobytes())
+
+
+def doc_ids(places: bytes, own: bytes) -> np.ndarray:
+    import zstandard
+
+    ids = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(own), "<i8"))
+    return ids[unplanes(places, 2 if len(ids) <= 1 << 16 else 4).astype(np.int64)]
+
+
+def ranges_of(rank: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range begins in a sorted list of ranks."""
+    return np.searchsorted(rank, np.array([-(-(i << BITS) // ranges) for i in range(ranges + 1)], np.uint64))
+
+
+PAIRS = "range int, unit long, first long, ranks binary, contexts binary, docs binary, own binary"
+
+
+def exchanged_pairs(table: pa.Table) -> pa.Table:
+    """Of one range: entries to go on with (False) and entries that a smaller document has (True), back to their units."""
+    unit, first = table.column("unit").to_numpy(), table.column("first").to_numpy()
+    rank = [np.cumsum(unplanes(b, BITS // 8)) for b in table.column("ranks").to_pylist()]
+    context = [unplanes(b, BITS // 8) for b in table.column("contexts").to_pylist()]
+    doc = [doc_ids(a, b) for a, b in zip(table.column("docs").to_pylist(), table.column("own").to_pylist(), strict=True)]
+    sizes = [len(r) for r in rank]
+    rank, context, doc = np.concatenate(rank), np.concatenate(context), np.concatenate(doc)
+    place = np.concatenate([np.arange(n) + f for n, f in zip(sizes, first.tolist(), strict=True)])
+    source = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(rank, kind="stable")
+    same = rank[order][1:] == rank[order][:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]]  # entries whose rank stands more than once
+    order = order[np.lexsort((doc[order], context[order], rank[order]))]
+    r, c, d = rank[order], context[order], doc[order]
+    out: list[tuple] = []
+    if len(order):
+        new_rank = np.r_[True, r[1:] != r[:-1]]
+        new_pair = new_rank | np.r_[True, c[1:] != c[:-1]]
+        group = np.cumsum(new_rank) - 1
+        least, most = np.minimum.reduceat(d, np.flatnonzero(new_rank)), np.maximum.reduceat(d, np.flatnonzero(new_rank))
+        pairs = np.add.reduceat(new_pair.astype(np.int64), np.flatnonzero(new_rank))
+        past = d > d[new_pair][np.cumsum(new_pair) - 1]
+        on = ~past & (pairs > 1)[group] & (least < most)[group]
+        by = np.argsort(source[order], kind="stable")
+        cuts = np.searchsorted(source[order][by], np.arange(len(sizes) + 1))
+        out = []
+        for s in range(len(sizes)):
+            own = by[cuts[s] : cuts[s + 1]]
+            own = own[past[own] | on[own]]
+            if len(own):
+                out.append((unit[s], place[order[own]].astype("<i8").tobytes(), past[own].tobytes()))
+    u, p, f = zip(*out, strict=True) if out else ((), (), ())
+    return pa.table({"unit": pa.array(u, pa.int64()), "places": pa.array(p, pa.binary()), "past": pa.array(f, pa.binary())})
+
+
+def exchanged_windows(table: pa.Table, threshold: int) -> pa.Table:
+    """Of one range: for each context brought, at which offsets a smaller document has the same window (bits)."""
+    import zstandard
+
     half = threshold // 2
+    unit, place = table.column("unit").to_pylist(), table.column("places").to_pylist()
+    rows = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(-1, half + threshold) for b in table.column("contexts").to_pylist()]
+    sizes = [len(r) for r in rows]
+    x = np.concatenate(rows)
+    left, right = (np.concatenate([np.frombuffer(b, np.uint8) for b in table.column(c).to_pylist()]) for c in ("left", "right"))
+    doc = np.concatenate([np.frombuffer(b, "<i8") for b in table.column("docs").to_pylist()])
     bits = np.zeros(len(x), np.uint64)
     for offset in range(half + 1):  # the window begins `offset` before the position
         has = np.flatnonzero((left >= offset) & (right >= threshold - offset))
@@ -272,37 +288,19 @@ def same_windows(x: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.nda
         h = np.zeros(len(has), np.uint64)
         for j in range(half - offset, half - offset + threshold):
             h = h * MIX + (x[has, j] + np.uint64(1))
-        h, d = mixed(h ^ rank[has].view(np.uint64)), doc[has]
+        h, d = mixed(h), doc[has]
         order = np.argsort(h, kind="stable")
         begins = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
         least = np.repeat(np.minimum.reduceat(d[order], begins), np.diff(np.r_[begins, len(order)]))
         bits[has[order[least < d[order]]]] |= np.uint64(1) << np.uint64(offset)
-    return bits
+    cuts = np.cumsum([0, *sizes])
+    return pa.table({"unit": pa.array(unit, pa.int64()), "places": pa.array(place, pa.binary()), "bits": pa.array([bits[a:b].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())})
 
 
-def settled_windows(batches, threshold: int):
-    """unit, entry, bits of rows sorted by rank, whole runs of a rank at a time."""
-
-    def done(parts):
-        rows = pa.Table.from_batches(parts).combine_chunks()
-        x = np.frombuffer(b"".join(rows.column("context").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        left, right, doc, rank = (rows.column(c).to_numpy() for c in ("left", "right", "doc", "rank"))
-        bits = same_windows(x, left, right, doc, rank, threshold)
-        some = bits > 0
-        return pa.record_batch([pa.array(rows.column("unit").to_numpy()[some]), pa.array(rows.column("entry").to_numpy()[some]), pa.array(bits[some].view(np.int64))], ["unit", "entry", "bits"])
-
-    held, n = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        rank = b.column("rank").to_numpy()
-        if n >= AT_ONCE and (cut := int(np.searchsorted(rank, held[-1].column("rank")[-1].as_py(), "right"))) < len(rank):
-            yield done([*held, b.slice(0, cut)])
-            held, n, b = [], 0, b.slice(cut)
-        held.append(b)
-        n += b.num_rows
-    if held:
-        yield done(held)
+def joined(told) -> tuple[np.ndarray, np.ndarray]:
+    """Places and what is told of them, from all ranges."""
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(np.frombuffer(a, "<i8") for a, _ in told)]), np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(b, np.uint8) for _, b in told)])
 
 
 def removed_runs(u: Unit, past: np.ndarray, on: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -354,60 +352,73 @@ def digests(u: Unit, row: dict, runs) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, unit: int = UNIT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, unit: int = UNIT, span: int = RANGE) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _each_unit(docs, threshold, unit, False, digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _each_unit(docs, threshold, unit, span, False, digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _each_unit(docs: DataFrame, threshold: int, unit: int, rest: bool, made, schema) -> DataFrame:
+def _each_unit(docs: DataFrame, threshold: int, unit: int, span: int, rest: bool, made, schema) -> DataFrame:
     """made(unit, row, removed runs) for every unit, as a table of schema."""
     held = stage(units(docs, unit, rest), "units", "none")
+    ranges = max(1, int(held.agg(F.sum("n_bytes")).first()[0] or 0) // span)
 
     def send_pairs(batches):
         for b in batches:
             for row in rows_of(b):
                 u = Unit(row["ids"], row["lengths"], row["blob"], threshold)
-                n = len(u.first)
-                yield pa.record_batch([pa.array(u.rank[u.first].view(np.int64)), pa.array(u.context[u.first].view(np.int64)), pa.array(u.doc[u.first]), pa.array(np.full(n, row["unit"])), pa.array(np.arange(n, dtype=np.int32))], ["rank", "context", "doc", "unit", "entry"])
-
-    pairs = held.select("unit", "ids", "lengths", "blob").mapInArrow(send_pairs, "rank long, context long, doc long, unit long, entry int")
-    pairs = pairs.repartition("rank").sortWithinPartitions("rank", "context", "doc")
-    told = stage(pairs.mapInArrow(settled_pairs, "unit long, told int").groupBy("unit").agg(F.collect_list("told").alias("told")), "pairs")
+                rank, context, doc = u.rank[u.first], u.context[u.first], u.doc[u.first]
+                cuts = ranges_of(rank, ranges).tolist()
+                has = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+                part = [slice(cuts[i], cuts[i + 1]) for i in has]
+                docs_of = [doc_numbers(doc[s]) for s in part]
+                yield pa.record_batch(
+                    [pa.array(has, pa.int32()), pa.array([row["unit"]] * len(has), pa.int64()), pa.array([s.start for s in part], pa.int64()), pa.array([planes(steps(rank[s]), BITS // 8) for s in part], pa.binary()), pa.array([planes(context[s], BITS // 8) for s in part], pa.binary()), pa.array([a for a, _ in docs_of], pa.binary()), pa.array([b for _, b in docs_of], pa.binary())],
+                    ["range", "unit", "first", "ranks", "contexts", "docs", "own"],
+                )
+
+    pairs = held.select("unit", "ids", "lengths", "blob").mapInArrow(send_pairs, PAIRS)
+    told = stage(pairs.groupBy("range").applyInArrow(exchanged_pairs, "unit long, places binary, past binary"), "pairs")
+    told = told.groupBy("unit").agg(F.collect_list(F.struct("places", "past")).alias("told"))
 
     def send_windows(batches):
+        import zstandard
+
         for b in batches:
             for row in rows_of(b):
-                told = np.array(row["told"], np.int32)
-                on = np.sort(told[told & 1 == 0] >> 1)
+                place, past = joined([(t["places"], t["past"]) for t in row["told"]])
+                on = np.sort(place[past == 0])
                 if not len(on):
                     continue
                 u = Unit(row["ids"], row["lengths"], row["blob"], threshold)
                 which = u.first[on]
                 begin, end, at = u.around(which)
-                x = u.contexts(which)
-                bytes_of = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
-                yield pa.record_batch([pa.array(u.rank[which].view(np.int64)), pa.array(np.full(len(on), row["unit"])), pa.array(on), pa.array((at - begin).astype(np.int16)), pa.array((end - at).astype(np.int16)), pa.array(u.doc[which]), bytes_of], ["rank", "unit", "entry", "left", "right", "doc", "context"])
+                cuts = ranges_of(u.rank[which], ranges).tolist()
+                for i in range(ranges):
+                    if (s := slice(cuts[i], cuts[i + 1])).start < s.stop:
+                        yield pa.record_batch(
+                            [pa.array([i], pa.int32()), pa.array([row["unit"]], pa.int64()), pa.array([on[s].astype("<i8").tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(u.contexts(which[s]).tobytes())], pa.binary()), pa.array([(at - begin)[s].astype(np.uint8).tobytes()], pa.binary()), pa.array([(end - at)[s].astype(np.uint8).tobytes()], pa.binary()), pa.array([u.doc[which[s]].astype("<i8").tobytes()], pa.binary())],
+                            ["range", "unit", "places", "contexts", "left", "right", "docs"],
+                        )
 
     shared = held.join(told, "unit").select("unit", "ids", "lengths", "blob", "told")
-    windows = shared.mapInArrow(send_windows, "rank long, unit long, entry int, left short, right short, doc long, context binary")
-    windows = windows.repartition("rank").sortWithinPartitions("rank")
-    seen = windows.mapInArrow(lambda batches: settled_windows(batches, threshold), "unit long, entry int, bits long")
-    seen = stage(seen.groupBy("unit").agg(F.collect_list(F.struct("entry", "bits")).alias("seen")), "windows")
+    windows = shared.mapInArrow(send_windows, "range int, unit long, places binary, contexts binary, left binary, right binary, docs binary")
+    seen = windows.groupBy("range").applyInArrow(lambda t: exchanged_windows(t, threshold), "unit long, places binary, bits binary")
+    seen = stage(seen, "windows").groupBy("unit").agg(F.collect_list(F.struct("places", "bits")).alias("seen"))
 
     def result(batches):
         for b in batches:
             for row in rows_of(b):
                 u = Unit(row["ids"], row["lengths"], row["blob"], threshold)
-                told = np.array(row["told"] or (), np.int64)
-                on = np.array([x["entry"] for x in row["seen"] or ()], np.int64)
-                bits = np.array([x["bits"] for x in row["seen"] or ()], np.int64).view(np.uint64)
-                yield made(u, row, removed_runs(u, told[told & 1 == 1] >> 1, on, bits))
+                place, past = joined([(t["places"], t["past"]) for t in row["told"] or ()])
+                on, raw = joined([(t["places"], t["bits"]) for t in row["seen"] or ()])
+                rows, begins, ends = removed_runs(u, place[past == 1], on, np.frombuffer(raw.tobytes(), "<u8"))
+                yield made(u, row, (rows, begins, ends))
 
     own = ["unit", "ids", "lengths", "blob", *(["rest"] if rest else [])]
     return held.join(told, "unit", "left").join(seen, "unit", "left").select(*own, "told", "seen").mapInArrow(result, schema)
 
 
-def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: int = UNIT) -> DataFrame:
+def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: int = UNIT, span: int = RANGE) -> DataFrame:
     """docs with repeated strings removed from text; every row stays, a null text as an empty one.
 
     Bytes of a character that a run cuts in two go with the run. n_chars, where it is a column, is counted anew."""
@@ -421,4 +432,4 @@ def drop_repeats(docs: DataFrame, threshold: int = THRESHOLD, unit: int = UNIT)
             columns["n_chars"] = pa.array([len(t) for t in text], columns["n_chars"].type)
         return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c := columns[n], pa.ChunkedArray) else c for n in names], names)
 
-    return _each_unit(docs, threshold, unit, True, made, docs.schema)
+    return _each_unit(docs, threshold, unit, span, True, made, docs.schema)
