@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .shared import documents_of, small_batches, stage
 
 CLEAN, TOXIC = 12_000, 6_000
-#: Bits of a feature's hash, what is added to counts, the least share of the largest value that is not taken for zero, and how much a wrongly toxic text counts.
-BITS, SMOOTH, ROUNDING, WRONG = 20, 0.5, 1e-4, 10
+#: Bits of a feature's hash, what is added to counts, the least share of the largest value that is not taken for zero, how much a wrongly toxic text counts, and parts in which counts are added up.
+BITS, SMOOTH, ROUNDING, WRONG, PARTS = 20, 0.5, 1e-3, 10, 64
 #: Words whose features a worker remembers.
 MOST_WORDS = 400_000
 WORD = re.compile(r"\w+")
@@ -71,22 +71,42 @@ def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: np.ndarray | float,
     return np.sign(z) * z**2
 
 
+class Sums:
+    """Sums of float32 values by an index that doesn't change, as float64."""
+
+    def __init__(self, index: np.ndarray, size: int):
+        self.order = np.argsort(index, kind="stable").astype(np.int32)
+        own = index[self.order]
+        self.begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+        self.there, self.size = own[self.begin], size
+
+    def of(self, ordered: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(ordered):
+            out[self.there] = np.add.reduceat(ordered, self.begin, dtype=np.float64)
+        return out
+
+
 def fit(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, levels: int, steps: int = 200, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds of the proportional-odds model, by Adam on the whole (sparse) sample."""
+    """Weights and ordered thresholds of the proportional-odds model, by Adam on the whole (sparse) sample. row: in order."""
     n, k = len(grade), levels - 1
+    value = value.astype(np.float32)
+    by_row, by_column = Sums(row, n), Sums(column, n_features)
+    there, weighing = row[by_column.order].astype(np.int32), value[by_column.order]
+    column = column.astype(np.int32)
     p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(k - 1)])  # weights, first threshold, log gaps
     m, v = np.zeros_like(p), np.zeros_like(p)
     for i in range(1, steps + 1):
         w, gap = p[:n_features], np.exp(p[n_features + 1 :])
         cut = p[n_features] + np.concatenate([[0], np.cumsum(gap)])
-        eta = np.bincount(row, value * w[column], n)
+        eta = by_row.of(value * w.astype(np.float32)[column])
         edge = np.concatenate([[-np.inf], cut, [np.inf]])
         low, high = (1 / (1 + np.exp(np.clip(eta - e, -500, 500))) for e in (edge[grade], edge[grade + 1]))  # P(y < grade), P(y <= grade)
         mass = np.maximum(high - low, 1e-12)
         dlow, dhigh = low * (1 - low) / mass, high * (1 - high) / mass
-        by_eta = dhigh - dlow  # of -log likelihood
+        by_eta = (dhigh - dlow).astype(np.float32)  # of -log likelihood
         by_cut = np.bincount(grade, -dhigh, levels)[:k] + np.bincount(grade, dlow, levels)[1:]
-        g = np.concatenate([np.bincount(column, value * by_eta[row], n_features) / n + decay * w, [by_cut.sum() / n], np.cumsum(by_cut[::-1])[::-1][1:] * gap / n])
+        g = np.concatenate([by_column.of(weighing * by_eta[there]) / n + decay * w, [by_cut.sum() / n], np.cumsum(by_cut[::-1])[::-1][1:] * gap / n])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return p[:n_features], p[n_features] + np.concatenate([[0], np.cumsum(np.exp(p[n_features + 1 :]))])
@@ -114,40 +134,68 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cut - eta, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> Model | None:
-    """The model, or None without labelled texts of both kinds that have features."""
-    small_batches(docs.sparkSession)
-    rows = stage(sample(docs, labels, clean, toxic), "labelled")
+def counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many toxic and clean texts of the sample have each feature."""
 
     def run(batches):
+        n = np.zeros((2, 1 << BITS), np.int32)
         for b in batches:
-            held = [features(t).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(held, pa.binary())], ["doc_id", "toxic", "held"])
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                n[int(toxic == 0), features(text)] += 1
+        if n.any():
+            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([np.ascontiguousarray(x).tobytes() for x in np.split(n, PARTS, axis=1)])], ["part", "n"])
 
-    got = sorted((r[0], r[1], bytes(r[2])) for r in rows.mapInArrow(run, "doc_id long, toxic int, held binary").collect())  # the bounded sample
-    return fitted([np.frombuffer(h, "<i4") for *_, h in got], np.array([t for _, t, _ in got], np.int64))
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int32) for x in table.column("n").to_pylist())
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([total.tobytes()])})
 
+    out = np.zeros((2, 1 << BITS), np.int32)
+    size = (1 << BITS) // PARTS
+    for r in rows.select("text", "toxic").mapInArrow(run, "part int, n binary").groupBy("part").applyInArrow(add, "part int, n binary").collect():  # 2**BITS numbers
+        out[:, r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["n"], np.int32).reshape(2, size)
+    return out[0], out[1]
 
-def fitted(held: list[np.ndarray], label: np.ndarray) -> Model | None:
-    """The model of texts by their features and labels."""
-    levels, grade = np.unique(label, return_inverse=True)
-    bad = label > 0
-    if len(levels) < 2 or not bad.any() or bad.all() or not sum(map(len, held)):
+
+def train(docs: DataFrame, labels: DataFrame, clean: int = CLEAN, toxic: int = TOXIC) -> Model | None:
+    """The model, or None without labelled texts of both kinds that have features."""
+    small_batches(docs.sparkSession)
+    rows = stage(sample(docs, labels, clean, toxic), "labelled")
+    n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    levels = np.array(sorted(n))
+    n_clean, n_toxic = n.get(0, 0), sum(k for x, k in n.items() if x > 0)
+    if not n_clean or not n_toxic:
         return None
-    row, column = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held).astype(np.int64)
-    n_toxic, n_clean = int(bad.sum()), int((~bad).sum())
-    t, c = (np.bincount(column[own[row]], minlength=1 << BITS) for own in (bad, ~bad))
-    whole, own = evidence(t, c, n_toxic, n_clean), bad[row]
-    without = evidence(t[column] - own, c[column] - ~own, np.maximum(n_toxic - own, 1), np.maximum(n_clean - ~own, 1))
+    t, c = counted(rows)
+    whole = evidence(t, c, n_toxic, n_clean)
     most = np.abs(whole).max()
     if most == 0:
         return None
-    some = np.abs(without) >= ROUNDING * most
-    used, at = np.unique(column[some], return_inverse=True)
-    w, cut = fit(row[some], at, without[some] / most, grade, len(used), len(levels))
+    sent = docs.sparkSession.sparkContext.broadcast((t, c))
+
+    def run(batches):
+        t, c = sent.value
+        for b in batches:
+            held, values = [], []
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
+                f, own = features(text), int(toxic > 0)
+                without = evidence(t[f] - own, c[f] - (1 - own), max(n_toxic - own, 1), max(n_clean - (1 - own), 1)) / most
+                some = np.abs(without) >= ROUNDING
+                held.append(f[some].astype("<i4").tobytes())
+                values.append(without[some].astype("<f4").tobytes())
+            yield pa.record_batch([b.column("doc_id"), b.column("toxic"), pa.array(held, pa.binary()), pa.array(values, pa.binary())], ["doc_id", "toxic", "held", "values"])
+
+    # the bounded sample; in order, so that the fit doesn't depend on partitions
+    got = sorted(rows.mapInArrow(run, "doc_id long, toxic int, held binary, values binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))
+    column, value = (np.concatenate([np.frombuffer(r[i], kind) for r in got]) for i, kind in ((2, "<i4"), (3, "<f4")))
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(r[2]) // 4 for r in got])
+    label = np.array([r[1] for r in got], np.int64)
+    del got
+    used, at = np.unique(column, return_inverse=True)
+    at = at.astype(np.int32)
+    w, cut = fit(row, at, value, np.searchsorted(levels, label), len(used), len(levels))
     weights = np.zeros(1 << BITS)
     weights[used] = w * whole[used] / most
-    at_least = level(np.bincount(row[some], without[some] / most * w[at], len(held)), bad)
+    at_least = level(np.bincount(row, value * w[at], len(label)), label > 0)
     return Model(weights, cut, float(1 / (1 + np.exp((cut[0] - at_least) / 2))))  # midway to even odds
 
 
