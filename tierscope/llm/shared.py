@@ -26,6 +26,12 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df staged in ranges of order, each row with the number of its range (`part`, growing with the order): what a sweep
+    of the whole order takes along from range to range is then a small table by part."""
+    return stage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches of this session, unless the session already asks for smaller ones."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
