@@ -124,6 +124,17 @@ def test_sizes_where_forms_meet(spark):
     assert got == [tuple(map(near, w)) for w in want]
 
 
+def test_sizes_by_token(spark):
+    """Marks before and after numbers, units of two words, and what is left of a text."""
+    given = {
+        "Milk 64 fl. oz. bottle": (1892.704, None, None, "Milk . bottle"), "fl.oz 3 2 fl.oz": (59.147, None, None, "fl.oz 3"), "1.2.3 oz x2 oz 7UP_4 oz": (None, None, None, "1.2.3 oz x2 oz 7UP_4 oz"), "halfgal 10FLUID OUNCES": (1892.705, None, None, ""),
+        "Case of 4.5": (None, None, None, "Case of 4.5"), "pack of 3. Pack 5": (None, None, 5, "pack of 3."), "3 / 4 lb": (None, 340.194, None, ""), "1/0 lb 2-pack": (None, None, 2, ""), "12-count, 4 ct sold by the ea": (None, None, 12, ","), "beach each": (None, None, 1, "beach"), "16oz2": (None, 453.592, None, "2"), "": (None, None, None, ""), "é2 l ": (2000, None, None, "é"),
+    }
+    got = spark.createDataFrame([(x,) for x in given], "v string").select("v", sizes.parse_size(F.col("v")).alias("p")).select("v", "p.size.*", F.trim(F.regexp_replace("p.rest", r"\s+", " ")).alias("rest")).collect()
+    for r in got:
+        assert (r.ml, r.g, r.ct, r.rest) == (*(None if x is None else pytest.approx(x) for x in given[r.v][:3]), given[r.v][3]), r.v
+
+
 def test_fuzzy_key_and_tokens(spark):
     df = spark.createDataFrame([("Great Value Whole Vitamin D Milk, Gallon", "Great Value", "1 gal", None)], "title string, brand string, size_text string, upc string")
     r = products.canonical(products.signed(df)).first()
