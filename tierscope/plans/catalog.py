@@ -780,10 +780,48 @@ def adapter_extract(spark, d):
 
     i = F.col("page_id").cast("string")
     url = F.concat(F.lit("https://www.walmart.com/ip/thing/"), i)
-    html = F.concat(F.lit("<h1>Milk "), i, F.lit('</h1><span itemprop="price">Now $'), (F.col("page_id") % 90).cast("string"), F.lit(".05</span> was $99.00 Sign in Rollback"))
+    price = F.concat(F.lit('<div data-testid="price-wrap"><span itemprop="price">Now $'), (F.col("page_id") % 90).cast("string"), F.lit(".05</span><span>was $99.00</span><b>Rollback</b></div>"))
+    html = F.concat(F.lit("<h1>Milk "), i, F.lit("</h1>"), price, F.lit('<button data-testid="sign-in">Sign in</button>'), F.col("html"))
     return adapters.extract(_pages(spark, d).select("page_id", url.alias("url"), html.alias("html"))).select("page_id", "sku", "title", "price_minor", "price_text", "was_minor", "session_state", "fulfillment", "reason")
 
 
+def _listings(spark, d):
+    """An order's lines as a retailer's listing page: page_id, url, html. A line of one piece has no price, one with a high discount a former one."""
+    x = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    dollars = lambda more: (F.col("l_extendedprice").cast("decimal(12,2)") + more).cast("string")
+    r, part, priced, former = F.col("l_orderkey") % 3, F.col("l_partkey").cast("string"), F.col("l_quantity") > 1, F.col("l_discount") > 0.05
+    filled = lambda text, **cols: F.concat(*(F.coalesce(cols[w], F.lit("")) if w in cols else F.lit(w) for w in text.split("|")))
+    was = filled('<span class="screen-reader-only">Original price: $|was|</span>', was=dollars(1))
+    one = filled('<span class="screen-reader-only">Current price: $|now|</span>|was|', now=dollars(0), was=F.when(former, was))
+    instacart = filled('<div data-item-card="true"><a href="/products/|part|-x"><h3>|name|</h3></a>|price|</div>', part=part, name=F.col("p_name"), price=F.when(priced, one))
+    two = filled('<div data-test="text-quill"><span data-test="text-quill-insert-0">$|now|</span></div>', now=dollars(0))
+    target = filled('<div data-test="ListingPageProductListing"><a data-test="content" href="/p/x/-/A-|part|" aria-label="|name|">|price|</a>|was|</div>', part=part, name=F.col("p_name"), price=F.when(priced, two), was=F.when(former, filled("<s>$|was|</s>", was=dollars(1))))
+    three = filled("Price $ |now||was| Final", now=dollars(0), was=F.when(former, filled(" Was $ |was|", was=dollars(1))))
+    walmart = filled('<div data-item-id="x"><a href="/ip/|part|">x</a><h3>|name|</h3><div data-testid="unified-global-product-price" aria-label="|price|"></div></div>', part=part, name=F.col("p_name"), price=F.when(priced, three))
+    tile = F.when(r == 0, instacart).when(r == 1, target).otherwise(walmart)
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", tile.alias("tile"))
+    pages = x.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["tile"]), "\n").alias("tiles"))
+    r, own = F.col("page_id") % 3, F.col("page_id").cast("string")
+    url = F.when(r == 0, F.concat(F.lit("https://www.instacart.com/store/s?k="), own)).when(r == 1, F.concat(F.lit("https://www.target.com/s?searchTerm="), own)).otherwise(F.concat(F.lit("https://www.walmart.com/search?q="), own))
+    head = '<a href="/store/corner/storefront"><h2>Corner</h2></a><button data-test="@web/StoreName/Button" aria-label="Store: Corner"></button><div data-automation-id="fulfillment-banner"><span data-sensitivity="medium">Corner</span></div><div data-testid="item-stack">'
+    return pages.select("page_id", url.alias("url"), F.concat(F.lit(head), F.col("tiles"), F.lit("</div>")).alias("html"))
+
+
+@query
+def listing_tiles(spark, d):
+    from ..operators import adapters
+
+    seen = adapters.observations(adapters.extract(_listings(spark, d)))
+    return seen.select("page_id", "retailer", "sku", "url", "title", "price_minor", "price_text", "was_minor", "store_label", "fulfillment", "fulfillment_inferred")
+
+
+@query
+def listing_skips(spark, d):
+    from ..operators import adapters
+
+    return adapters.skipped(adapters.extract(_listings(spark, d)))
+
+
 @query
 def money_parse(spark, d):
     t = F.concat(F.lit("now $"), F.col("p_retailprice").cast("decimal(12,2)").cast("string"), F.lit(" each"))

@@ -288,6 +288,13 @@ SQL: dict[str, str] = {
     "path_only": "SELECT page_id, CASE WHEN page_id % 5 > 1 THEN CASE WHEN regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1) END END AS path FROM pages",
     "page_kinds": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'instacart' WHEN 1 THEN 'target' ELSE 'walmart' END AS retailer, CASE WHEN page_id % 4 = 3 THEN 'listing' ELSE 'product' END AS kind, CASE WHEN page_id % 4 < 3 THEN CAST(page_id AS VARCHAR) END AS sku FROM pages",
     "adapter_extract": "SELECT page_id, CAST(page_id AS VARCHAR) AS sku, 'Milk ' || page_id AS title, (page_id % 90) * 100 + 5 AS price_minor, '$' || (page_id % 90) || '.05' AS price_text, 9900::BIGINT AS was_minor, 'logged_out' AS session_state, 'ship' AS fulfillment, CAST(NULL AS VARCHAR) AS reason FROM pages",
+    "listing_tiles": """WITH t AS (SELECT l_orderkey AS page_id, l_orderkey % 3 AS r, l_partkey AS part, p_name, CAST(l_extendedprice AS DECIMAL(12, 2)) AS price, l_discount > 0.05 AS former,
+            row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 1)
+        SELECT page_id, ['instacart', 'target', 'walmart'][r + 1] AS retailer, CAST(part AS VARCHAR) AS sku,
+            CASE r WHEN 0 THEN 'https://www.instacart.com/products/' || part || '-x?retailerSlug=corner' WHEN 1 THEN 'https://www.target.com/p/x/-/A-' || part ELSE 'https://www.walmart.com/ip/' || part END AS url, p_name AS title,
+            CAST(price * 100 AS BIGINT) AS price_minor, '$' || CAST(price AS VARCHAR) AS price_text, CASE WHEN former THEN CAST((price + 1) * 100 AS BIGINT) END AS was_minor, 'Corner' AS store_label, CASE r WHEN 0 THEN 'delivery' ELSE 'ship' END AS fulfillment, TRUE AS fulfillment_inferred
+        FROM t WHERE n = 1""",
+    "listing_skips": "SELECT l_orderkey AS page_id, 'no_price' AS reason, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 1 GROUP BY l_orderkey",
     "money_parse": "SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS amount_minor, '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) AS token, '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) AS shown FROM part",
     "waitlist_validate": "SELECT * FROM (VALUES (' A@B.co ', 'a@b.co', TRUE), ('a@b', 'a@b', FALSE), ('a@@b.co', 'a@@b.co', FALSE), ('', '', FALSE), ('x y@z.com', 'x y@z.com', FALSE), ('ok@mail.example', 'ok@mail.example', TRUE), ('@b.co', '@b.co', FALSE), ('a@.co', 'a@.co', FALSE), ('a@b.', 'a@b.', FALSE)) t(raw, email, ok)",
     "waitlist_join": f"{O} SELECT 'u' || (panelist_id % 40) || '@mail.example' AS email, min(observed_at) AS \"at\" FROM o GROUP BY ALL",
