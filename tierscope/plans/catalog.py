@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coupon, keys, money, sizes, text, upc, urls
-from ..operators import health, ingest, panel, probes, products, resolve, scrub, series, synth, windows
+from ..operators import flagging, health, ingest, panel, probes, products, resolve, scrub, series, synth, windows
 from ..schema import DEVICES, FORBIDDEN_KEYS, SCHEMA_VERSION, SURFACES, errors
 from ..sources.staged import finished, scratch
 from ..streaming import ingest as streaming
@@ -358,6 +358,13 @@ def suspect_flags(spark, d):
     return ingest.flag_new(V.flags(o), ingest.suspects(windows.trailing(o, V.NOW), V.flags(o)))
 
 
+@query
+def flags_in_order(spark, d):
+    """All observations as one batch: each pair of panelist and cell sees the flags of those before it."""
+    o = obs(spark, d)
+    return flagging.flags_in_order(flagging.pairs_of(o), windows.trailing(o, V.NOW), V.flags(o)).select("panelist_id", "cell_key", "reason", "place")
+
+
 @query
 def suspect_exclusion_anti(spark, d):
     return clean(spark, d).groupBy("cell_key").agg(F.count(F.lit(1)).alias("rows"))
@@ -953,3 +960,14 @@ def stream_ingest(spark, d):
     q = rows.writeStream.foreachBatch(streaming.ingest_batch(spark, root, 1000, 720)).option("checkpointLocation", root + "/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(root + "/rows").select("observation_id")
+
+
+@query
+def stream_ingest_two_steps(spark, d):
+    """Admitted rows land, pass once by their id, and are stored: the same rows as stream_ingest, with no look-up of stored ids."""
+    root = scratch(spark, "ingest")
+    rows = _replayed(spark, d, ["observation_id", "panelist_id", "sku", "observed_at"]).withColumns({"received_at": F.col("observed_at"), "cell_key": F.col("sku"), "price_minor": F.lit(199).cast("long"), "currency": F.lit("USD")})
+    rows.writeStream.foreachBatch(streaming.admit_batch(spark, root, 1000)).option("checkpointLocation", root + "/admit").trigger(availableNow=True).start().awaitTermination()
+    seen = streaming.idempotent(streaming.landed(spark, root, rows))
+    seen.writeStream.foreachBatch(streaming.ingest_batch(spark, root, None, 720, ids_known=True)).option("checkpointLocation", root + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(root + "/rows").select("observation_id")

@@ -318,4 +318,4 @@ SQL: dict[str, str] = {
     "stream_hourly": f"{O} SELECT date_trunc('hour', observed_at) AS hour, panelist_id, count(*) AS rows FROM o GROUP BY ALL",
 }
 SQL["stream_dedup"] = SQL["semantic_dedup"]
-SQL["stream_ingest"] = SQL["semantic_dedup"]
+SQL["stream_ingest"] = SQL["stream_ingest_two_steps"] = SQL["semantic_dedup"]
