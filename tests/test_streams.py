@@ -26,7 +26,7 @@ def one_by_one(batch, rows, flags):
         done.add((p, c))
         others = [x for q, v in by_cell[c].items() if q != p and status.get(q) != "suspect" for x in v]
         n = len({q for q in by_cell[c] if q != p and status.get(q) != "suspect"})
-        own = by_cell[c][p]
+        own = by_cell[c].get(p, [])
         if n >= 3 and own and all(x < 0.5 * min(others) or x > 1.5 * max(others) for x in own) and p not in status:
             status[p] = "suspect"
             out.append((p, c, i))
