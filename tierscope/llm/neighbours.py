@@ -1,7 +1,7 @@
 """Exact nearest neighbours by a block matrix join.
 
-Vectors lie in blocks of a table. In each pass a bounded group of query blocks (QUERY_BLOCKS of BLOCK vectors) goes to all tasks,
-and every candidate block is read where it lies, so candidates are never shuffled. In a task each pair of blocks is one
+Vectors lie in blocks of a table. In each pass a bounded group of queries (QUERY_BLOCKS of BLOCK vectors, and PASS_BYTES) goes to all
+tasks; queries are dealt evenly to as few passes as that allows, however many partitions they come from. Every candidate block is read where it lies, so candidates are never shuffled. In a task each pair of blocks is one
 tile: int8 codes (with a scale for each vector) are multiplied as a matrix, which gives the distances of the decoded
 vectors; with the norms of the two decoding errors that is a lower and an upper bound of each true distance. Pairs whose
 lower bound is within the k-th smallest upper bound of their query, or its k-th smallest distance so far, are recomputed
@@ -28,6 +28,8 @@ from .shared import rows_of, stage
 K, EVERY = 10, 100
 #: Vectors in a block, and blocks of queries in a pass.
 BLOCK, QUERY_BLOCKS = 2048, 8
+#: Bytes of the queries of a pass, as 64-bit components.
+PASS_BYTES = 32 << 20
 
 
 def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -139,10 +141,8 @@ class Heaps:
 def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLOCK, query_blocks: int = QUERY_BLOCKS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (Euclidean distance), for queries whose vec_id is divisible by `every`."""
     held = stage(blocks(vectors, block), "candidates", "none")
-    asked = stage(blocks(vectors.where(F.pmod("vec_id", F.lit(every)) == 0), block), "queries", "none")
-    passes = -(-asked.count() // query_blocks) or 1
-    own = F.pmod("block", F.lit(passes))
-    found = [in_pass(held, asked.where(own == i), k) for i in range(passes)]
+    asked, passes = in_passes(vectors.where(F.pmod("vec_id", F.lit(every)) == 0), block, query_blocks)
+    found = [in_pass(held, asked.where(F.col("pass") == i), k) for i in range(passes)]
     if passes > 1:  # each pass is done before the next one's queries go out
         found = [stage(f, "found") for f in found]
     rows = found[0]
@@ -152,11 +152,19 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, block: int = BLO
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def in_passes(queries: DataFrame, block: int = BLOCK, query_blocks: int = QUERY_BLOCKS, most: int = PASS_BYTES) -> tuple[DataFrame, int]:
+    """The blocks of queries with the number of their pass, and how many passes there are: by number and bytes of the queries alone."""
+    n, size = queries.agg(F.count(F.lit(1)), F.sum(8 * F.size("embedding").cast("long"))).first()
+    passes = max(1, -(-n // (block * query_blocks)), -(-(size or 0) // most))
+    even = queries.select("vec_id", "embedding").repartition(passes)
+    return stage(blocks(even, block).withColumn("pass", F.spark_partition_id()), "queries", "none"), passes
+
+
 def in_pass(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score: the k nearest of each task, for the queries of one pass."""
     matrix = lambda r: (np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["vectors"], r["kind"]).reshape(-1, r["size"]).astype(np.float64))
     columns = ["size", "ids", "vectors", "kind"]
-    sent = held.sparkSession.sparkContext.broadcast([r.asDict() for r in asked.select(*columns).collect()])  # about query_blocks blocks
+    sent = held.sparkSession.sparkContext.broadcast([r.asDict() for r in asked.select(*columns).collect()])  # one pass of queries
 
     def run(batches):
         heaps = [(r["size"], Heaps(*matrix(r), k)) for r in sent.value]
