@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DECISION
@@ -10,9 +10,21 @@ from . import resolve as R
 from . import windows as W
 
 
-def common(value: str):
-    """The most frequent value, ties to the smallest."""
-    return F.mode(value, True)
+def commonest(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """key, value: the most frequent value of each key, ties to the smallest; counted first, so that no task holds a key's values."""
+    counts = rows.groupBy(*key, value).agg(F.count(value).alias("_n"))
+    return counts.groupBy(*key).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(value))
+
+
+def medians(rows: DataFrame, key: list[str], value: Column, name: str) -> DataFrame:
+    """key, name: the median of a value for each key (null without values), from a histogram and its running sum."""
+    counts = rows.select(*key, value.cast("double").alias("_v")).groupBy(*key, "_v").agg(F.count("_v").alias("_n"))
+    own = Window.partitionBy(*key)
+    told = counts.withColumns({"_upto": F.sum("_n").over(own.orderBy("_v")), "_all": F.sum("_n").over(own)})
+    # the middle rows: one, or two where the number is even
+    first, last = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    holds = lambda at: F.max(F.when((F.col("_upto") >= at) & (F.col("_upto") - F.col("_n") < at), F.col("_v")))
+    return told.groupBy(*key).agg(((holds(first) + holds(last)) / 2).alias(name))
 
 
 def cell_summary(obs: DataFrame, flags: DataFrame) -> DataFrame:
@@ -20,7 +32,7 @@ def cell_summary(obs: DataFrame, flags: DataFrame) -> DataFrame:
     flagged = flags.where("status = 'suspect'").select("panelist_id", F.lit(True).alias("suspect"))
     marked = obs.join(flagged, "panelist_id", "left").withColumn("suspect", F.coalesce("suspect", F.lit(False)))
     total = marked.groupBy("cell_key").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("panelist_id").alias("panelists"), F.count_if("suspect").alias("excluded_rows"))
-    title = marked.groupBy("cell_key").agg(common("title").alias("title"))
+    title = commonest(marked, ["cell_key"], "title")
     resolved = R.resolve(W.votes(marked.where(~F.col("suspect")).drop("suspect")))
     return total.join(title, "cell_key").join(resolved, "cell_key", "left").withColumn("votes", F.coalesce("n", F.lit(0)))
 
@@ -29,10 +41,12 @@ def cell_metrics(cells: DataFrame, least: int = 5) -> DataFrame:
     """One row over a cell summary."""
     resolved = F.col("status") == "RESOLVED"
     multi = resolved & (F.col("k") > 1)
-    return cells.agg(
+    one = cells.agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(F.col("votes") >= least).alias("cells_with_votes"), F.count_if(resolved).alias("resolved"), F.count_if(multi).alias("multi_tier"),
-        F.try_divide(F.count_if(multi), F.count_if(resolved)).alias("multi_tier_share"), F.max("spread").alias("max_spread"), F.median("spread").alias("median_spread"), F.sum("excluded_rows").alias("excluded_rows"),
+        F.try_divide(F.count_if(multi), F.count_if(resolved)).alias("multi_tier_share"), F.max("spread").alias("max_spread"), F.sum("excluded_rows").alias("excluded_rows"),
     )
+    median = medians(cells.withColumn("_one", F.lit(1)), ["_one"], F.col("spread"), "median_spread")
+    return one.withColumn("_one", F.lit(1)).join(median, "_one", "left").drop("_one")
 
 
 def max_spread(cells: DataFrame) -> DataFrame:
@@ -53,7 +67,9 @@ def counts_by(obs: DataFrame, column: str) -> DataFrame:
 
 
 def top_skus(obs: DataFrame, n: int = 20, sku: str = "sku") -> DataFrame:
-    return obs.groupBy(sku).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("panelist_id").alias("panelists"), common("title").alias("title")).orderBy(F.desc("rows"), F.desc("panelists"), sku).limit(n)
+    order = (F.desc("rows"), F.desc("panelists"), sku)
+    top = obs.groupBy(sku).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("panelist_id").alias("panelists")).orderBy(*order).limit(n)
+    return top.join(commonest(obs.join(top.select(sku), sku, "left_semi"), [sku], "title"), sku).orderBy(*order)
 
 
 def is_probe():

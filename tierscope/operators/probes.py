@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PAIR_AHEAD_MINUTES, PAIR_BACK_MINUTES
-from .panel import is_probe
+from .panel import is_probe, medians
 
 
 def same_store(a: str = "mine", b: str = "anon") -> Column:
@@ -49,12 +49,13 @@ def pair(obs: DataFrame, back_minutes: int = PAIR_BACK_MINUTES, ahead_minutes: i
 def rates(pairs: DataFrame) -> DataFrame:
     """Per retailer: pairs by verdict, comparable ones, unpaired ones, difference rate and median size of a difference."""
     is_ = lambda *v: F.col("verdict").isin(*v)
-    return pairs.groupBy("retailer").agg(
+    told = pairs.groupBy("retailer").agg(
         *(F.count_if(F.coalesce(is_(v), F.lit(False))).alias(v.lower()) for v in ("SAME", "MORE", "LESS", "STORE_DIFFERS", "STORE_UNKNOWN")),
         F.count_if(F.coalesce(is_("SAME", "MORE", "LESS"), F.lit(False))).alias("comparable"), F.count_if(F.col("mine_id").isNull()).alias("unpaired"),
         F.try_divide(F.count_if(F.coalesce(is_("MORE", "LESS"), F.lit(False))), F.count_if(F.coalesce(is_("SAME", "MORE", "LESS"), F.lit(False)))).alias("difference_rate"),
-        F.median(F.when(is_("MORE", "LESS"), F.abs("delta"))).alias("median_delta"),
     )
+    median = medians(pairs.withColumnRenamed("retailer", "_retailer"), ["_retailer"], F.when(is_("MORE", "LESS"), F.abs("delta")), "median_delta")
+    return told.join(median, F.col("retailer").eqNullSafe(F.col("_retailer")), "left").drop("_retailer")
 
 
 def latest_own(obs: DataFrame, key: str = "sku") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import coupon
@@ -15,11 +15,9 @@ def histogram(votes: DataFrame, key: tuple[str, ...] = ("cell_key",), price: str
     return votes.groupBy(*key, F.col(price).cast("long").alias("price")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def kept_tiers(tiers: Column, n: Column) -> Column:
+def is_kept(price: Column, n: Column, twice: Column, cell_n: Column) -> Column:
     """From NOISE_FROM votes on, prices seen once go, unless they are below every price seen twice."""
-    twice = F.array_min(F.transform(F.filter(tiers, lambda t: t["n"] >= 2), lambda t: t["price"]))
-    kept = F.filter(tiers, lambda t: (t["n"] >= 2) | (t["price"] < twice))
-    return F.when((n >= NOISE_FROM) & twice.isNotNull(), kept).otherwise(tiers)
+    return ~F.coalesce((cell_n >= NOISE_FROM) & twice.isNotNull(), F.lit(False)) | (n >= 2) | F.coalesce(price < twice, F.lit(False))
 
 
 def resolve(votes: DataFrame, key: tuple[str, ...] = ("cell_key",), price: str = "price_minor", currency: str | None = "currency", cells: DataFrame | None = None) -> DataFrame:
@@ -30,12 +28,15 @@ def resolve(votes: DataFrame, key: tuple[str, ...] = ("cell_key",), price: str =
     checked = votes.withColumn(price, F.when(good, F.col(price)).otherwise(F.raise_error(F.lit("a price is not a whole number of zero or more")).cast("long")))
     unit = F.min(currency) if currency else F.lit("USD")
     counts = checked.groupBy(*key, F.col(price).cast("long").alias("price")).agg(F.count(F.lit(1)).alias("n"), unit.alias("unit"))
-    laid = counts.groupBy(*key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("price", "n"))).alias("all_tiers"), F.min("unit").alias("currency"))
+    own = Window.partitionBy(*key)
+    counts = counts.withColumns({"cell_n": F.sum("n").over(own), "twice": F.min(F.when(F.col("n") >= 2, F.col("price"))).over(own), "currency": F.min("unit").over(own)})
+    counts = counts.where(is_kept(F.col("price"), F.col("n"), F.col("twice"), F.col("cell_n"))).withColumn("k", F.count(F.lit(1)).over(own))
+    # a cell of too many tiers is told by their number; its prices are never an array
+    few = F.when(F.col("k") <= MAX_TIERS, F.struct("price", "n"))
+    laid = counts.groupBy(*key).agg(F.max("cell_n").alias("cell_n"), F.max("k").cast("int").alias("k"), F.array_sort(F.collect_list(few)).alias("kept"), F.min("n").alias("rarest"), F.sum("n").alias("total"), F.min("currency").alias("currency")).withColumnRenamed("cell_n", "n")
     if cells is not None:
         laid = cells.select(*key).distinct().join(laid, list(key), "left")
-    laid = laid.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "currency": F.coalesce("currency", F.lit("USD")), "all_tiers": F.coalesce("all_tiers", F.array().cast(TIERS))})
-    laid = laid.withColumn("kept", kept_tiers(F.col("all_tiers"), F.col("n"))).drop("all_tiers")
-    laid = laid.withColumns({"k": F.size("kept"), "rarest": F.array_min(F.transform("kept", lambda t: t["n"])), "total": F.aggregate("kept", F.lit(0).cast("long"), lambda a, t: a + t["n"])})
+    laid = laid.withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "currency": F.coalesce("currency", F.lit("USD")), "k": F.coalesce("k", F.lit(0)), "total": F.coalesce("total", F.lit(0).cast("long")), "kept": F.coalesce("kept", F.array().cast(TIERS))})
     n, k, rarest = F.col("n"), F.col("k"), F.col("rarest")
     needs = F.element_at(F.array(*(F.lit(_required(i)) for i in range(1, MAX_TIERS + 1))), F.greatest(F.lit(1), F.least(k, F.lit(MAX_TIERS))))
     more = F.greatest(needs, F.when(rarest < MIN_SIGHTINGS, F.ceil(MIN_SIGHTINGS * n / rarest)).otherwise(0)) - n

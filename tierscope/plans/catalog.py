@@ -307,7 +307,7 @@ def top_skus(spark, d):
 
 @query
 def common_title(spark, d):
-    return V.panel_orders(spark, d).groupBy("sku").agg(panel.common("title").alias("title"))
+    return panel.commonest(V.panel_orders(spark, d), ["sku"], "title").select("sku", "title")
 
 
 def cells(spark, d):
@@ -343,7 +343,7 @@ def max_spread(spark, d):
 
 @query
 def median_spread(spark, d):
-    return resolved(spark, d).agg(six(F.median("spread")).alias("median_spread"))
+    return panel.medians(resolved(spark, d).withColumn("all", F.lit(1)), ["all"], F.col("spread"), "median_spread").select(six("median_spread").alias("median_spread"))
 
 
 @query
