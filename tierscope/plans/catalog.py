@@ -792,7 +792,7 @@ def adapter_extract(spark, d):
     return adapters.extract(_pages(spark, d).select("page_id", url.alias("url"), html.alias("html"))).select("page_id", "sku", "title", "price_minor", "price_text", "was_minor", "session_state", "fulfillment", "reason")
 
 
-def _listings(spark, d):
+def _listing_pages(spark, d):
     """An order's lines as a retailer's listing page: page_id, url, html. A line of one piece has no price, one with a high discount a former one."""
     x = V.table(spark, d, "lineitem").join(V.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     dollars = lambda more: (F.col("l_extendedprice").cast("decimal(12,2)") + more).cast("string")
@@ -818,7 +818,7 @@ def _listings(spark, d):
 def listing_tiles(spark, d):
     from ..operators import adapters
 
-    seen = adapters.observations(adapters.extract(_listings(spark, d)))
+    seen = adapters.observations(adapters.extract(_listing_pages(spark, d)))
     return seen.select("page_id", "retailer", "sku", "url", "title", "price_minor", "price_text", "was_minor", "store_label", "fulfillment", "fulfillment_inferred")
 
 
@@ -826,7 +826,7 @@ def listing_tiles(spark, d):
 def listing_skips(spark, d):
     from ..operators import adapters
 
-    return adapters.skipped(adapters.extract(_listings(spark, d)))
+    return adapters.skipped(adapters.extract(_listing_pages(spark, d)))
 
 
 @query
