@@ -129,6 +129,12 @@ def parse_size(text: Column) -> Column:
     return _bound(_tokens(text), read)
 
 
+@cache
+def sizes_in(texts: str) -> Column:
+    """parse_size of each text of an array column; the rules are a large expression, so it is put together once."""
+    return F.transform(texts, parse_size)
+
+
 def merge_sizes(a: Column, b: Column) -> Column:
     return F.struct(*(F.coalesce(a[d], b[d]).alias(d) for d in ("ml", "g", "ct")))
 

@@ -13,8 +13,8 @@ from ..sources.staged import staged
 def signed(products: DataFrame, title="title", brand="brand", size_text="size_text") -> DataFrame:
     """products with tokens (sorted, distinct), brand_tokens and size; a size text goes before a size in the title."""
     named = F.coalesce(F.col(title), F.lit(""))
-    both = F.transform(F.array(named, F.coalesce(F.col(size_text), F.lit(""))), sizes.parse_size)
-    parsed = products.withColumn("_p", both).withColumns({"_t": F.col("_p")[0], "_s": F.col("_p")[1]}).drop("_p")
+    texts = products.withColumn("_texts", F.array(named, F.coalesce(F.col(size_text), F.lit(""))))
+    parsed = texts.withColumn("_p", sizes.sizes_in("_texts")).withColumns({"_t": F.col("_p")[0], "_s": F.col("_p")[1]}).drop("_p", "_texts")
     brand_tokens = F.array_sort(F.array_distinct(text.tokenize(F.coalesce(F.col(brand), F.lit("")))))
     out = parsed.withColumn("brand_tokens", brand_tokens).withColumn("tokens", F.array_sort(F.array_union("brand_tokens", text.tokenize(F.col("_t.rest")))))
     return out.withColumn("size", sizes.merge_sizes(F.col("_s.size"), F.col("_t.size"))).drop("_t", "_s")
