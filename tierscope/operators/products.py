@@ -9,6 +9,9 @@ from ..functions import sizes, text, upc
 from ..schema import CANDIDATES, KEY_TOKENS, MATCH_AT, QUERY_TOKENS
 from ..sources.staged import staged
 
+#: Lists of tokens are read in full at once up to this many times the number of candidates wanted.
+SHORT_LISTS = 20
+
 
 def signed(products: DataFrame, title="title", brand="brand", size_text="size_text") -> DataFrame:
     """products with tokens (sorted, distinct), brand_tokens and size; a size text goes before a size in the title."""
@@ -60,19 +63,49 @@ def standalone_confidence() -> Column:
 
 
 def candidates(queries: DataFrame, products: DataFrame, most: int = CANDIDATES, tokens: int = QUERY_TOKENS, earlier: bool = False) -> DataFrame:
-    """query_id, product_id, shared: the products that share the most tokens with each query; earlier: of those with a smaller id.
+    """query_id, product_id, shared, rank: the products that share the most tokens with each query, ties to the smaller id; earlier: of those with a
+    smaller id than the query's. A query asks with its first tokens in order. Product ids are distinct.
 
-    Both sides are token tables, so nothing but equal tokens meets; a query asks with its first tokens in order. Queries with
-    the same tokens ask once (not with earlier, where the answer is each one's own)."""
+    A token's list is read in full only where it can matter. Queries with the same tokens ask once (not with earlier, where the answer is each one's
+    own), products with the same tokens are one set. First the rarest tokens of an ask meet their whole lists, as long as these are short, and the others
+    the `most` first sets of theirs. What shares one token is found by that: the sets before it in the list share one as well. If the last of the `most`
+    best shares n, all that can still come before it share n, so one of the rarest size - n + 1 tokens; the n - 1 most common ones need no list."""
     asked = queries.select("query_id", F.slice("tokens", 1, tokens).alias("asked"))
     asks = asked.select(F.col("query_id").alias("ask_id"), "asked") if earlier else asked.groupBy("asked").agg(F.min("query_id").alias("ask_id"))
-    p = products.select("product_id", F.explode("tokens").alias("token"))
-    met = asks.select("ask_id", F.explode("asked").alias("token")).join(p, "token")
-    if earlier:
-        met = met.where(F.col("product_id") < F.col("ask_id"))
-    shared = met.groupBy("ask_id", "product_id").agg(F.count(F.lit(1)).alias("shared"))
-    best = F.row_number().over(Window.partitionBy("ask_id").orderBy(F.desc("shared"), "product_id"))
-    top = shared.withColumn("rank", best).where(F.col("rank") <= most)
+    # of one set no more than `most` can be found; the limit of a row number is applied before rows are shuffled
+    nth = F.row_number().over(Window.partitionBy("tokens").orderBy("product_id"))
+    few = products.select("product_id", "tokens").where(F.size("tokens") > 0).withColumn("nth", nth).where(F.col("nth") <= most)
+    # a small table of sets makes many pairs, so its rows are spread whatever their bytes
+    spread = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = staged(few.groupBy("tokens").agg(F.array_sort(F.collect_list("product_id")).alias("ids")).withColumn("set_id", F.col("ids")[0]).repartition(spread, "set_id"), "sets")
+    lists = sets.select(F.explode("tokens").alias("token"), "set_id", "tokens")
+    heads = lists.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("set_id"))).where(F.col("nth") <= most).drop("nth")
+    by_rarity = Window.partitionBy("ask_id").orderBy("held", "token")
+    terms = asks.select("ask_id", F.explode("asked").alias("token")).join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("held")), "token").withColumn("read", F.sum("held").over(by_rarity))
+    sorted_terms = terms.groupBy("ask_id").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"), F.count_if(F.col("read") <= SHORT_LISTS * most).cast("int").alias("short"))
+    asking = staged(sorted_terms.select("ask_id", F.col("t.token").alias("asked"), "short", F.lit(1).alias("floor")), "asks")
+
+    def met(asking: DataFrame, asked_with: Column, postings: DataFrame) -> DataFrame:
+        shared = F.array_intersect("asked", "tokens")
+        pairs = asking.withColumn("token", F.explode(asked_with)).join(postings, "token")
+        pairs = pairs.where(F.col("set_id") < F.col("ask_id")) if earlier else pairs
+        return pairs.select("ask_id", "set_id", F.size(shared).alias("shared"), "floor", (shared[0] == F.col("token")).alias("rarest"))
+
+    def best(found: DataFrame) -> DataFrame:
+        once = found.groupBy("ask_id", "set_id").agg(F.max("shared").alias("shared"))
+        return once.withColumn("rank", F.row_number().over(Window.partitionBy("ask_id").orderBy(F.desc("shared"), "set_id"))).where(F.col("rank") <= most)
+
+    size, columns = F.size("asked"), ["ask_id", "set_id", "shared"]
+    short = met(asking, F.slice("asked", 1, F.col("short")), lists).where("rarest").select(columns)
+    first = staged(best(short.union(met(asking, F.slice("asked", F.col("short") + 1, size), heads).select(columns))), "first")
+    # a pair is listed at the rarest token that it shares, so none is listed twice
+    floors = first.where(F.col("rank") == most).select("ask_id", F.col("shared").alias("floor"))
+    bounded = asking.drop("floor").join(floors, "ask_id", "left").withColumn("floor", F.greatest(F.lit(2), F.coalesce("floor", F.lit(2))))
+    rest = F.slice("asked", F.col("short") + 1, F.greatest(F.lit(0), size - F.col("floor") + 1 - F.col("short")))
+    more = met(bounded, rest, lists).where("rarest").where(F.col("shared") >= F.col("floor")).select(columns)
+    found = best(first.select(columns).union(more)).drop("rank").join(sets.select("set_id", F.explode("ids").alias("product_id")), "set_id")
+    found = found.where(F.col("product_id") < F.col("ask_id")) if earlier else found
+    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("ask_id").orderBy(F.desc("shared"), "product_id"))).where(F.col("rank") <= most)
     if not earlier:
         top = top.join(asks, "ask_id").join(asked, "asked")
     return top.select(F.col("ask_id" if earlier else "query_id").alias("query_id"), "product_id", "shared", "rank")
