@@ -49,9 +49,45 @@ def outcome_counters(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("adapter").agg(F.count(F.lit(1)).alias("attempted"), is_("stored").alias("stored"), is_("duplicate").alias("duplicates"), is_("rejected").alias("rejected"), is_("skipped").alias("skipped"), is_("extract_failed").alias("failed"))
 
 
-def subtract(now: DataFrame, sent: DataFrame, columns: tuple[str, ...] = ("attempted", "extracted"), key: str = "adapter") -> DataFrame:
-    """Counters less what was sent, never below zero; adapters without anything left go."""
-    a, b = now.alias("a"), sent.alias("b")
-    both = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full")
-    left = both.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *(F.greatest(F.lit(0).cast("long"), F.coalesce(f"a.{c}", F.lit(0)) - F.coalesce(f"b.{c}", F.lit(0))).alias(c) for c in columns))
-    return left.where(" or ".join(f"{c} > 0" for c in columns))
+def outcome_rows(outcomes: DataFrame, fallback: str | None = None) -> DataFrame:
+    """Captures as counts: adapter, attempted, extracted, failed (reason to count).
+
+    outcomes(adapter, status, reason, stored, duplicates, rejected, skipped): the last four are of a listing, where skipped has the tiles by reason.
+    fallback: the adapter of outcomes that name none; without it they don't count. Neither do captures without consent or adapter."""
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    listing, one, none = F.col("status") == "listing", F.lit(1).cast("long"), F.lit(0).cast("long")
+    skipped = F.map_filter(F.coalesce("skipped", F.create_map().cast("map<string,bigint>")), lambda _, v: F.coalesce(v > 0, F.lit(False)))
+    tiles = n("stored") + n("duplicates") + n("rejected")
+    single = lambda reason: F.create_map(reason, one)
+    refused = F.when(n("rejected") > 0, F.create_map(F.lit("rejected"), n("rejected"))).otherwise(F.create_map().cast("map<string,bigint>"))
+    # skipped tiles may have a reason of that name themselves
+    both = F.map_zip_with(skipped, refused, lambda _, x, y: F.coalesce(x, none) + F.coalesce(y, none))
+    taken = outcomes.withColumn("adapter", F.coalesce("adapter", F.lit(fallback))).where(F.col("adapter").isNotNull() & F.col("status").isin("stored", "duplicate", "rejected", "extract_failed", "listing"))
+    return taken.select(
+        "adapter", F.when(listing, tiles + F.aggregate(F.map_values(skipped), none, lambda x, y: x + y)).otherwise(one).alias("attempted"),
+        F.when(listing, tiles).when(F.col("status") == "extract_failed", none).otherwise(one).alias("extracted"),
+        F.when(listing, both).when(F.col("status") == "rejected", single(F.lit("rejected"))).when(F.col("status") == "extract_failed", single(F.coalesce("reason", F.lit("unknown")))).otherwise(F.create_map().cast("map<string,bigint>")).alias("failed"),
+    )
+
+
+def subtract(now: DataFrame, sent: DataFrame) -> DataFrame:
+    """Counters (adapter, attempted, extracted, failed) less those that were sent, never below zero; reasons and adapters without anything left go."""
+    zero = F.lit(0).cast("long")
+    left = lambda c: F.greatest(zero, F.col(f"a.{c}") - F.coalesce(f"b.{c}", zero)).alias(c)
+    gone = F.coalesce("b.failed", F.create_map().cast("map<string,bigint>"))
+    failed = F.map_filter(F.map_zip_with("a.failed", gone, lambda _, x, y: F.coalesce(x, zero) - F.coalesce(y, zero)), lambda _, v: v > 0)
+    both = now.alias("a").join(sent.alias("b"), F.col("a.adapter") == F.col("b.adapter"), "left")
+    return both.select("a.adapter", left("attempted"), left("extracted"), failed.alias("failed")).where("attempted > 0")
+
+
+def reports(left: DataFrame, client_version: str, date: Column) -> DataFrame:
+    """Counters as one report(clientVersion, date, adapters), adapters in order of their names; no row where nothing was attempted.
+
+    Adapters are few (a report holds 20 at most), so an array holds them."""
+    cut = F.instr("adapter", "@")
+    entry = F.struct(
+        F.when(cut > 0, F.substring_index("adapter", "@", 1)).otherwise(F.col("adapter")).alias("adapter"),
+        F.when(cut > 0, F.expr("substring(adapter, instr(adapter, '@') + 1)")).otherwise("").alias("version"), "attempted", "extracted", "failed",
+    )
+    put = left.where("attempted > 0").agg(F.array_sort(F.collect_list(F.struct(F.col("adapter").alias("id"), entry.alias("e"))), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)).alias("a"))
+    return put.where(F.size("a") > 0).select(F.lit(client_version).alias("clientVersion"), date.alias("date"), F.col("a.e").alias("adapters"))

@@ -58,6 +58,18 @@ def rates(pairs: DataFrame) -> DataFrame:
     return told.join(median, F.col("retailer").eqNullSafe(F.col("_retailer")), "left").drop("_retailer")
 
 
+def check_stats(results: DataFrame) -> DataFrame:
+    """results(retailer, verdict, reason) counted per retailer: checks, differences, failures and failures by reason (a map).
+
+    A check without a verdict of its own (UNCHECKED) is a failure; where it tells no reason the page wasn't read."""
+    failed = F.col("verdict") == "UNCHECKED"
+    totals = results.groupBy("retailer").agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("verdict").isin("MORE", "LESS")).alias("differences"), F.count_if(failed).alias("failures"))
+    told = results.where(failed).groupBy("retailer", F.coalesce("reason", F.lit("extract_unavailable")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    maps = told.groupBy(F.col("retailer").alias("_retailer")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("by_reason"))
+    joined = totals.join(maps, F.col("retailer").eqNullSafe(F.col("_retailer")), "left").drop("_retailer")
+    return joined.withColumn("by_reason", F.coalesce("by_reason", F.create_map().cast("map<string,bigint>")))
+
+
 def latest_own(obs: DataFrame, key: str = "sku") -> DataFrame:
     """A panelist's latest row of each page that no clean session made."""
     own = obs.where(~F.col("clean_session").eqNullSafe(F.lit(True)))

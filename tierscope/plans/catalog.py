@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import coupon, keys, money, sizes, text, upc, urls
 from ..operators import flagging, health, ingest, panel, probes, products, resolve, scrub, series, synth, windows
 from ..schema import DEVICES, FORBIDDEN_KEYS, SCHEMA_VERSION, SURFACES, errors
+from ..sources import registry
 from ..sources.staged import finished, scratch
 from ..streaming import ingest as streaming
 from . import views as V
@@ -519,6 +520,22 @@ def canonical_match(spark, d):
     return products.canonical(_listings(spark, d), best, "known_id").select("query_id", "canonical_id", "method", six("confidence").alias("confidence"))
 
 
+@query
+def products_recorded(spark, d):
+    """Sightings of products recorded in two batches, as the store shows them after."""
+    i, path = F.col("product_id"), scratch(spark, "products")
+    seen = _signed(spark, d).select(
+        i.alias("position"), F.concat(F.lit("c"), F.floor(i / 3)).alias("canonical_id"), F.lit("fuzzy").alias("method"), F.lit(0.9).alias("confidence"), "title", "brand", "size_text", "upc",
+        (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((i % 97).cast("int"))).alias("seen_at"), (i % 1000).cast("string").alias("sku_key"), F.lit("target").alias("retailer"), (i % 1000).cast("string").alias("retailer_sku"), "tokens",
+    )
+    for half in (0, 1):
+        registry.record(spark, path, seen.where(F.col("position") % 2 == half))
+    t = registry.tables(spark, path)
+    count = lambda name: t[name].groupBy("canonical_id").agg(F.count(F.lit(1)).alias(name))
+    whole = t["products"].join(count("links"), "canonical_id", "left").join(count("tokens"), "canonical_id", "left")
+    return whole.select("canonical_id", "title", "first_seen_at", "last_seen_at", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("links", "tokens")))
+
+
 @query
 def tokenize_titles(spark, d):
     return _signed(spark, d).select("product_id", F.array_join("tokens", "-").alias("tokens"), F.array_join("brand_tokens", "-").alias("brand_tokens"))
@@ -667,7 +684,33 @@ def health_fold(spark, d):
 def health_subtract(spark, d):
     r = health.summary(_reports(spark, d), ("adapter",))
     sent = health.summary(_reports(spark, d).where("attempted % 2 = 0"), ("adapter",))
-    return health.subtract(r, sent)
+    return health.subtract(r, sent).select("adapter", "attempted", "extracted")
+
+
+@query
+def health_left(spark, d):
+    """What is left of every adapter's counters, by reason, once the reports of even attempts have gone."""
+    r = health.summary(_reports(spark, d), ("adapter",))
+    sent = health.summary(_reports(spark, d).where("attempted % 2 = 0"), ("adapter",))
+    return health.subtract(r, sent).select("adapter", "attempted", F.explode_outer("failed").alias("reason", "n"))
+
+
+@query
+def outcome_totals(spark, d):
+    """Captures and listings counted per adapter and reason; every seventh names no adapter, every eleventh had no consent."""
+    k, i = F.col("k"), F.col("observation_id")
+    status = F.when(i % 11 == 0, "no_consent").when(k % 5 == 0, "stored").when(k % 5 == 1, "duplicate").when(k % 5 == 2, "rejected").when(k % 5 == 3, "extract_failed").otherwise("listing")
+    skipped = F.create_map(F.lit("no_price"), (k % 3).cast("long"), F.lit("rejected"), (k % 2).cast("long"))
+    o = obs(spark, d).select(F.when(i % 7 != 0, F.col("adapter")).alias("adapter"), status.alias("status"), F.when(k % 2 == 0, "no_sku").alias("reason"), (k % 4).alias("stored"), (k % 3).alias("duplicates"), (k % 2).alias("rejected"), skipped.alias("skipped"))
+    return health.summary(health.outcome_rows(o, "other"), ("adapter",)).select("adapter", "attempted", "extracted", F.explode_outer("failed").alias("reason", "n"))
+
+
+@query
+def probe_check_stats(spark, d):
+    """Checks, differences and failures per retailer, failures by reason: a probe without a pair was not read, one of an unknown store can't be told."""
+    v = F.col("verdict")
+    told = _pairs(spark, d, 2880, 5).select("retailer", F.when(v.isin("SAME", "MORE", "LESS", "STORE_DIFFERS"), v).otherwise("UNCHECKED").alias("verdict"), F.when(v == "STORE_UNKNOWN", "store_unknown").alias("reason"))
+    return probes.check_stats(told).select("retailer", "checks", "differences", "failures", F.explode_outer("by_reason").alias("reason", "n"))
 
 
 @query
@@ -962,6 +1005,16 @@ def stream_ingest(spark, d):
     return spark.read.parquet(root + "/rows").select("observation_id")
 
 
+@query
+def ingest_results(spark, d):
+    """How many rows of the stream's batches came, were valid, were admitted, were stored and were duplicates, as the writing jobs counted them."""
+    root = scratch(spark, "ingest")
+    rows = _replayed(spark, d, ["observation_id", "panelist_id", "sku", "observed_at"]).withColumns({"received_at": F.col("observed_at"), "cell_key": F.col("sku"), "price_minor": F.lit(199).cast("long"), "currency": F.lit("USD")})
+    run = streaming.ingest_batch(spark, root, 1000, 720, valid=F.col("price_minor") > 0)
+    rows.writeStream.foreachBatch(run).option("checkpointLocation", root + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(root + "/results").agg(*(F.sum(c).alias(c) for c in ("presented", "valid", "admitted", "accepted", "duplicates")))
+
+
 @query
 def stream_ingest_two_steps(spark, d):
     """Admitted rows land, pass once by their id, and are stored: the same rows as stream_ingest, with no look-up of stored ids."""

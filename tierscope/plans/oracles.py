@@ -319,3 +319,20 @@ SQL: dict[str, str] = {
 }
 SQL["stream_dedup"] = SQL["semantic_dedup"]
 SQL["stream_ingest"] = SQL["stream_ingest_two_steps"] = SQL["semantic_dedup"]
+SQL["ingest_results"] = GREEDY.replace("{obs}", OBS).replace("{src}", "o") + "SELECT count(*) AS presented, count(*) AS valid, count(*) AS admitted, count(*) FILTER (kept) AS accepted, count(*) FILTER (NOT kept) AS duplicates FROM g"
+SQL["health_left"] = f"""WITH {OBS}, {REPORTS}, t AS (SELECT adapter, CAST(sum(attempted) AS BIGINT) AS attempted FROM rep WHERE attempted % 2 = 1 GROUP BY adapter),
+f AS (SELECT adapter, reason, CAST(sum(n) AS BIGINT) AS n FROM rep WHERE attempted % 2 = 1 GROUP BY ALL HAVING sum(n) > 0)
+SELECT adapter, attempted, reason, n FROM t LEFT JOIN f USING (adapter) WHERE attempted > 0"""
+SQL["outcome_totals"] = f"""{O}, x AS (SELECT CASE WHEN observation_id % 7 <> 0 THEN adapter ELSE 'other' END AS adapter, k, k % 5 AS what FROM o WHERE observation_id % 11 <> 0),
+t AS (SELECT adapter, CAST(sum(CASE WHEN what = 4 THEN k % 4 + 2 * (k % 3) + 2 * (k % 2) ELSE 1 END) AS BIGINT) AS attempted, CAST(sum(CASE what WHEN 4 THEN k % 4 + k % 3 + k % 2 WHEN 3 THEN 0 ELSE 1 END) AS BIGINT) AS extracted FROM x GROUP BY adapter),
+u AS (SELECT adapter, 'no_price' AS reason, k % 3 AS n FROM x WHERE what = 4 UNION ALL SELECT adapter, 'rejected', 2 * (k % 2) FROM x WHERE what = 4 UNION ALL SELECT adapter, 'rejected', 1 FROM x WHERE what = 2
+      UNION ALL SELECT adapter, CASE WHEN k % 2 = 0 THEN 'no_sku' ELSE 'unknown' END, 1 FROM x WHERE what = 3),
+f AS (SELECT adapter, reason, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL HAVING sum(n) > 0) SELECT adapter, attempted, extracted, reason, n FROM t LEFT JOIN f USING (adapter) WHERE attempted >= 0"""
+SQL["probe_check_stats"] = f"""WITH {OBS}, {pairs(2880, 5)}, t AS (SELECT retailer, count(*) AS checks, count(*) FILTER (verdict IN ('MORE', 'LESS')) AS differences, count(*) FILTER (verdict IS NULL OR verdict = 'STORE_UNKNOWN') AS failures FROM pairs GROUP BY retailer),
+f AS (SELECT retailer, CASE WHEN verdict = 'STORE_UNKNOWN' THEN 'store_unknown' ELSE 'extract_unavailable' END AS reason, count(*) AS n FROM pairs WHERE verdict IS NULL OR verdict = 'STORE_UNKNOWN' GROUP BY ALL)
+SELECT retailer, checks, differences, failures, reason, n FROM t LEFT JOIN f USING (retailer)"""
+SQL["products_recorded"] = f"""WITH {PRODUCTS}, s AS (SELECT product_id, 'c' || (product_id // 3) AS canonical_id, title, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(product_id % 97 AS INTEGER)) AS TIMESTAMP) AS seen_at, product_id % 1000 AS sku, tokens FROM tok),
+r AS (SELECT canonical_id, title, seen_at AS first_seen_at, max(seen_at) OVER (PARTITION BY canonical_id) AS last_seen_at FROM s QUALIFY row_number() OVER (PARTITION BY canonical_id ORDER BY product_id % 2, product_id) = 1),
+l AS (SELECT canonical_id, count(*) AS links FROM (SELECT canonical_id FROM s QUALIFY row_number() OVER (PARTITION BY sku ORDER BY product_id % 2, product_id) = 1) GROUP BY canonical_id),
+k AS (SELECT canonical_id, count(DISTINCT token) AS tokens FROM (SELECT canonical_id, unnest(tokens) AS token FROM s) GROUP BY canonical_id)
+SELECT canonical_id, title, first_seen_at, last_seen_at, coalesce(links, 0) AS links, coalesce(tokens, 0) AS tokens FROM r LEFT JOIN l USING (canonical_id) LEFT JOIN k USING (canonical_id)"""

@@ -8,19 +8,22 @@ ids_known then only looks at the hours around its rows. What is refused never ge
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators import flagging, ingest
+from ..operators import flagging, health, ingest
 from ..schema import DEDUP_MINUTES, RATE_LIMIT, RETENTION_DAYS, WINDOW_HOURS
 from ..sources.staged import staged
 
+RESULTS = "presented long, valid long, admitted long, accepted long, duplicates long"
+COUNTERS = "adapter string, attempted long, extracted long, failed map<string,bigint>"
+
 
 def hourly(stream: DataFrame, key: str = "panelist_id", ts: str = "observed_at") -> DataFrame:
     """Rows per key and hour. The watermark is as long as the longest window a query looks back."""
@@ -89,8 +92,13 @@ def _write(df: DataFrame, path: str, epoch: int, *by: str) -> None:
     df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "epoch").parquet(path)
 
 
-def _windowed(batch: DataFrame, valid: Column | None) -> DataFrame:
-    return staged(batch if valid is None else batch.where(valid), "batch").withColumn("window_start", F.date_trunc("hour", F.col("received_at").cast("timestamp")))
+def _rows() -> Column:
+    return F.count(F.lit(1)).alias("n")
+
+
+def _windowed(batch: DataFrame, valid: Column | None, passed: Observation | None = None) -> DataFrame:
+    rows = batch if valid is None else batch.where(valid)
+    return staged(rows if passed is None else rows.observe(passed, _rows()), "batch").withColumn("window_start", F.date_trunc("hour", F.col("received_at").cast("timestamp")))
 
 
 def admit_batch(spark: SparkSession, path: str, limit: int = RATE_LIMIT, request: str = "panelist_id", valid: Column | None = None):
@@ -118,21 +126,28 @@ def ingest_batch(spark: SparkSession, path: str, limit: int | None = RATE_LIMIT,
     valid: what a row has to meet; others are left out. request: the column that tells requests apart; one that holds a panelist over the
     hourly limit is refused whole and isn't counted; no limit: rows come from admit_batch. ids_known: no id comes again, as after idempotent(); else
     the ids of all stored rows are read. Rows are stored by the hour they were observed, and counts by the hour they were received, so a batch reads
-    the hours around its own. flag_hours: panelists whose prices in that many hours are out of others' range are flagged, in `order`. A batch that is
+    the hours around its own. path/results gets a row for each batch: how many rows came, were valid, were admitted, and of those were stored or were
+    duplicates, counted by the jobs that write them. flag_hours: panelists whose prices in that many hours are out of others' range are flagged, in `order`. A batch that is
     tried again writes its own partitions anew, so it is stored once."""
     micro = f"interval {int(minutes * 60)} seconds"
 
     def run(batch: DataFrame, epoch: int) -> None:
         own = spark if batch.sparkSession is None else batch.sparkSession
-        batch = _windowed(batch, valid)
+        came, passed, let_in, stored = (Observation() for _ in range(4))
+        batch = _windowed(batch.observe(came, _rows()), valid, passed)
         first, last, now = batch.agg(F.min("observed_at"), F.max("observed_at"), F.max("received_at")).first()
         if first is None:
             return
         rows = _stored(own, f"{path}/rows", batch.withColumn("hour", _hour("observed_at")), epoch)
-        taken = batch if limit is None else batch.join(_refused(own, batch, path, epoch, limit, request), request, "left_anti")
+        taken = batch
+        if limit is not None:
+            taken = staged(batch.join(_refused(own, batch, path, epoch, limit, request), request, "left_anti").observe(let_in, _rows()), "admitted")
+        admitted = (passed if limit is None else let_in).get["n"]
         taken = taken if ids_known else ingest.new_rows(taken, rows)
         near = rows.where(F.col("hour").between(_hour(F.lit(first) - F.expr(micro)), _hour(F.lit(last) + F.expr(micro))))
-        kept = staged(ingest.semantic_dedup(taken, near, minutes), "kept")
+        kept = staged(ingest.semantic_dedup(taken, near, minutes).observe(stored, _rows()), "kept")
+        counts = (came.get["n"], passed.get["n"], admitted, stored.get["n"], admitted - stored.get["n"])
+        _write(own.createDataFrame([counts], RESULTS), f"{path}/results", epoch)
         _write(kept.withColumn("hour", _hour("observed_at")), f"{path}/rows", epoch, "hour")
         if limit is not None:
             _write(_counts(kept), f"{path}/counts", epoch, "hour")
@@ -149,6 +164,28 @@ def ingest_batch(spark: SparkSession, path: str, limit: int | None = RATE_LIMIT,
     return run
 
 
+def beacon_batch(spark: SparkSession, path: str, post: Callable[[dict], bool], client_version: str, fallback: str | None = None):
+    """A foreachBatch function: counts the outcomes of captures, reports what was not sent yet, and takes it off once `post` says that it went.
+
+    path: folder of `counted` and `sent`, each with a few rows for each batch. What isn't sent stays and goes with the next report. A batch that is
+    tried again writes its own rows anew and sends what it sent before, so nothing is counted twice here. The report is dated by the batch's newest `at`."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        own = spark if batch.sparkSession is None else batch.sparkSession
+        like, key = own.createDataFrame([], COUNTERS), ("adapter",)
+        batch = staged(batch, "outcomes")
+        _write(health.summary(health.outcome_rows(batch, fallback), key), f"{path}/counted", epoch)
+        counted = own.read.schema(_with_epoch(like)).parquet(f"{path}/counted").where(F.col("epoch") <= epoch)
+        sent = _stored(own, f"{path}/sent", like, epoch)
+        left = staged(health.subtract(health.summary(counted, key), health.summary(sent, key)), "left")
+        date = F.lit(batch.agg(F.date_format(F.max("at"), "yyyy-MM-dd")).first()[0])
+        report = health.reports(left, client_version, date).first()
+        if report is not None and post(report.asDict(recursive=True)):
+            _write(left, f"{path}/sent", epoch)
+
+    return run
+
+
 def _with_epoch(like: DataFrame) -> StructType:
     return StructType([*like.schema.fields, StructField("epoch", LongType())])
 
