@@ -381,3 +381,20 @@ def test_deleting_twice_deletes_nothing(spark):
     kept, counts = ingest.deleted({"rows": rows}, ids)
     assert counts.first().deleted == 2 and sorted(r.x for r in kept["rows"].collect()) == ["a", "d"] and kept["rows"].columns == rows.columns
     assert ingest.deleted(kept, ids)[1].first().deleted == 0
+
+
+def test_waits(spark):
+    at = lambda text: F.lit(text).cast("timestamp")
+    seconds = lambda text: spark.range(1).select(ingest.until_next_window(at(text))).first()[0]
+    assert [seconds(f"2026-09-04 {t}") for t in ("12:00:00", "12:59:59.2", "12:59:58.5", "12:00:00.001")] == [3600, 1, 2, 3600]
+    until = "2026-09-04 12:00:00"
+    waits = lambda now: spark.range(1).select(ingest.in_backoff(at(until), at(now))).first()[0]
+    assert [waits(n) for n in ("2026-09-04 11:59:59", until, "2026-09-03 12:00:00", "2026-09-03 11:59:59")] == [True, False, True, False]
+    assert spark.range(1).select(ingest.in_backoff(F.lit(None).cast("timestamp"), at(until))).first()[0] is False
+
+
+def test_epoch_ms(spark):
+    ms = lambda v: spark.range(1).select(ingest.epoch_ms(F.lit(v).cast("string"))).first()[0]
+    assert [ms(v) for v in ("1970-01-01T00:00:01.5Z", "1970-01-01T01:00:00+01:00", "1970-01-02", "1500", None)] == [1500, 0, 86_400_000, 1500, None]
+    with pytest.raises(Exception, match="not a valid instant: soon"):
+        ms("soon")

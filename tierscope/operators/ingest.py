@@ -143,6 +143,24 @@ def backoff_ms(failures: Column) -> Column:
     return F.when(failures <= 0, 0).otherwise(F.least(F.lit(86_400_000.0), 900_000 * F.pow(F.lit(2.0), failures - 1))).cast("long")
 
 
+def in_backoff(until: Column, now: Column) -> Column:
+    """Whether uploads still wait at `now`. No wait is longer than a day: where the clock went back further, nothing is held up."""
+    left = F.unix_millis(until.cast("timestamp")) - F.unix_millis(now.cast("timestamp"))
+    return F.coalesce((left > 0) & (left <= 86_400_000), F.lit(False))
+
+
+def until_next_window(at: Column) -> Column:
+    """Whole seconds until the next hour begins, at least one: when a refused request may come again."""
+    hour = 3_600_000_000
+    return F.greatest(F.lit(1), F.ceil((hour - F.pmod(F.unix_micros(at.cast("timestamp")), F.lit(hour))) / 1_000_000)).cast("long")
+
+
+def epoch_ms(value: Column) -> Column:
+    """Milliseconds since 1970 of a text: a number as it is, an instant in ISO 8601 (UTC where it names no zone); null, or an error where it is neither."""
+    told = F.transform(F.array(value.cast("string")), lambda v: F.coalesce(v.try_cast("double").cast("long"), F.unix_millis(v.try_cast("timestamp"))))[0]
+    return F.when(value.isNotNull(), F.coalesce(told, F.raise_error(F.concat(F.lit("not a valid instant: "), value.cast("string"))).cast("long")))
+
+
 def completed(extracted: DataFrame, panelist: Column, client_version: Column, at: Column | None = None) -> DataFrame:
     """What a page gave, as whole observations: an id of its own, the panelist, the time and the provenance."""
     rest = [c for c in extracted.columns if c not in ("adapter", "evidenceHash")]

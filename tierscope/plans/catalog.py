@@ -741,6 +741,15 @@ def backoff(spark, d):
     return spark.range(0, 12).select(F.col("id").alias("failures"), ingest.backoff_ms(F.col("id")).alias("ms"))
 
 
+@query
+def waits(spark, d):
+    """For every row: seconds until its next window, and whether its sender, after k % 8 failures, still waits some hours later (or, by a clock that went back, before)."""
+    at, failures = F.col("received_at"), F.col("k") % 8
+    until = F.timestamp_micros(F.unix_micros(at.cast("timestamp")) + 1000 * ingest.backoff_ms(failures))
+    now = at + F.make_dt_interval(hours=(F.col("observation_id") % 40 - 20).cast("int"))
+    return obs(spark, d).select("observation_id", ingest.until_next_window(at).alias("seconds"), ingest.in_backoff(until, now).alias("waits"), ingest.epoch_ms(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("ms"))
+
+
 def _docs(spark, d):
     return V.table(spark, d, "documents").select("doc_id", "text")
 

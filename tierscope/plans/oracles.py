@@ -336,3 +336,6 @@ r AS (SELECT canonical_id, title, seen_at AS first_seen_at, max(seen_at) OVER (P
 l AS (SELECT canonical_id, count(*) AS links FROM (SELECT canonical_id FROM s QUALIFY row_number() OVER (PARTITION BY sku ORDER BY product_id % 2, product_id) = 1) GROUP BY canonical_id),
 k AS (SELECT canonical_id, count(DISTINCT token) AS tokens FROM (SELECT canonical_id, unnest(tokens) AS token FROM s) GROUP BY canonical_id)
 SELECT canonical_id, title, first_seen_at, last_seen_at, coalesce(links, 0) AS links, coalesce(tokens, 0) AS tokens FROM r LEFT JOIN l USING (canonical_id) LEFT JOIN k USING (canonical_id)"""
+SQL["waits"] = f"""{O}, x AS (SELECT observation_id, epoch_us(received_at) AS us, k % 8 AS f, observation_id % 40 - 20 AS h FROM o),
+y AS (SELECT *, CASE WHEN f = 0 THEN 0 ELSE least(86400000, 900000 * CAST(power(2, f - 1) AS BIGINT)) END AS wait FROM x), z AS (SELECT *, (us + wait * 1000) // 1000 - (us + h * 3600000000) // 1000 AS togo FROM y)
+SELECT observation_id, CAST(greatest(1, ceil((3600000000 - us % 3600000000) / 1000000.0)) AS BIGINT) AS seconds, togo > 0 AND togo <= 86400000 AS waits, us // 1000 AS ms FROM z"""
