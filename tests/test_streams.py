@@ -129,3 +129,25 @@ def test_late_rows_are_taken_by_the_clock_of_receipt(spark, tmp_path, late_first
 
     replay(spark, folder, batches, made, "late")
     assert sorted(got) == [1, 3]
+
+
+def test_pairs_on_a_stream_are_those_of_a_batch(spark, tmp_path):
+    """Ties, rows on the edges of the band, rows of others, whatever order the batches bring; a last row far ahead lets all before it out."""
+    from tierscope.operators import probes
+    from tierscope.streaming import probing
+
+    rng = random.Random(5)
+    schema = "observation_id long, panelist_id long, retailer string, sku string, observed_at timestamp_ntz, price_minor long, store_id string, store_label string, session_state string, clean_session boolean"
+    at = lambda: T0 + dt.timedelta(minutes=rng.randrange(0, 300, 5), milliseconds=rng.choice([0, 0, 400]))
+    one = lambda i, when: (i, rng.randrange(3), "target", rng.choice("ab"), when, rng.choice([100, 110]), rng.choice([None, "1", "2"]), None, *rng.choice([("logged_in", None), ("logged_out", True)]))
+    rows = [one(i, at()) for i in range(120)]
+    df, folder = spark.createDataFrame(rows, schema), "file://" + str(tmp_path)
+    want = sorted(map(str, probes.pair(df, 60, 5).collect()))
+    assert "mine_id=None" in "".join(want) and "delta=10" in "".join(want)
+    closing = [(10_000 + k, 99, "target", "z", T0 + dt.timedelta(days=30 * (k + 1)), 1, None, None, "logged_out", True) for k in range(2)]
+    for rows_of_batch in (rows[::2], rows[1::2], closing[:1], closing[1:]):
+        spark.createDataFrame(rows_of_batch, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        q = probing.paired(spark.readStream.schema(schema).parquet(f"{folder}/in"), 60, 5, "6 hours")
+        q.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/s").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(f"{folder}/out").where("observation_id < 10000").select(probes.pair(df, 60, 5).columns)
+    assert sorted(map(str, got.collect())) == want

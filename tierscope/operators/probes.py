@@ -9,6 +9,9 @@ from ..schema import PAIR_AHEAD_MINUTES, PAIR_BACK_MINUTES
 from .panel import is_probe, medians
 
 
+COLUMNS = ["observation_id", "panelist_id", "retailer", "sku", "observed_at", "price_minor", "store_id", "store_label"]
+
+
 def same_store(a: str = "mine", b: str = "anon") -> Column:
     """True, false, or null where it can't be told: ids decide where both are there, else labels (not at a marketplace)."""
     ids, labels = [f"{x}.store_id" for x in (a, b)], [f"{x}.store_label" for x in (a, b)]
@@ -27,23 +30,28 @@ def pair(obs: DataFrame, back_minutes: int = PAIR_BACK_MINUTES, ahead_minutes: i
     anonymous side asks its two neighbours, so a busy key is many buckets rather than one; the nearest is an aggregate."""
     width = 60 * (back_minutes + ahead_minutes)
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    columns = ["observation_id", "panelist_id", "retailer", "sku", "observed_at", "price_minor", "store_id", "store_label"]
-    anon = obs.where(is_probe()).select(*columns)
+    anon = obs.where(is_probe()).select(*COLUMNS)
     # what has no probe at all needs no row on the other side
-    mine = obs.where(F.col("session_state") == "logged_in").select(*columns)
+    mine = obs.where(F.col("session_state") == "logged_in").select(*COLUMNS)
     key = ["panelist_id", "retailer", "sku", "bucket"]
     left = anon.withColumn("bucket", F.explode(F.sequence(F.floor((seconds("observed_at") - 60 * back_minutes) / width), F.floor((seconds("observed_at") + 60 * ahead_minutes) / width))))
     right = mine.withColumn("bucket", F.floor(seconds("observed_at") / width))
     gap = lambda: seconds("mine.observed_at") - seconds("anon.observed_at")
     near = left.alias("anon").join(right.alias("mine"), [F.col(f"anon.{k}") == F.col(f"mine.{k}") for k in key]).where(gap().between(-60 * back_minutes, 60 * ahead_minutes))
-    same = same_store()
-    picked = near.select(
-        F.col("anon.observation_id").alias("observation_id"),
-        F.struct(F.abs(F.unix_micros(F.col("mine.observed_at").cast("timestamp")) - F.unix_micros(F.col("anon.observed_at").cast("timestamp"))).alias("gap"), F.col("mine.observed_at").alias("at"), F.col("mine.observation_id").alias("id"), F.col("mine.price_minor").alias("price"), same.alias("same")).alias("m"),
-    )
-    best = picked.groupBy("observation_id").agg(F.min("m").alias("m"))
-    told = anon.join(best, "observation_id", "left").withColumn("verdict", F.when(F.col("m").isNotNull(), verdict(F.col("m.same"), F.col("m.price"), F.col("price_minor"))))
-    return told.select("observation_id", "panelist_id", "retailer", "sku", "price_minor", F.col("m.id").alias("mine_id"), F.col("m.price").alias("mine_price"), "verdict", F.when(F.col("verdict").isin("SAME", "MORE", "LESS"), F.col("m.price") - F.col("price_minor")).alias("delta"))
+    best = near.select(F.col("anon.observation_id").alias("observation_id"), nearness().alias("m")).groupBy("observation_id").agg(F.min("m").alias("m"))
+    return told(anon.join(best, "observation_id", "left"))
+
+
+def nearness() -> Column:
+    """The signed-in row `mine` of a pair as a struct whose smallest is the one to take for the row `anon`."""
+    micros = lambda side: F.unix_micros(F.col(f"{side}.observed_at").cast("timestamp"))
+    return F.struct(F.abs(micros("mine") - micros("anon")).alias("gap"), F.col("mine.observed_at").alias("at"), F.col("mine.observation_id").alias("id"), F.col("mine.price_minor").alias("price"), same_store().alias("same"))
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """Anonymous rows with the nearest signed-in one (m, null without any): verdict and difference."""
+    judged = rows.withColumn("verdict", F.when(F.col("m").isNotNull(), verdict(F.col("m.same"), F.col("m.price"), F.col("price_minor"))))
+    return judged.select("observation_id", "panelist_id", "retailer", "sku", "price_minor", F.col("m.id").alias("mine_id"), F.col("m.price").alias("mine_price"), "verdict", F.when(F.col("verdict").isin("SAME", "MORE", "LESS"), F.col("m.price") - F.col("price_minor")).alias("delta"))
 
 
 def rates(pairs: DataFrame) -> DataFrame:

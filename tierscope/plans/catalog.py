@@ -10,6 +10,7 @@ from ..schema import DEVICES, FORBIDDEN_KEYS, SCHEMA_VERSION, SURFACES, errors
 from ..sources import registry
 from ..sources.staged import finished, scratch
 from ..streaming import ingest as streaming
+from ..streaming import probing
 from . import views as V
 
 QUERIES: dict = {}
@@ -993,6 +994,17 @@ def _replayed(spark, d, columns):
     return e.select(*columns)
 
 
+@query
+def stream_probe_pairs(spark, d):
+    """probe_pairs_two_days on a stream; a row of nobody, a year ahead, ends the wait for rows that might still come."""
+    events, ahead = V.table(spark, d, "events"), scratch(spark, "ahead")
+    last = events.orderBy(F.desc("ts")).limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("event_id", "ts") else F.col(f.name) for f in events.schema))
+    last.withColumns({"event_id": F.lit(-4).cast(events.schema["event_id"].dataType), "ts": F.col("ts") + F.expr("interval 365 days")}).write.parquet(ahead)
+    read = lambda path: spark.readStream.schema(events.schema).parquet(path)
+    both = V.observations_of(read(f"{d}/events.parque[t]").union(read(ahead)))
+    return finished(probing.paired(both, 2880, 5), "append").where("observation_id >= 0")
+
+
 @query
 def stream_hourly(spark, d):
     s = streaming.hourly(_replayed(spark, d, ["panelist_id", "observed_at"]))

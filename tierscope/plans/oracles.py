@@ -339,3 +339,4 @@ SELECT canonical_id, title, first_seen_at, last_seen_at, coalesce(links, 0) AS l
 SQL["waits"] = f"""{O}, x AS (SELECT observation_id, epoch_us(received_at) AS us, k % 8 AS f, observation_id % 40 - 20 AS h FROM o),
 y AS (SELECT *, CASE WHEN f = 0 THEN 0 ELSE least(86400000, 900000 * CAST(power(2, f - 1) AS BIGINT)) END AS wait FROM x), z AS (SELECT *, (us + wait * 1000) // 1000 - (us + h * 3600000000) // 1000 AS togo FROM y)
 SELECT observation_id, CAST(greatest(1, ceil((3600000000 - us % 3600000000) / 1000000.0)) AS BIGINT) AS seconds, togo > 0 AND togo <= 86400000 AS waits, us // 1000 AS ms FROM z"""
+SQL["stream_probe_pairs"] = SQL["probe_pairs_two_days"]

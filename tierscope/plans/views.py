@@ -15,7 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return observations_of(table(spark, sf_dir, "events"))
+
+
+def observations_of(events: DataFrame) -> DataFrame:
+    e = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     user, ev, k = F.col("user_id"), F.col("event_id"), F.col("k")
     o = e.select(
         ev.alias("observation_id"), user.alias("panelist_id"), F.col("ts").alias("observed_at"), (F.col("ts") + F.make_dt_interval(secs=k.cast("decimal(18,6)"))).alias("received_at"),
