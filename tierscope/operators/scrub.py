@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 MARK = "[scrubbed]"
 
-# The rules in the order in which they apply, and street suffixes.
+# The rules in the order in which they apply, street suffixes, a store's label, tags that go and attributes that stay.
 SUFFIXES = "St Street Ave Avenue Rd Road Blvd Boulevard Dr Drive Ln Lane Way Pkwy Parkway Hwy Highway Pike Ct Court Pl Place Ter Terrace Cir Circle Tpke Turnpike Plaza Sq Square".split()
 _suffix = "|".join([*SUFFIXES, *map(str.upper, SUFFIXES)])
 RULES = {
