@@ -438,6 +438,19 @@ def test_html_text_of_wrapped_pages_and_odd_classes():
     assert html_text.main_text(f"<p>{long} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p>", w) == long + " x=2"
 
 
+def test_html_text_of_article_parts_named_like_zones():
+    """Classes and ids that an article's own parts may have; the same words on lists of links, and alone, still name zones."""
+    w, head, long = html_text.weights_of({}), "A heading of some words", "word " * 20 + "end."
+    parts = ["<section class='search tips'>ten words on how to search for what you want</section>", f"<div class='legal analysis'><p>{long}</p></div>", "<h2 id='tags'>Tags in HTML</h2>", "<p id='comments'>One may comment code.</p>", "<p>see <span id='share'>share</span> prices</p>"]
+    text = ["ten words on how to search for what you want", long, "Tags in HTML", "One may comment code.", "see share prices"]
+    for part, own in zip(parts, text, strict=True):
+        page = f"<body><article><h1>{head}</h1><p>{long}</p>{part}<p>{long}</p></article></body>"
+        assert html_text.main_text(page, w) == "\n".join([head, long, own, long])
+    links = "<a href=x>one two</a> <a href=y>three</a>"
+    for zone in (f"<div class='related stories'>{links}</div>", f"<ul class='tags list'><li>{links}</li></ul>", "<div class='search'>find it</div>", "<div class='ad legal'>buy</div>", "<div id=comments>reader</div>", "<section class='social sharing'>like</section>"):
+        assert html_text.main_text(f"<article><h1>{head}</h1><p>{long}</p>{zone}<p>{long}</p></article>", w) == "\n".join([head, long, long])
+
+
 @pytest.mark.parametrize("page", ["<div>" * 100_000 + "text", "<p a=\"" * 100_000, "<b><div>" * 50_000 + "</b>" * 50_000, "<ul><li>" * 50_000 + "</i>" * 100_000, "<!" * 100_000, "</" * 100_000, "<a" * 100_000 + ">", "<script>" * 100_000, "<p>x" * 100_000, "<form>" * 50_000 + "x"])
 def test_html_text_takes_time_in_proportion(page):
     import time

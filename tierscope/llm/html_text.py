@@ -5,7 +5,8 @@ named zone), tags by their name and never above zero; the weights are log-odds c
 pages, which are pages whose markup names its article. A linear scan finds the contiguous region with the
 highest total. Its text, less what lies in parts that are no article text whatever they score (SKIP and
 ZONES below), is returned block by block. A form or a part with a zone's word in its class is left in where it wraps the page: it
-holds half of the words or more, and no article, main or first heading is beside it.
+holds half of the words or more, and no article, main or first heading is beside it. A class such as `legal analysis` names a zone only by its links,
+and the id of a heading or paragraph never does.
 
 A page is parsed in one pass with work in proportion to its length: open elements are found by name, not by search, and
 after one tag that never ends the quotes of later tags are ignored.
@@ -44,6 +45,10 @@ KNOWN = INLINE | SKIP | frozenset("html body main article section div p h1 h2 h3
 ENDS_P = frozenset("p div ul ol li dl dt dd table tr td th h1 h2 h3 h4 h5 h6 section article main aside nav header footer form pre blockquote figure figcaption hr address details fieldset".split())
 #: Words in a class, id or role that name such a part.
 ZONES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|paywall|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget\w*|related|recommend\w*|share\w*|sharing|social|comments?\w*|respond|replies|disqus|footer|masthead|site-header|page-header|toolbar|pagination|pager|tags|search|login|legal|copyright)(?:$|[\s_-])", re.I)
+#: Zones' words that articles are about, too: beside a word that is no zone's, they name one only where half of its words are links.
+TOPICS = frozenset("search legal tags social sharing alert notice related login copyright".split())
+#: Elements of text, whose id is an anchor.
+ANCHORED = frozenset("p h1 h2 h3 h4 h5 h6 span a".split())
 #: Classes that name an article's own part: with one of them only a class that is a zone's word and nothing else counts.
 OWN = frozenset("article post content entry story body main text page".split())
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -91,16 +96,21 @@ def tokens(page: str):
             at += 1
 
 
-def in_zone(attributes: str) -> bool:
-    """Whether an id, role or class names a part that is no article text."""
+def zone_of(name: str, attributes: str) -> int:
+    """Whether an id, role or class names a part that is no article text: 1 if it does, 2 if its links tell, else 0."""
+    found = 0
     for kind, a, b, c in NAMED.findall(attributes):
         value = a or b or c
-        if not ZONES.search(value):
+        if not ZONES.search(value) or (kind.lower() == "id" and name in ANCHORED):
             continue
         words = value.lower().split()
-        if kind.lower() != "class" or not OWN.intersection(words) or any((m := ZONES.search(w)) and m[0] == w for w in words):
-            return True
-    return False
+        named = [w for w in words if (m := ZONES.search(w)) and m[0] == w]
+        if kind.lower() == "class" and OWN.intersection(words) and not named:
+            continue
+        if len(words) == 1 or any(w not in TOPICS for w in words if ZONES.search(w)) or len(named) == len(words):
+            return 1
+        found = 2
+    return found
 
 
 class Open:
@@ -135,7 +145,7 @@ class Open:
 def parts(page: str) -> list[tuple]:
     """(key of the score, words or 1, text or None, block number, left out, in the article) in page order."""
     items: list[tuple] = []
-    zones: list[list[int]] = []  # parent, words, landmarks inside, landmarks around
+    zones: list[list[int]] = []  # parent, words, landmarks inside, landmarks around, words of links, kind
     stack, block, words_in, marks = Open(), 0, 0, 0
     out, article, zone, link = False, False, -1, 0
     for text, name, close, attributes in tokens(page):
@@ -147,6 +157,7 @@ def parts(page: str) -> list[tuple]:
                 words_in += n
                 if zone >= 0:
                     zones[zone][1] += n
+                    zones[zone][4] += n if link else 0
             where = stack.names[stack.blocks[-1]] if stack.blocks else "body"
             items.append((f"w:{where if where in KNOWN else 'other'}:{'a' if link else ''}", n, text, block, out, article, zone))
             continue
@@ -171,8 +182,9 @@ def parts(page: str) -> list[tuple]:
             left, inside, around = stack.states[-1] if stack.states else (False, False, -1)
             inside = inside or name in ("article", "main")
             left = left or (name in SKIP and not (name == "header" and inside))
-            if not left and (name == "form" or (name not in ("html", "body", "article", "main") and in_zone(attributes))):
-                zones.append([around, 0, 0, sum(len(stack.at.get(x, ())) for x in LANDMARKS)])
+            kind = 0 if left or name in ("html", "body", "article", "main") else 1 if name == "form" else zone_of(name, attributes)
+            if kind:
+                zones.append([around, 0, 0, sum(len(stack.at.get(x, ())) for x in LANDMARKS), 0, kind])
                 around = len(zones) - 1
             if name in LANDMARKS and not left:
                 marks += 1
@@ -185,9 +197,11 @@ def parts(page: str) -> list[tuple]:
         if (parent := zones[i][0]) >= 0:
             zones[parent][1] += zones[i][1]
             zones[parent][2] += zones[i][2]
+            zones[parent][4] += zones[i][4]
     gone: list[bool] = []
-    for parent, n, inside, around in zones:
-        gone.append((parent >= 0 and gone[parent]) or 2 * n < words_in or marks > inside + around)
+    for parent, n, inside, around, linked, kind in zones:
+        own = (2 * n < words_in or marks > inside + around) and (kind == 1 or 2 * linked >= n)
+        gone.append((parent >= 0 and gone[parent]) or own)
     done = []
     for key, n, text, at, left, inside, z in items:
         left = left or (z >= 0 and gone[z])
