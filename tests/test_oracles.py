@@ -34,7 +34,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 
 
 def test_every_query_without_sql_is_known():
-    assert set(QUERIES) - set(SQL) == {"semantic_dedup_stored", "suspect_flags", "flags_in_order", "parse_size", "identity_batch", "scrub_all_rules", "visible_text", "evidence_hashes"}
+    assert set(QUERIES) - set(SQL) == {"semantic_dedup_stored", "suspect_flags", "flags_in_order", "identity_batch", "scrub_all_rules", "visible_text", "evidence_hashes"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,34 +16,39 @@ VARIANT_FLAVOUR = "chocolate vanilla strawberry berry blueberry raspberry cherry
 VARIANTS = VARIANT_FORM + VARIANT_NUTRITION + VARIANT_FLAVOUR
 
 
-def _plain_letters() -> tuple[str, str]:
-    """Latin letters with marks, and the plain letters that they decompose to."""
-    pairs = [(c, unicodedata.normalize("NFKD", c)[0]) for c in map(chr, range(0xC0, 0x250))]
-    pairs = [(c, p) for c, p in pairs if p.isascii() and p.isalpha()]
-    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """What NFKD makes of characters whose decomposition holds ASCII letters, digits or percent signs, marks left out: those that
+    become one character with, behind them, the marks themselves; what they become (marks: nothing); and those that become several."""
+    one, several, marks = {}, {}, []
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0100, 0xE01F0)]):
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
+        if not d:
+            marks.append(c)
+        elif d != c and re.search("[0-9A-Za-z%]", d):
+            (one if len(d) == 1 else several)[c] = d
+    return "".join([*one, *marks]), "".join(one.values()), several
 
 
-MARKED, PLAIN = _plain_letters()
+MARKED, PLAIN, SEVERAL = _plain_letters()
 
 
 def decomposed(text: Column) -> Column:
-    """NFKD for any script, in Arrow batches; the built-in path of `tokenize` covers composed Latin letters."""
-    @F.pandas_udf("string")
-    def nfkd(s: pd.Series) -> pd.Series:
-        return s.str.normalize("NFKD")
-
-    return nfkd(text)
+    """NFKD without marks, as far as ASCII letters, digits and percent signs come of it (what else there is separates words). Only texts with
+    other characters than ASCII are translated, and only those with a character that becomes several are taken apart."""
+    table = F.str_to_map(F.lit("\x01".join(f"{c}\x02{d}" for c, d in SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
+    apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    whole = F.when(text.rlike("[" + "".join(SEVERAL) + "]"), apart).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(whole, MARKED, PLAIN)).otherwise(text)
 
 
 def stem(word: Column) -> Column:
     return F.when((F.length(word) > 3) & word.rlike("s$") & ~word.rlike("(ss|us)$"), F.regexp_replace(word, "s$", "")).otherwise(word)
 
 
-def tokenize(text: Column, any_script: bool = False) -> Column:
+def tokenize(text: Column) -> Column:
     """Words of a text in order, repeats kept."""
     plain = F.regexp_replace(text, "[\\u2122\\u00AE\\u00A9]", " ")
-    plain = decomposed(plain) if any_script else F.translate(plain, MARKED, PLAIN)
-    plain = F.replace(F.lower(F.regexp_replace(plain, r"\p{M}", "")), F.lit("%"), F.lit("pct"))
+    plain = F.replace(F.lower(decomposed(plain)), F.lit("%"), F.lit("pct"))
     words = F.split(F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")), " ")
     return F.transform(F.filter(words, lambda w: (w != "") & ~w.isin(STOPWORDS)), stem)
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coupon, keys, money, sizes, text, upc, urls
-from ..operators import flagging, health, ingest, panel, probes, products, resolve, scrub, series, synth, windows
+from ..operators import flagging, health, identity, ingest, panel, probes, products, resolve, scrub, series, synth, windows
 from ..schema import DEVICES, FORBIDDEN_KEYS, SCHEMA_VERSION, SURFACES, errors
-from ..sources import registry
+from ..sources import exports, registry
 from ..sources.staged import finished, scratch
 from ..streaming import ingest as streaming
 from ..streaming import probing
@@ -210,21 +210,27 @@ def same_store_counts(spark, d):
 
 @query
 def coupon_required(spark, d):
-    return spark.range(1, 21).select(F.col("id").cast("int").alias("k")).select("k", six(coupon.harmonic(F.col("k"))).alias("harmonic"), six(coupon.expected_uniform(F.col("k"))).alias("expected"), coupon.required(F.col("k")).alias("required"))
+    """What each part would need if it had as many tiers as its size says."""
+    k = F.col("p_size").cast("int").alias("k")
+    return V.table(spark, d, "part").select("p_partkey", k).select("p_partkey", "k", six(coupon.harmonic(F.col("k"))).alias("harmonic"), six(coupon.expected_uniform(F.col("k"))).alias("expected"), coupon.required(F.col("k")).alias("required"))
 
 
-def _grid(spark):
-    return spark.sql("select k, n, transform(sequence(1, k), i -> i * 2.0D / (k * (k + 1))) shares from (select explode(sequence(1, 8)) k) cross join (select explode(array(0, 1, 5, 6, 20, 100)) n)")
+def _line_shares(spark, d):
+    """Suppliers with the shares that the seven line numbers have of their lines."""
+    lines = V.table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("c"))
+    counts = lines.groupBy("l_suppkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "c"))), lambda x: x["c"]).alias("cs"), F.sum("c").alias("n"))
+    return counts.select("l_suppkey", F.transform("cs", lambda c: c / F.col("n")).alias("shares"))
 
 
 @query
 def coupon_all_seen(spark, d):
-    return _grid(spark).select("k", "n", six(coupon.all_seen(F.col("shares"), F.col("n"))).alias("p"))
+    g = _line_shares(spark, d).select("l_suppkey", "shares", F.explode(F.array(*map(F.lit, (0, 1, 5, 6, 20, 100)))).alias("n"))
+    return g.select("l_suppkey", "n", six(coupon.all_seen(F.col("shares"), F.col("n"))).alias("p"))
 
 
 @query
 def expected_draws(spark, d):
-    return _grid(spark).where("n = 0").select("k", six(coupon.expected_draws(F.col("shares"))).alias("draws"))
+    return _line_shares(spark, d).select("l_suppkey", six(coupon.expected_draws(F.col("shares"))).alias("draws"))
 
 
 @query
@@ -542,13 +548,16 @@ def tokenize_titles(spark, d):
     return _signed(spark, d).select("product_id", F.array_join("tokens", "-").alias("tokens"), F.array_join("brand_tokens", "-").alias("brand_tokens"))
 
 
-SIZES = ["half gallon", "64 fl oz", "1.5 L", "2 oz (56 g)", "4 oz Pack of 4", "12 Pack 12 fl oz", "1/2 lb", "sold by the each", "2 Ozbag", "0,5 kg", "Case of 2", "Packs 4", "quarter gallon", "plain"]
+#: Size texts; # is a number.
+SIZES = ["# fl oz", "# oz", "# L", "# lb", "# Pack 12 fl oz", "# oz Pack of #", "1/# lb", "2 oz (# g)", "0,# kg", "Case of #", "sold by the each", "half gallon", "# Ozbag", "Packs #", "plain"]
 
 
 @query
 def parse_size(spark, d):
-    s = spark.createDataFrame([(x,) for x in SIZES], "text string").withColumn("p", sizes.parse_size(F.col("text")))
-    return s.select("text", six("p.size.ml").alias("ml"), six("p.size.g").alias("g"), six("p.size.ct").alias("ct"), F.trim(F.regexp_replace("p.rest", r"\s+", " ")).alias("rest"), sizes.size_key(F.col("p.size")).alias("key"))
+    """Every part's size, written in the ways of SIZES in turn."""
+    shape = F.get(F.array(*map(F.lit, SIZES)), F.pmod("p_partkey", F.lit(len(SIZES))).cast("int"))
+    s = V.table(spark, d, "part").select("p_partkey", F.replace(shape, F.lit("#"), F.col("p_size").cast("string")).alias("text")).withColumn("p", sizes.parse_size(F.col("text")))
+    return s.select("p_partkey", "text", six("p.size.ml").alias("ml"), six("p.size.g").alias("g"), six("p.size.ct").alias("ct"), F.trim(F.regexp_replace("p.rest", r"\s+", " ")).alias("rest"), sizes.size_key(F.col("p.size")).alias("key"))
 
 
 @query
@@ -739,7 +748,29 @@ def capture_outcomes(spark, d):
 
 @query
 def backoff(spark, d):
-    return spark.range(0, 12).select(F.col("id").alias("failures"), ingest.backoff_ms(F.col("id")).alias("ms"))
+    """How long each panelist waits after as many failures as it has rows without a price."""
+    failed = obs(spark, d).groupBy("panelist_id").agg(F.count_if(F.col("k") % 10 == 9).alias("failures"))
+    return failed.select("panelist_id", "failures", ingest.backoff_ms(F.col("failures")).alias("ms"))
+
+
+def _uses(spark, d):
+    """Every panelist as a browser, once a row."""
+    return obs(spark, d).select(F.concat(F.lit("b"), F.col("panelist_id").cast("string")).alias("browser"), F.col("observed_at").alias("at"))
+
+
+@query
+def remembered_ids(spark, d):
+    """Ids that last two days, and the four that a browser still knows."""
+    return identity.remembered(_uses(spark, d), 2, 4).select("browser", "id", F.col("minted_at").cast("timestamp_ntz").alias("minted_at"), F.array_join("ids", ",").alias("ids"))
+
+
+@query
+def stored_panelists(spark, d):
+    """A store by days and cells, written, and read by panelist within two weeks of receipt."""
+    path = scratch(spark, "observations")
+    exports.write_observations(obs(spark, d).select("observation_id", "panelist_id", "cell_key", "observed_at", "received_at", "price_minor"), path)
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-08 06:00:00", "2024-01-21 18:00:00"))
+    return exports.stored_observations(spark, path, first, last).where("panelist_id in (3, 17, 40)")
 
 
 @query
@@ -889,13 +920,15 @@ def money_parse(spark, d):
     return p.select("p_partkey", "m.amount_minor", "m.token", money.format_minor(F.col("m.amount_minor")).alias("shown"))
 
 
-MAILS = [" A@B.co ", "a@b", "a@@b.co", "", "x y@z.com", "ok@mail.example", "@b.co", "a@.co", "a@b."]
+#: Addresses, good and bad; # is a customer.
+MAILS = [" C#@B.co ", "c#@b", "c#@@b.co", "#", "c #@z.com", "c#@mail.example", "@#.co", "c#@.co", "c#@b."]
 
 
 @query
 def waitlist_validate(spark, d):
-    m = spark.createDataFrame([(x, i) for i, x in enumerate(MAILS)], "raw string, at int")
-    return m.select("raw", text.normal_email(F.col("raw")).alias("email"), text.is_email(text.normal_email(F.col("raw"))).alias("ok"))
+    raw = F.replace(F.get(F.array(*map(F.lit, MAILS)), F.pmod("c_custkey", F.lit(len(MAILS))).cast("int")), F.lit("#"), F.col("c_custkey").cast("string"))
+    m = V.table(spark, d, "customer").select("c_custkey", raw.alias("raw"))
+    return m.select("c_custkey", "raw", text.normal_email(F.col("raw")).alias("email"), text.is_email(text.normal_email(F.col("raw"))).alias("ok"))
 
 
 @query
@@ -994,15 +1027,26 @@ def _replayed(spark, d, columns):
     return e.select(*columns)
 
 
-@query
-def stream_probe_pairs(spark, d):
-    """probe_pairs_two_days on a stream; a row of nobody, a year ahead, ends the wait for rows that might still come."""
+def _ended(spark, d):
+    """The observations as a stream, and a row of nobody, a year ahead, that ends the wait for rows that might still come."""
     events, ahead = V.table(spark, d, "events"), scratch(spark, "ahead")
     last = events.orderBy(F.desc("ts")).limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("event_id", "ts") else F.col(f.name) for f in events.schema))
     last.withColumns({"event_id": F.lit(-4).cast(events.schema["event_id"].dataType), "ts": F.col("ts") + F.expr("interval 365 days")}).write.parquet(ahead)
     read = lambda path: spark.readStream.schema(events.schema).parquet(path)
-    both = V.observations_of(read(f"{d}/events.parque[t]").union(read(ahead)))
-    return finished(probing.paired(both, 2880, 5), "append").where("observation_id >= 0")
+    return V.observations_of(read(f"{d}/events.parque[t]").union(read(ahead)))
+
+
+@query
+def stream_probe_pairs(spark, d):
+    """probe_pairs_two_days on a stream."""
+    return finished(probing.paired(_ended(spark, d), 2880, 5), "append").where("observation_id >= 0")
+
+
+@query
+def stream_debounce(spark, d):
+    """debounce on a stream."""
+    rows = _ended(spark, d).select("panelist_id", "observed_at")
+    return finished(streaming.debounced_stream(rows, "panelist_id", "observed_at", "6 hours"), "append").select("panelist_id", "changes", "settled")
 
 
 @query

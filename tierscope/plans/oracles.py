@@ -34,6 +34,9 @@ r AS (SELECT {key}, n, k, CASE WHEN reason IS NULL THEN 'RESOLVED' ELSE 'UNRESOL
 """
 
 
+LINE_SHARES = """
+WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY ALL),
+g AS (SELECT l_suppkey, CAST(count(*) AS INTEGER) AS k, list_transform(list(c ORDER BY l_linenumber), lambda v: v / sum(c)::DOUBLE) AS shares FROM c GROUP BY l_suppkey)"""
 FLAT = "n, k, status, reason, needed, floor_minor, confidence, spread"
 R = f"WITH {OBS}, {resolved()}"
 O = f"WITH {OBS} "  # noqa: E741
@@ -160,11 +163,11 @@ SQL: dict[str, str] = {
         SELECT a.panelist_id, a.sku, a.store_id AS anon_store_id, a.store_label AS anon_store_label, m.store_id AS mine_store_id, m.store_label AS mine_store_label,
         CASE WHEN a.store_id IS NOT NULL AND m.store_id IS NOT NULL THEN a.store_id = m.store_id WHEN a.retailer <> 'instacart' AND a.store_label IS NOT NULL AND m.store_label IS NOT NULL THEN a.store_label = m.store_label END AS same
         FROM s a JOIN s m ON a.panelist_id = m.panelist_id AND a.sku = m.sku WHERE a.session_state = 'logged_out' AND m.session_state = 'logged_in'""",
-    "coupon_required": "WITH t AS (SELECT k, list_sum(list_transform(range(1, k + 1), lambda i: 1::DOUBLE / i)) AS h FROM range(1, 21) r(k)) SELECT CAST(k AS INTEGER) AS k, round(h, 6) AS harmonic, round(k * h, 6) AS expected, CAST(ceil(round(1.5 * k * h, 9)) AS BIGINT) AS required FROM t",
-    "coupon_all_seen": f"WITH g AS (SELECT CAST(k AS INTEGER) AS k, n, list_transform(range(1, k + 1), lambda i: i * 2.0::DOUBLE / (k * (k + 1))) AS shares FROM range(1, 9) a(k), (SELECT unnest([0, 1, 5, 6, 20, 100]) AS n) b) SELECT k, n, round({all_seen('shares', 'n', 'k')}, 6) AS p FROM g",
-    "expected_draws": """WITH g AS (SELECT CAST(k AS INTEGER) AS k, list_transform(range(1, k + 1), lambda i: i * 2.0::DOUBLE / (k * (k + 1))) AS shares FROM range(1, 9) a(k)),
-        s AS (SELECT k, m, list_sum(list_transform(range(k), lambda i: CASE WHEN (m >> CAST(i AS INTEGER)) & 1 = 1 THEN shares[i + 1] ELSE 0 END)) AS p FROM g, LATERAL (SELECT unnest(range(1, CAST(power(2, k) AS BIGINT))) AS m) x)
-        SELECT k, round(sum(CASE WHEN bit_count(m) % 2 = 1 THEN 1 ELSE -1 END / p), 6) AS draws FROM s GROUP BY k""",
+    "coupon_required": "WITH t AS (SELECT p_partkey, CAST(p_size AS INTEGER) AS k, list_sum(list_transform(range(1, p_size + 1), lambda i: 1::DOUBLE / i)) AS h FROM part) SELECT p_partkey, k, round(h, 6) AS harmonic, round(k * h, 6) AS expected, CAST(ceil(round(1.5 * k * h, 9)) AS BIGINT) AS required FROM t",
+    "coupon_all_seen": f"{LINE_SHARES}, s AS (SELECT *, unnest([0, 1, 5, 6, 20, 100]) AS n FROM g) SELECT l_suppkey, n, round({all_seen('shares', 'n', 'k')}, 6) AS p FROM s",
+    "expected_draws": f"""{LINE_SHARES},
+        s AS (SELECT l_suppkey, m, list_sum(list_transform(range(k), lambda i: CASE WHEN (m >> CAST(i AS INTEGER)) & 1 = 1 THEN shares[i + 1] ELSE 0 END)) AS p FROM g, LATERAL (SELECT unnest(range(1, CAST(power(2, k) AS BIGINT))) AS m) x)
+        SELECT l_suppkey, round(sum(CASE WHEN bit_count(m) % 2 = 1 THEN 1 ELSE -1 END / p), 6) AS draws FROM s GROUP BY l_suppkey""",
     "tier_shares": f"{R} SELECT kept.cell_key, CAST(row_number() OVER (PARTITION BY kept.cell_key ORDER BY price) - 1 AS INTEGER) AS tier, price, c AS n, round(c / r.kept_n, 6) AS share FROM kept JOIN r USING (cell_key) WHERE status = 'RESOLVED'",
     "cell_confidence": f"{R} SELECT cell_key, confidence FROM r WHERE status = 'RESOLVED'",
     "cell_explain": f"""{R}, t AS (SELECT cell_key, string_agg({MINOR} || ' (' || CAST(floor(100 * c / kept_n + 0.5) AS BIGINT) || '%)', ', ' ORDER BY price) AS ladder, first(c ORDER BY price) AS floor_n, first({MINOR} ORDER BY price) AS floor_text
@@ -229,6 +232,13 @@ SQL: dict[str, str] = {
     "canonical_match": f"""WITH {PRODUCTS}, {CANDIDATES.replace("{src}", "tok")}, {BEST}, u AS (SELECT *, {gtin("upc")} AS code FROM tok), k AS (SELECT product_id, coalesce('gtin:' || code, {FUZZY}) AS id FROM u)
         SELECT query_id, id AS canonical_id, 'fuzzy' AS method, round(score, 6) AS confidence FROM best JOIN k USING (product_id)""",
     "tokenize_titles": f"WITH {PRODUCTS} SELECT product_id, array_to_string(tokens, '-') AS tokens, array_to_string(brand_tokens, '-') AS brand_tokens FROM tok",
+    "parse_size": """WITH t AS (SELECT p_partkey, p_partkey % 15 AS i, p_size AS n, CAST(p_size AS VARCHAR) AS x FROM part),
+        s AS (SELECT *, replace(['# fl oz', '# oz', '# L', '# lb', '# Pack 12 fl oz', '# oz Pack of #', '1/# lb', '2 oz (# g)', '0,# kg', 'Case of #', 'sold by the each', 'half gallon', '# Ozbag', 'Packs #', 'plain'][i + 1], '#', x) AS text,
+            CASE i WHEN 0 THEN n * 29.5735::DOUBLE WHEN 2 THEN n * 1000::DOUBLE WHEN 4 THEN 354.882::DOUBLE WHEN 11 THEN 1892.705::DOUBLE END AS ml,
+            CASE WHEN i IN (1, 5) THEN n * 28.3495::DOUBLE WHEN i = 3 THEN n * 453.592::DOUBLE WHEN i = 6 THEN 453.592::DOUBLE / n WHEN i = 7 THEN 56.699::DOUBLE WHEN i = 8 THEN CAST('0.' || x AS DOUBLE) * 1000 END AS g,
+            CASE WHEN i IN (4, 5, 9, 13) THEN n::DOUBLE WHEN i = 10 THEN 1::DOUBLE END AS ct FROM t)
+        SELECT p_partkey, text, round(ml, 6) AS ml, round(g, 6) AS g, round(ct, 6) AS ct, CASE WHEN i = 7 THEN '( )' WHEN i IN (12, 14) THEN text ELSE '' END AS rest,
+        concat_ws('+', CAST(floor(ml + 0.5) AS BIGINT) || 'ml', CAST(floor(g + 0.5) AS BIGINT) || 'g', CAST(floor(ct + 0.5) AS BIGINT) || 'ct') AS key FROM s""",
     "size_compare": f"WITH {PRODUCTS} SELECT a.product_id AS a, b.product_id AS b, {SIZES} AS sizes FROM tok a JOIN tok b ON b.product_id = a.product_id + 1",
     "normalize_upc": f"""WITH c AS (SELECT p_partkey AS product_id, lpad(CAST(p_partkey * 7919 AS VARCHAR), 11, '0') || (p_partkey % 10) AS code FROM part)
         SELECT product_id, {gtin("code")} AS gtin, CAST({CHECK.replace("{b}", "substr(code, 1, 11)")} AS INTEGER) AS check_digit FROM c""",
@@ -278,7 +288,12 @@ SQL: dict[str, str] = {
         s AS (SELECT *, sum(ch) OVER (PARTITION BY panelist_id ORDER BY observed_at) AS burst FROM l) SELECT panelist_id, count(*) AS changes, max(observed_at) AS settled FROM s GROUP BY panelist_id, burst""",
     "capture_outcomes": f"""{O}, x AS (SELECT panelist_id, sku || '|' || price_minor AS rendering, observation_id, k % 10 = 9 AS bad FROM o), y AS (SELECT *, observation_id = min(CASE WHEN NOT bad THEN observation_id END) OVER (PARTITION BY panelist_id, rendering) AS first FROM x)
         SELECT CASE WHEN bad THEN 'extract_failed' WHEN first THEN 'stored' ELSE 'duplicate' END AS outcome, count(*) AS rows FROM y GROUP BY ALL""",
-    "backoff": "SELECT f AS failures, CASE WHEN f <= 0 THEN 0 ELSE CAST(least(86400000, 900000 * power(2, f - 1)) AS BIGINT) END AS ms FROM range(0, 12) t(f)",
+    "backoff": f"{O}, t AS (SELECT panelist_id, CAST(count(*) FILTER (WHERE k % 10 = 9) AS BIGINT) AS f FROM o GROUP BY ALL) SELECT panelist_id, f AS failures, CASE WHEN f <= 0 THEN 0 ELSE CAST(least(86400000, 900000 * power(2, f - 1)) AS BIGINT) END AS ms FROM t",
+    "remembered_ids": f"""WITH RECURSIVE {OBS}, u AS (SELECT DISTINCT 'b' || panelist_id AS browser, observed_at AS used FROM o),
+        m AS (SELECT browser, min(used) AS minted_at FROM u GROUP BY browser UNION ALL SELECT m.browser, min(u.used) FROM m JOIN u ON u.browser = m.browser AND u.used >= m.minted_at + INTERVAL 2 DAY GROUP BY m.browser, m.minted_at),
+        i AS (SELECT *, sha256(browser || '|' || epoch_us(minted_at)) AS id FROM m)
+        SELECT browser, id, minted_at, array_to_string(list_reverse(list(id) OVER (PARTITION BY browser ORDER BY minted_at ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), ',') AS ids FROM i""",
+    "stored_panelists": f"{O} SELECT observation_id, panelist_id, cell_key, observed_at, received_at, price_minor FROM o WHERE panelist_id IN (3, 17, 40) AND received_at BETWEEN TIMESTAMP '2024-01-08 06:00:00' AND TIMESTAMP '2024-01-21 18:00:00'",
     "scrub_email": f"WITH s AS (SELECT doc_id, text, regexp_replace(text, '{EMAIL}', '[scrubbed]', 'g') AS c FROM documents) SELECT doc_id, sha256(c) AS sha, CAST(length(c) AS INTEGER) AS n_chars FROM s WHERE text <> c",
     "pii_violations_two": f"""SELECT doc_id, rule, hits[1] AS first, CAST(len(hits) AS INTEGER) AS hits FROM (SELECT doc_id, 'email' AS rule, regexp_extract_all(text, '{EMAIL}') AS hits FROM documents UNION ALL SELECT doc_id, 'zip', regexp_extract_all(text, '{ZIP}') FROM documents) WHERE len(hits) > 0""",
     "text_sha256": "SELECT doc_id, sha256(text) AS sha FROM documents",
@@ -296,7 +311,8 @@ SQL: dict[str, str] = {
         FROM t WHERE n = 1""",
     "listing_skips": "SELECT l_orderkey AS page_id, 'no_price' AS reason, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 1 GROUP BY l_orderkey",
     "money_parse": "SELECT p_partkey, CAST(round(p_retailprice * 100) AS BIGINT) AS amount_minor, '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) AS token, '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS VARCHAR) AS shown FROM part",
-    "waitlist_validate": "SELECT * FROM (VALUES (' A@B.co ', 'a@b.co', TRUE), ('a@b', 'a@b', FALSE), ('a@@b.co', 'a@@b.co', FALSE), ('', '', FALSE), ('x y@z.com', 'x y@z.com', FALSE), ('ok@mail.example', 'ok@mail.example', TRUE), ('@b.co', '@b.co', FALSE), ('a@.co', 'a@.co', FALSE), ('a@b.', 'a@b.', FALSE)) t(raw, email, ok)",
+    "waitlist_validate": """SELECT c_custkey, replace([' C#@B.co ', 'c#@b', 'c#@@b.co', '#', 'c #@z.com', 'c#@mail.example', '@#.co', 'c#@.co', 'c#@b.'][c_custkey % 9 + 1], '#', CAST(c_custkey AS VARCHAR)) AS raw,
+        replace(['c#@b.co', 'c#@b', 'c#@@b.co', '#', 'c #@z.com', 'c#@mail.example', '@#.co', 'c#@.co', 'c#@b.'][c_custkey % 9 + 1], '#', CAST(c_custkey AS VARCHAR)) AS email, c_custkey % 9 IN (0, 5) AS ok FROM customer""",
     "waitlist_join": f"{O} SELECT 'u' || (panelist_id % 40) || '@mail.example' AS email, min(observed_at) AS \"at\" FROM o GROUP BY ALL",
     "synth_ladder": f"""WITH p AS (SELECT 'p' || p_partkey AS seed, p_partkey % 4 + 1 AS k, unnest(range(30)) AS position FROM part),
         s AS (SELECT seed, position, position % 10 AS panelist_id, 199 + 50 * CAST(floor({DRAW.replace("{label}", "tier")} * k) AS BIGINT) AS own, {DRAW.replace("{label}", "stay")} < 0.5 AND position >= 10 AS stays FROM p)
@@ -318,6 +334,7 @@ SQL: dict[str, str] = {
     "stream_hourly": f"{O} SELECT date_trunc('hour', observed_at) AS hour, panelist_id, count(*) AS rows FROM o GROUP BY ALL",
 }
 SQL["stream_dedup"] = SQL["semantic_dedup"]
+SQL["stream_debounce"] = SQL["debounce"]
 SQL["stream_ingest"] = SQL["stream_ingest_two_steps"] = SQL["semantic_dedup"]
 SQL["ingest_results"] = GREEDY.replace("{obs}", OBS).replace("{src}", "o") + "SELECT count(*) AS presented, count(*) AS valid, count(*) AS admitted, count(*) FILTER (kept) AS accepted, count(*) FILTER (NOT kept) AS duplicates FROM g"
 SQL["health_left"] = f"""WITH {OBS}, {REPORTS}, t AS (SELECT adapter, CAST(sum(attempted) AS BIGINT) AS attempted FROM rep WHERE attempted % 2 = 1 GROUP BY adapter),

@@ -56,6 +56,26 @@ def flags(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("panelist_id string, status string, reason string, cell_key string, flagged_at timestamp, reviewed_at timestamp, review_note string").json(path)
 
 
-def write_observations(rows: DataFrame, path: str) -> None:
-    """Append, a folder for each day of receipt, so that windows and retention read and drop whole folders."""
-    rows.withColumn("received_on", F.to_date("received_at")).repartition("received_on").sortWithinPartitions("cell_key", "observed_at").write.mode("append").partitionBy("received_on").parquet(path)
+#: Columns that are looked up by value, and by which no file is sorted.
+LOOKED_UP = ("panelist_id", "observation_id")
+
+
+def write_observations(rows: DataFrame, path: str, row_group: int | None = None) -> None:
+    """Append, a folder for each day of receipt, so that windows and retention read and drop whole folders.
+
+    Days and cells are dealt to tasks by range, so a day is written by as many as its rows need, and a cell lies in few files and row groups
+    (their least and greatest values tell which). LOOKED_UP have a Bloom filter in every row group. row_group: its bytes; Parquet's own number if none."""
+    order = ["received_on", "cell_key", "observed_at"]
+    bounds = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP} | ({"parquet.block.size": str(row_group)} if row_group else {})
+    dealt = rows.withColumn("received_on", F.to_date("received_at")).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode("append").options(**bounds).partitionBy("received_on").parquet(path)
+
+
+def stored_observations(spark: SparkSession, path: str, first: Column | None = None, last: Column | None = None) -> DataFrame:
+    """What write_observations wrote, received from `first` to `last`, both included: only the days in between are listed."""
+    rows, day, at = spark.read.parquet(path), F.col("received_on"), F.col("received_at")
+    if first is not None:
+        rows = rows.where((day >= F.to_date(first)) & (at >= first))
+    if last is not None:
+        rows = rows.where((day <= F.to_date(last)) & (at <= last))
+    return rows.drop("received_on")

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from ..operators import flagging, health, ingest
 from ..schema import DEDUP_MINUTES, RATE_LIMIT, RETENTION_DAYS, WINDOW_HOURS
@@ -33,7 +33,14 @@ def hourly(stream: DataFrame, key: str = "panelist_id", ts: str = "observed_at")
 
 def debounced(rows: DataFrame, key: str, ts: str, gap: str = "500 milliseconds") -> DataFrame:
     """One row for each burst of a key: when it had been quiet for `gap`."""
-    return rows.groupBy(key, F.session_window(F.col(ts).cast("timestamp"), gap).alias("w")).agg(F.count(F.lit(1)).alias("changes"), F.max(ts).alias("settled"))
+    # a cast would take the watermark of a column away
+    at = F.col(ts) if isinstance(rows.schema[ts].dataType, TimestampType) else F.col(ts).cast("timestamp")
+    return rows.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count(F.lit(1)).alias("changes"), F.max(ts).alias("settled"))
+
+
+def debounced_stream(stream: DataFrame, key: str, ts: str, gap: str = "500 milliseconds", late: str = "1 hour") -> DataFrame:
+    """debounced() on a stream, in append mode: a burst comes once the watermark has passed its end by the gap. Rows later than `late` are left out."""
+    return debounced(stream.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late), key, "at", gap).withColumn("settled", F.col("settled").cast("timestamp_ntz"))
 
 
 def deduplicated(stream: DataFrame, minutes: float = DEDUP_MINUTES, key: tuple[str, ...] = ("panelist_id", "cell_key", "price_minor"), clock: str = "observed_at", hours: int = WINDOW_HOURS) -> DataFrame:
