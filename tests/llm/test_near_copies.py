@@ -87,3 +87,82 @@ def test_buckets_over_batches(spark):
         got = {r.node: r.component for r in near_copies.near_links(rows).collect()}
         assert [got.get(i, i) for i in range(len(texts))] == want
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def similar(x, y):
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def test_stage_takes_simhash(spark, monkeypatch):
+    """The pipeline's stage goes by fingerprints, and never by the prefix join that they are measured against."""
+    import corpus_pipeline
+
+    def other(*_):
+        raise AssertionError("not SimHash")
+
+    for name in ("exact_near_links", "shared_shingles", "other_pairs"):
+        monkeypatch.setattr(near_copies, name, other)
+    base = text(random.Random(4), 50)
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, " ".join(text(random.Random(5), 50)))]
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()) == [1, 3]
+
+
+def test_fingerprint_is_a_majority_of_bits():
+    rng, odd = np.random.default_rng(3), near_copies.odd_numbers()
+    for n in (1, 2, 7, 254, 255, 256, 700):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        each = np.stack([near_copies.fingerprint(s[i : i + 1], odd) for i in range(len(s))])
+        ones = np.unpackbits(each.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=int)
+        assert (np.unpackbits(near_copies.fingerprint(s, odd).view(np.uint8), bitorder="little") == (2 * ones > n)).all()
+
+
+def test_recall_of_bands_at_the_least_similarity():
+    """Sets of a similarity of just 0.8 agree in a band and stay within both radii in at least 97 of 100 cases."""
+    rng, odd, found = np.random.default_rng(6), near_copies.odd_numbers(), 0
+    for _ in range(400):
+        s = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        x, y = (near_copies.fingerprint(np.unique(z), odd) for z in (s[:180], np.r_[s[:160], s[180:]]))
+        bits = near_copies.apart(x[:, None], y[:, None])[0]
+        head = near_copies.apart(x[: near_copies.HEAD, None], y[: near_copies.HEAD, None])[0]
+        found += bool((x.view(np.uint16) == y.view(np.uint16)).any() and head <= near_copies.RADIUS and bits <= near_copies.NEAR)
+    assert found >= 388
+
+
+def test_links_of_one_bucket_grow_with_its_rows():
+    """A bucket in which all are linked sends a forest, and one in which few are sends these."""
+    rng = np.random.default_rng(7)
+    f = rng.integers(0, 1 << 63, (near_copies.HEAD, 1), dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (near_copies.HEAD, 1500), dtype=np.uint64))
+    f = np.concatenate([f, rng.integers(0, 1 << 63, (near_copies.HEAD, 100), dtype=np.uint64)], axis=1)
+    a, b = near_copies.bucket_links(np.zeros(1600, np.int32), np.arange(1600), f)
+    assert len(a) == 1499 and set(a.tolist()) | set(b.tolist()) == set(range(1500))
+
+
+@pytest.mark.parametrize("part", [1024, 20])
+def test_variants_of_one_text_make_no_pairs_by_their_square(spark, monkeypatch, part):
+    """Many texts of one kind, near and not near enough: each unit sends a forest, and the components are those of brute force."""
+    monkeypatch.setattr(near_copies, "CLASS", part)
+    rng, n, texts = random.Random(8), 120, []
+    base = text(rng, 100)
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(100), rng.randint(1, 5)):
+            w[at] = text(rng, 1)[0]
+        texts.append(" ".join(w))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    classes = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    links = [tuple(r) for r in near_copies.decided(classes, rows).collect()]
+    parts = -(-n // part)
+    assert len(links) < n if parts == 1 else len(links) < n * (parts + 1)
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    assert all(similar(sets[i], sets[j]) for i, j in links)
+
+    def grouped(pairs):
+        label = list(range(n))
+        for i, j in pairs:
+            if label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if c == old else c for c in label]
+        return label
+
+    want = grouped((i, j) for i, j in itertools.combinations(range(n), 2) if similar(sets[i], sets[j]))
+    assert grouped(links) == want and 3 < len(set(want)) < n

@@ -1,26 +1,25 @@
-"""Near copies by word shingles: texts with an exact Jaccard similarity of 0.8 or more over five-word shingles.
+"""Near copies by SimHash: texts with an exact Jaccard similarity of 0.8 or more over five-word shingles.
 
-A 64-bit SimHash can't find these: at a similarity of 0.8 two fingerprints differ in about ten bits, and a search of
-that radius has no selective blocks. Candidates come from a prefix filter instead, which misses no pair: in any one
-order of all shingles, two texts with a similarity of t share one of the first n - ceil(t n) + 1 shingles of the larger and one of
-the first n - ceil(2 t n / (1 + t)) + 1 of the smaller. Rare shingles stand first, by a table of SLOTS counters; the table decides how many
-candidates there are, never the result. Texts with a common template and words of their own have these first, and where the own
-part is too large for the similarity it fills the smaller's prefix: such texts meet in no bucket.
+Each text gets a SimHash fingerprint of 1024 bits over its distinct five-word shingles. At a similarity of 0.8 two fingerprints differ
+in about 155 bits, so texts fall into buckets by each of 64 bands of 16 bits: one pair in 120 at just 0.8 agrees in no band, fewer
+above. Within a bucket texts link whose first 128 bits differ in RADIUS or fewer; a bucket with many links sends a spanning forest of
+them, so rows grow with the texts and not with pairs. The components of these links are classes, and every class is decided exactly: its texts
+come together, pairs that sizes and whole fingerprints leave open are held against each other by their sets of shingles until they
+are in one component, and a spanning forest of the true links goes on. A class of more than CLASS texts is cut in parts, and each pair of parts
+is a unit of its own, so no task holds a large class. No pair is listed as a row before it is known to be a link.
 
-Texts that share such a shingle are a bucket, in order of size; a text is held against earlier ones that have the shingle in the short prefix
-alone. First it is held against the first of these and the last before it, so that a large group of copies becomes a few stars. Then only
-pairs in different components are listed, with sizes that allow the similarity and places of the shingle that leave enough
-others to share. Every candidate is decided by the exact similarity before it links.
+Recall is measured against exact_near_links (README): a join by prefix filters, which misses no pair but lists them.
 
 Defined cases: words are those of op3 (A-Z lowered, ASCII white space); a text of fewer words than a shingle is one
 shingle, and one without words is the empty shingle; equal texts stay or go together (exact dedup comes first); texts are told apart by XXH64, and where two
 unequal ones have the same both stay; the smallest doc_id of a component stays, null ones only where there is no other.
-Limit: a shingle that very many *unlike* texts hold among their rarest ninth makes pairs by the square of their number.
+Limits: a task holds a bucket, 24 bytes a text; within a class every pair of fingerprints is compared, in parallel over the units.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,6 +35,13 @@ WORDS, LEAST, SLOT_BITS, PARTS, PAIRS = 5, 0.8, 18, 64, 1 << 16
 SKETCH, BITS = 128, 1 << 25
 SLOTS = 1 << SLOT_BITS
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+#: Words of 64 bits in a fingerprint, its bands of 16 bits, and the words that travel with a band.
+WIDE, BANDS, HEAD = 16, 64, 2
+#: Bits of 128 in which texts of a bucket may differ, and of 1024 in which texts of a class may that hold more than TINY shingles (in
+#: smaller ones the bits say less).
+RADIUS, NEAR, TINY = 36, 200, 16
+#: Rows handled at once, rows of a bucket that are compared pair by pair along its diagonals, a tile, and texts in a part of a class.
+ROWS, FEW, TILE, CLASS = 1 << 16, 8, 512, 1024
 
 
 def shingles(text: str, seen: dict[bytes, int]) -> np.ndarray:
@@ -58,8 +64,163 @@ def shingles(text: str, seen: dict[bytes, int]) -> np.ndarray:
     return np.unique(s)
 
 
+def odd_numbers() -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(bytes([i])) | 1 for i in range(WIDE)], np.uint64)
+
+
+def fingerprint(s: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingles: a bit is 1 if it is set in over half of their hashes."""
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(s), 255):  # so many fit in bytes
+        h = s[at : at + 255, None]
+        h = (h ^ h >> np.uint64(31)) * odd
+        h ^= h >> np.uint64(32)
+        h *= MIX[0]
+        h ^= h >> np.uint64(29)
+        ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(s), bitorder="little").view(np.uint64)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ; their words are the first axis."""
+    return sum((np.bitwise_count(a ^ b) for a, b in zip(x, y, strict=True)), start=np.int16(0))
+
+
+def whole_groups(batches, columns: list[str], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, about `rows` rows at a time, so that the groups of the first column are whole."""
+    held, n = [], 0
+    for b in batches:
+        x = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(x[0]):
+            continue
+        last = int(np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])[-1])  # the last group may go on in the next batch
+        if held and n + last >= rows and (last or x[0][0] != held[-1][0][-1]):
+            yield [np.concatenate(c) for c in zip(*held, [c[:last] for c in x], strict=True)]
+            held, n, x = [], 0, [c[last:] for c in x]
+        held.append(x)
+        n += len(x[0])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def forest(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of fingerprints, as index pairs."""
+    left, a, b = np.arange(f.shape[1]), [], []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            near = apart(f[:, left], f[:, i : i + 1]) <= RADIUS
+            if near.any():
+                a.append(np.full(int(near.sum()), i))
+                b.append(left[near])
+                todo += left[near].tolist()
+                left = left[~near]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def tiled_links(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one bucket, as index pairs; a spanning forest where there are more links than twice the rows."""
+    n, a, b, found = f.shape[1], [], [], 0
+    for i in range(0, n, TILE):
+        for j in range(i, n, TILE):
+            x, y = np.nonzero(apart(f[:, i : i + TILE, None], f[:, None, j : j + TILE]) <= RADIUS)
+            keep = x + i < y + j
+            a.append(x[keep] + i)
+            b.append(y[keep] + j)
+            found += len(a[-1])
+            if found > 2 * n:
+                return forest(f)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def bucket_links(bucket: np.ndarray, node: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many whole buckets (rows of a bucket stand together), as distinct pairs of nodes."""
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    end = np.r_[start[1:], len(bucket)]
+    size, a, b = end - start, [], []
+    after = np.repeat(end, size) - np.arange(len(bucket)) - 1
+    at = np.flatnonzero(np.repeat(size <= FEW, size) & (after > 0))
+    for d in range(1, FEW):
+        at = at[after[at] >= d]
+        hit = at[apart(f[:, at], f[:, at + d]) <= RADIUS]
+        a.append(hit)
+        b.append(hit + d)
+    for s, e in zip(start[size > FEW].tolist(), end[size > FEW].tolist(), strict=True):
+        x, y = tiled_links(f[:, s:e])
+        a.append(x + s)
+        b.append(y + s)
+    x, y = node[np.concatenate(a)], node[np.concatenate(b)]
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+    return pairs[:, pairs[0] != pairs[1]]
+
+
+def simhash_links(texts: DataFrame) -> DataFrame:
+    """a, b: links (or forests of links) of texts(node long, text string) by bands of their fingerprints; a pair may come more than once."""
+
+    def send(batches):
+        seen, odd = {}, odd_numbers()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            f = np.stack([fingerprint(shingles(t, seen), odd) for t in b.column("text").to_pylist()])
+            bucket = f.view(np.uint16).astype(np.int32) + (np.arange(BANDS, dtype=np.int32) << 16)
+            head = [pa.array(np.repeat(f[:, i].view(np.int64), BANDS)) for i in range(HEAD)]
+            yield pa.record_batch([pa.array(bucket.ravel()), pa.array(np.repeat(b.column("node").to_numpy(), BANDS)), *head], ["bucket", "node", "f0", "f1"])
+
+    def meet(batches):
+        for bucket, node, *f in whole_groups(batches, ["bucket", "node", "f0", "f1"], ROWS):
+            a, b = bucket_links(bucket, node, np.stack(f).view(np.uint64))
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    sent = texts.mapInArrow(send, "bucket int, node long, f0 long, f1 long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= LEAST * (len(x) + len(y) - both) - 1e-9
+
+
+def class_links(part: np.ndarray, sets: list[np.ndarray], odd: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the similar pairs among sets; of those between parts alone, where there are two parts."""
+    size, f = np.array([len(s) for s in sets]), np.stack([fingerprint(s, odd) for s in sets], axis=1)
+    one, label = (part == part[0]).all(), np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        j = np.flatnonzero(fits(size[i + 1 :], size[i]) & (label[i + 1 :] != label[i]) & (one | (part[i + 1 :] != part[i]))) + i + 1
+        bits = apart(f[:, j], f[:, i : i + 1])
+        open_ = (bits <= NEAR) | (np.minimum(size[j], size[i]) <= TINY)
+        for k in j[open_][np.argsort(bits[open_], kind="stable")].tolist():
+            if label[k] != label[i] and alike(sets[i], sets[k]):
+                yield i, k
+                label[label == label[k]] = label[i]
+
+
+def decided(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: a spanning forest of the similar pairs of texts within classes(node, component)."""
+    large = classes.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CLASS).cast("int").alias("parts")).where("parts > 1")
+    dealt = classes.join(large, "component", "left").withColumn("part", F.expr("cast(pmod(node, coalesce(parts, 1)) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)")))
+    dealt = dealt.select("node", "part", F.concat_ws("/", "component", F.least("part", "other"), F.greatest("part", "other")).alias("unit"))
+    spread = texts.where(among(classes.select("node"))("node")).join(dealt, "node").select("unit", "part", "node", "text").repartition("unit").sortWithinPartitions("unit")
+
+    def run(batches):
+        seen, odd = {}, odd_numbers()
+        for unit, part, node, text in whole_groups(batches, ["unit", "part", "node", "text"], 1):
+            cuts = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            pairs = [(node[s + i], node[s + j]) for s, e in zip(cuts, cuts[1:], strict=False) for i, j in class_links(part[s:e], [shingles(t, seen) for t in text[s:e]], odd)]
+            yield pa.record_batch([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return spread.mapInArrow(run, "a long, b long")
+
+
 def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest shingles, rarest first, of which similar texts share one."""
+    """The rarest shingles, rarest first, of which similar texts share one: in any one order of all shingles, two texts with a similarity
+    of t share one of the first n - ceil(t n) + 1 of the larger and one of the first n - ceil(2 t n / (1 + t)) + 1 of the smaller.
+    The order is that of a table of SLOTS counters, which decides how many candidates there are, never the result."""
     order = np.lexsort((s, counts[s >> np.uint64(64 - SLOT_BITS)]))
     return s[order[: len(s) - math.ceil(LEAST * len(s) - 1e-9) + 1]]
 
@@ -259,8 +420,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(b.column("s"), b.column("t"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(both >= LEAST * (len(x) + len(y) - both) - 1e-9)
+                keep.append(alike(x, y))
             yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     two = pairs.join(s.withColumnRenamed("node", "a"), "a").join(s.toDF("b", "t"), "b")
@@ -269,6 +429,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_links(texts: DataFrame) -> DataFrame:
     """node, component of texts(node long, text string) that have a near copy."""
+    classes = stage(components(simhash_links(texts)), "classes")
+    return components(decided(classes, texts))
+
+
+def exact_near_links(texts: DataFrame) -> DataFrame:
+    """As near_links, by prefix filters (see shared_shingles, other_pairs): what its recall is measured against."""
     shared = shared_shingles(texts)
     first = stage(in_order(shared.select(F.explode(F.array("first", "before")).alias("a"), F.col("node").alias("b"))), "first")
     links = verified(first, texts)
