@@ -8,7 +8,7 @@ come together, pairs that sizes and whole fingerprints leave open are held again
 are in one component, and a spanning forest of the true links goes on. A class of more than CLASS texts is cut in parts, and each pair of parts
 is a unit of its own, so no task holds a large class. No pair is listed as a row before it is known to be a link.
 
-Recall is measured against exact_near_links (README): a join by prefix filters, which misses no pair but lists them.
+Recall is below 1 and measured (README). exact_near_links is a join by prefix filters, which misses no pair but lists them.
 
 Defined cases: words are those of op3 (A-Z lowered, ASCII white space); a text of fewer words than a shingle is one
 shingle, and one without words is the empty shingle; equal texts stay or go together (exact dedup comes first); texts are told apart by XXH64, and where two
@@ -434,7 +434,7 @@ def near_links(texts: DataFrame) -> DataFrame:
 
 
 def exact_near_links(texts: DataFrame) -> DataFrame:
-    """As near_links, by prefix filters (see shared_shingles, other_pairs): what its recall is measured against."""
+    """As near_links, by prefix filters (see shared_shingles, other_pairs), which miss no pair."""
     shared = shared_shingles(texts)
     first = stage(in_order(shared.select(F.explode(F.array("first", "before")).alias("a"), F.col("node").alias("b"))), "first")
     links = verified(first, texts)
