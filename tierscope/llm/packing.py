@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import SPACE
+from .bpe import SPACE, byte_letters
 from .shared import documents_of, small_batches, stage, vocabulary_path
 
 CAPACITY, END = 4096, 1
@@ -36,34 +36,81 @@ CAPACITY, END = 4096, 1
 ROUNDS, STEPS, GAP = (0.1, 0.1, 0.05, 0.05, 0.02, 0.02, 0.02, 0.01, 0.01, 0.005, 0.005, 0.0025), 160, 0.0002
 #: Words a worker remembers, and pieces ranked in one group.
 MOST_WORDS, GROUP = 900_000, 2000
+#: What a vocabulary does before its model, if texts of PLAIN characters are to be cut in PARTS (once lowered) here: these are unchanged
+#: by NFC, have one lower case alone, and are letters, digits, white space or others by any edition of Unicode.
+BEFORE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+PLAIN = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t-\r a-z\xdf-\xf6\xf8-\xff0-9]+")
 
 Config = tuple[tuple[int, int], ...]  # (place of a length, copies), ...
 Plan = tuple[int, dict[int, int]]  # sequences alike, place of a length (or the length) to copies
 
 
+class PartIds(dict):
+    """Token ids (little-endian 32-bit) of the parts of plain texts, which the vocabulary's model encodes one by one.
+
+    There are far fewer parts than words with their marks and capitals."""
+
+    def __init__(self, model):
+        self.model, self.letters = model, {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, part: str) -> bytes:
+        tokens = self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))  # a letter for each byte
+        ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        if len(part) < 48:
+            self[part] = ids
+        return ids
+
+    def of(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, PARTS.findall(text.lower())))
+
+
 class WordIds(dict):
     """Token ids (little-endian 32-bit) of a text that has no white space inside, kept for each worker.
 
-    The vocabulary drops white space and never merges over it, so a text's ids are those of its words."""
+    The vocabulary drops white space and never merges over it, so a text's ids are those of its words; plain texts and words go by parts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokens = Tokenizer.from_file(path)
         self.tokens.no_truncation()
         self.tokens.no_padding()
+        self.parts = PartIds(self.tokens.model)
+        self.cut = all(spec[k] == v for k, v in BEFORE.items())
+        self.special = [x["content"] for x in spec["added_tokens"]]
         self.odd = re.compile("[\x1c-\x1f]")
         self.space = re.compile(f"[{SPACE}]+")
 
+    def plain(self, text: str) -> bool:
+        return self.cut and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokens.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.plain(word):
+            ids = self.parts.of(word)
+        else:
+            ids = np.array(self.tokens.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) < 48:
             self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        if len(self) > MOST_WORDS:
+        if len(self) + len(self.parts) > MOST_WORDS:
             self.clear()
+            self.parts.clear()
+        if self.plain(text):
+            return self.parts.of(text)
         # str.split() takes four control characters for white space that the vocabulary keeps
         words = [w for w in self.space.split(text) if w] if self.odd.search(text) else text.split()
         return b"".join(map(self.__getitem__, words))
