@@ -137,6 +137,35 @@ def test_links_of_one_bucket_grow_with_its_rows():
     assert len(a) == 1499 and set(a.tolist()) | set(b.tolist()) == set(range(1500))
 
 
+def test_stars_are_a_forest_of_the_same_components():
+    rng = np.random.default_rng(11)
+    for n, m in ((1, 1), (30, 12), (200, 120), (200, 900)):
+        a, b = rng.integers(0, n, (2, m))
+        a, b = np.r_[a, np.arange(1000, 1060)], np.r_[b, np.arange(1001, 1061)]  # and a long chain
+        label = {x: x for x in (*a.tolist(), *b.tolist())}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            old, new = max(label[x], label[y]), min(label[x], label[y])
+            label = {k: new if v == old else v for k, v in label.items()}
+        x, y = near_copies.stars(a, b)
+        assert sorted(zip(y.tolist(), x.tolist(), strict=True)) == sorted((k, v) for k, v in label.items() if k != v)
+    assert [len(x) for x in near_copies.stars(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+@pytest.mark.parametrize("n", [300, 900])
+def test_a_group_sends_few_links_for_each_text(spark, n):
+    """Texts of one group meet in buckets of all bands, and links grow with the texts: 46 to 50 a text when each band sent its own."""
+    rng, base, texts = random.Random(12), text(random.Random(13), 100), []
+    for _ in range(n):
+        w = list(base)
+        for at in rng.sample(range(100), rng.randint(1, 2)):
+            w[at] = text(rng, 1)[0]
+        texts.append(" ".join(w))
+    links = near_copies.in_order(near_copies.simhash_links(spark.createDataFrame(list(enumerate(texts)), "node long, text string"))).collect()
+    assert len(links) <= 12 * n
+    a, b = np.array(links).T
+    assert len(near_copies.stars(a, b)[0]) == n - 1
+
+
 @pytest.mark.parametrize("part", [1024, 20])
 def test_variants_of_one_text_make_no_pairs_by_their_square(spark, monkeypatch, part):
     """Many texts of one kind, near and not near enough: each unit sends a forest, and the components are those of brute force."""

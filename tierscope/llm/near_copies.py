@@ -2,8 +2,8 @@
 
 Each text gets a SimHash fingerprint of 1024 bits over its distinct five-word shingles. At a similarity of 0.8 two fingerprints differ
 in about 155 bits, so texts fall into buckets by each of 64 bands of 16 bits: one pair in 120 at just 0.8 agrees in no band, fewer
-above. Within a bucket texts link whose first 128 bits differ in RADIUS or fewer; a bucket with many links sends a spanning forest of
-them, so rows grow with the texts and not with pairs. The components of these links are classes, and every class is decided exactly: its texts
+above. Within a bucket texts link whose first 128 bits differ in RADIUS or fewer; each task sends a spanning forest of its links, so
+rows grow with the texts and not with pairs, and what the first bands join counts as one text in the others. The components of these links are classes, and every class is decided exactly: its texts
 come together, pairs that sizes and whole fingerprints leave open are held against each other by their sets of shingles until they
 are in one component, and a spanning forest of the true links goes on. A class of more than CLASS texts is cut in parts, and each pair of parts
 is a unit of its own, so no task holds a large class. No pair is listed as a row before it is known to be a link.
@@ -35,8 +35,8 @@ WORDS, LEAST, SLOT_BITS, PARTS, PAIRS = 5, 0.8, 18, 64, 1 << 16
 SKETCH, BITS = 128, 1 << 25
 SLOTS = 1 << SLOT_BITS
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
-#: Words of 64 bits in a fingerprint, its bands of 16 bits, and the words that travel with a band.
-WIDE, BANDS, HEAD = 16, 64, 2
+#: Words of 64 bits in a fingerprint, its bands of 16 bits, those that go first, and the words that travel with a band.
+WIDE, BANDS, FIRST, HEAD = 16, 64, 8, 2
 #: Bits of 128 in which texts of a bucket may differ, and of 1024 in which texts of a class may that hold more than TINY shingles (in
 #: smaller ones the bits say less).
 RADIUS, NEAR, TINY = 36, 200, 16
@@ -137,8 +137,25 @@ def tiled_links(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links (a, b): every node with the smallest node that it reaches."""
+    node, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label, before = np.arange(len(node)), None
+    while before is None or (label != before).any():
+        before, label = label, label.copy()
+        low = np.minimum(before[x], before[y])
+        for end in (x, y):
+            np.minimum.at(label, end, low)
+            np.minimum.at(label, before[end], low)
+        label = label[label]
+    far = np.flatnonzero(label != np.arange(len(node)))
+    return node[label[far]], node[far]
+
+
 def bucket_links(bucket: np.ndarray, node: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of many whole buckets (rows of a bucket stand together), as distinct pairs of nodes."""
+    """Links of many whole buckets (rows of a bucket stand together), as stars: buckets of other bands that hold the same texts mostly
+    send the same ones, so that few are left when repeated pairs go."""
     start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     end = np.r_[start[1:], len(bucket)]
     size, a, b = end - start, [], []
@@ -150,36 +167,58 @@ def bucket_links(bucket: np.ndarray, node: np.ndarray, f: np.ndarray) -> tuple[n
         a.append(hit)
         b.append(hit + d)
     for s, e in zip(start[size > FEW].tolist(), end[size > FEW].tolist(), strict=True):
+        if (node[s:e] == node[s]).all():
+            continue
         x, y = tiled_links(f[:, s:e])
         a.append(x + s)
         b.append(y + s)
-    x, y = node[np.concatenate(a)], node[np.concatenate(b)]
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-    return pairs[:, pairs[0] != pairs[1]]
+    return stars(node[np.concatenate(a)], node[np.concatenate(b)])
 
 
-def simhash_links(texts: DataFrame) -> DataFrame:
-    """a, b: links (or forests of links) of texts(node long, text string) by bands of their fingerprints; a pair may come more than once."""
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """node, print: the whole fingerprint of each of texts(node long, text string)."""
 
-    def send(batches):
+    def run(batches):
         seen, odd = {}, odd_numbers()
+        for b in batches:
+            f = [fingerprint(shingles(t, seen), odd).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("node"), pa.array(f, pa.binary())], ["node", "print"])
+
+    return texts.mapInArrow(run, "node long, print binary")
+
+
+def band_links(prints: DataFrame, bands: range) -> DataFrame:
+    """a, b: forests of the links of prints(node long, print binary) by these bands; a pair may come more than once. Prints may share a
+    node: then their links are its links."""
+
+    def send(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            f = np.stack([fingerprint(shingles(t, seen), odd) for t in b.column("text").to_pylist()])
-            bucket = f.view(np.uint16).astype(np.int32) + (np.arange(BANDS, dtype=np.int32) << 16)
-            head = [pa.array(np.repeat(f[:, i].view(np.int64), BANDS)) for i in range(HEAD)]
-            yield pa.record_batch([pa.array(bucket.ravel()), pa.array(np.repeat(b.column("node").to_numpy(), BANDS)), *head], ["bucket", "node", "f0", "f1"])
+            f = np.frombuffer(b"".join(b.column("print").to_pylist()), np.uint64).reshape(-1, WIDE)
+            bucket = f.view(np.uint16)[:, bands.start : bands.stop].astype(np.int32) + (np.array(bands, np.int32) << 16)
+            head = [pa.array(np.repeat(f[:, i].view(np.int64), len(bands))) for i in range(HEAD)]
+            yield pa.record_batch([pa.array(bucket.ravel()), pa.array(np.repeat(b.column("node").to_numpy(), len(bands))), *head], ["bucket", "node", "f0", "f1"])
 
     def meet(batches):
         for bucket, node, *f in whole_groups(batches, ["bucket", "node", "f0", "f1"], ROWS):
             a, b = bucket_links(bucket, node, np.stack(f).view(np.uint64))
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    sent = texts.mapInArrow(send, "bucket int, node long, f0 long, f1 long")
+    sent = prints.mapInArrow(send, "bucket int, node long, f0 long, f1 long")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
+def simhash_links(texts: DataFrame) -> DataFrame:
+    """a, b: links whose components are those of all links of texts(node long, text string) by bands of their fingerprints; a pair may
+    come more than once. The FIRST bands join most texts of a group, which then count as one in the other bands: so a group sends
+    about as many links as it has texts for each of the first bands, not for all."""
+    prints = stage(fingerprints(texts), "prints")
+    first = stage(components(band_links(prints, range(FIRST))), "first")
+    told = prints.join(first, "node", "left").select(F.coalesce("component", "node").alias("node"), "print")
+    return first.select(F.col("component").alias("a"), F.col("node").alias("b")).union(band_links(told, range(FIRST, BANDS)))
+
+
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return both >= LEAST * (len(x) + len(y) - both) - 1e-9
