@@ -13,7 +13,8 @@ Recall is below 1 and measured (README). exact_near_links is a join by prefix fi
 Defined cases: words are those of op3 (A-Z lowered, ASCII white space); a text of fewer words than a shingle is one
 shingle, and one without words is the empty shingle; equal texts stay or go together (exact dedup comes first); texts are told apart by XXH64, and where two
 unequal ones have the same both stay; the smallest doc_id of a component stays, null ones only where there is no other.
-Limits: a task holds a bucket, 24 bytes a text; within a class every pair of fingerprints is compared, in parallel over the units.
+Limits: a task holds a bucket, 24 bytes a text; within a class every pair of fingerprints is compared, in parallel over the units. Of a class of n texts more than CLASS,
+n * n / CLASS rows go to the units.
 """
 
 from __future__ import annotations
