@@ -23,13 +23,18 @@ def verdict(same: Column, mine: Column, anon: Column) -> Column:
     return F.when(same.isNull(), "STORE_UNKNOWN").when(~same, "STORE_DIFFERS").when(mine == anon, "SAME").when(mine > anon, "MORE").otherwise("LESS")
 
 
+def whole_seconds(at: Column) -> Column:
+    """Seconds of a time to the nearest, halves to the even one, as the SQL's epoch()::BIGINT has them: the band is told by these."""
+    return F.rint(F.unix_micros(at.cast("timestamp")) / 1_000_000).cast("long")
+
+
 def pair(obs: DataFrame, back_minutes: int = PAIR_BACK_MINUTES, ahead_minutes: int = PAIR_AHEAD_MINUTES) -> DataFrame:
-    """One row per anonymous row: the nearest signed-in row of the same panelist, retailer and product in [at - back, at + ahead].
+    """One row per anonymous row: the nearest signed-in row of the same panelist, retailer and product in [at - back, at + ahead], in whole seconds.
 
     Ties go to the earlier row, then the smaller id. A time bucket as long as the band joins the equality keys, and the
     anonymous side asks its two neighbours, so a busy key is many buckets rather than one; the nearest is an aggregate."""
     width = 60 * (back_minutes + ahead_minutes)
-    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    seconds = lambda c: whole_seconds(F.col(c))
     anon = obs.where(is_probe()).select(*COLUMNS)
     # what has no probe at all needs no row on the other side
     mine = obs.where(F.col("session_state") == "logged_in").select(*COLUMNS)
