@@ -30,7 +30,7 @@ def edges(tmp_path_factory):
     return c, folder
 
 
-@pytest.mark.parametrize("name", ["probe_pairs_asof", "probe_pairs_two_days", "probe_rates", "probe_stats", "probe_check_stats", "decide", "verdict_lines"])
+@pytest.mark.parametrize("name", ["probe_pairs_asof", "probe_pairs_two_days", "probe_rates", "probe_stats", "probe_check_stats", "decide", "verdict_lines", "stream_probe_pairs"])
 def test_edges_of_the_band(spark, edges, name):
     c, folder = edges
     got, want = QUERIES[name](spark, folder).toPandas(), c.execute(SQL[name]).df()

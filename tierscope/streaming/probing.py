@@ -20,7 +20,7 @@ def paired(stream: DataFrame, back_minutes: int = PAIR_BACK_MINUTES, ahead_minut
     side = lambda rows, name: rows.select(*(F.col(k).alias(f"{name}_{k}") for k in ("panelist_id", "retailer", "sku", "at")), F.struct(*probes.COLUMNS).alias(name))
     anon, mine = side(timed.where(is_probe()), "anon"), side(timed.where(F.col("session_state") == "logged_in"), "mine")
     # the batch join compares whole seconds
-    gap = F.unix_seconds("mine_at") - F.unix_seconds("anon_at")
+    gap = probes.whole_seconds(F.col("mine_at")) - probes.whole_seconds(F.col("anon_at"))
     same_key = [F.col(f"anon_{k}") == F.col(f"mine_{k}") for k in ("panelist_id", "retailer", "sku")]
     # the bounds by which state is dropped, a second wider than the band
     band = [F.col("mine_at") >= F.col("anon_at") - F.expr(f"interval {60 * back_minutes + 1} seconds"), F.col("mine_at") <= F.col("anon_at") + F.expr(f"interval {60 * ahead_minutes + 1} seconds")]
