@@ -23,6 +23,15 @@ def signed(products: DataFrame, title="title", brand="brand", size_text="size_te
     return out.withColumn("size", sizes.merge_sizes(F.col("_s.size"), F.col("_t.size"))).drop("_t", "_s")
 
 
+def signed_once(products: DataFrame) -> DataFrame:
+    """signed(products), written: each combination of title, brand and size_text is read once. Texts are dealt to all tasks whatever their bytes, and
+    meet the products in a shuffled join, since a table that is small as Parquet can be large in the driver's memory."""
+    said = ["title", "brand", "size_text"]
+    keyed = products.withColumn("_text", F.to_json(F.struct(*said)))
+    texts = keyed.select("_text", *said).distinct().repartition(int(products.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_text")
+    return staged(keyed.join(staged(signed(texts).drop(*said), "texts").hint("merge"), "_text").drop("_text"), "signed")
+
+
 def compared(a: str, b: str, threshold: float = MATCH_AT) -> tuple[Column, Column]:
     """(score, reason) of two signatures; the reason is null for the same product."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
@@ -114,7 +123,8 @@ def candidates(queries: DataFrame, products: DataFrame, most: int = CANDIDATES,
 def best_match(queries: DataFrame, products: DataFrame, found: DataFrame, threshold: float = MATCH_AT) -> DataFrame:
     """query_id, product_id, score: of the candidates that are the same product, the best; ties to the smaller id."""
     own = lambda df, name: df.select(f"{name}_id", F.struct("tokens", "brand_tokens", "size").alias(name))
-    pairs = found.select("query_id", "product_id").join(own(queries, "query"), "query_id").join(own(products, "product"), "product_id")
+    # not by broadcast: what is small as Parquet can be large in the driver's memory
+    pairs = found.select("query_id", "product_id").join(own(queries, "query").hint("merge"), "query_id").join(own(products, "product").hint("merge"), "product_id")
     score, reason = compared("query", "product", threshold)
     same = pairs.withColumn("score", score).where(reason.isNull())
     best = same.groupBy("query_id").agg(F.max_by(F.struct("product_id", "score"), F.struct("score", -F.col("product_id"))).alias("b"))
