@@ -131,6 +131,54 @@ def best_match(queries: DataFrame, products: DataFrame, found: DataFrame, thresh
     return best.select("query_id", "b.product_id", "b.score")
 
 
+def earlier_best(rows: DataFrame, most: int = CANDIDATES, tokens: int = QUERY_TOKENS, threshold: float = MATCH_AT) -> DataFrame:
+    """query_id, product_id, score: best_match of rows(position, tokens, brand_tokens, size) with their candidates of smaller positions.
+
+    Of the rows that share n tokens with a set of tokens only the `most` first can be candidates of any row with that set, whatever its position. So each
+    set has one pool, `most` rows for each n, and rows that are alike are compared with it once; a row's candidates are the first `most` of its pool that
+    come before it. Sets for which whole lists are longer than what their rows would read one by one are asked row by row."""
+    kind = F.to_json(F.struct("tokens", "brand_tokens", "size")).alias("kind")
+    keyed = rows.where(F.size("tokens") > 0).select("position", "tokens", "brand_tokens", "size", kind)
+    kinds = staged(keyed.groupBy("kind").agg(*(F.first(c).alias(c) for c in ("tokens", "brand_tokens", "size")), F.count(F.lit(1)).alias("n"), F.max("position").alias("last")), "kinds")
+    nth = F.row_number().over(Window.partitionBy("tokens").orderBy("position"))
+    few = keyed.select("position", "tokens").withColumn("nth", nth).where(F.col("nth") <= most)
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = few.groupBy("tokens").agg(F.array_sort(F.collect_list("position")).alias("ids"))
+    sets = ids.join(kinds.groupBy("tokens").agg(F.sum("n").alias("n"), F.max("last").alias("last")), "tokens").withColumn("set_id", F.col("ids")[0])
+    sets = staged(sets.repartition(spread, "set_id"), "sets")
+    lists = sets.select(F.explode("tokens").alias("token"), "set_id", "tokens")
+    asking = sets.select(F.col("set_id").alias("ask_id"), F.slice("tokens", 1, tokens).alias("asked"), "n", "last")
+    terms = asking.select("ask_id", "n", F.explode("asked").alias("token")).join(lists.groupBy("token").agg(F.count(F.lit(1)).alias("held")), "token")
+    listed = terms.groupBy("ask_id").agg(F.sum("held").alias("held"), F.first("n").alias("n")).select("ask_id", (F.col("held") <= (SHORT_LISTS + tokens) * most * F.col("n")).alias("pooled"))
+    asked = staged(asking.join(listed, "ask_id").repartition(spread, "ask_id"), "asked")
+
+    shared = F.array_intersect("asked", "tokens")
+    met = asked.where("pooled").withColumn("token", F.explode("asked")).join(lists, "token").where((shared[0] == F.col("token")) & (F.col("set_id") < F.col("last")))
+    first = lambda by: F.row_number().over(Window.partitionBy("ask_id", "shared").orderBy(by))
+    near = met.select("ask_id", "set_id", F.size(shared).alias("shared")).withColumn("nth", first("set_id")).where(F.col("nth") <= most).drop("nth")
+    pool = near.join(sets.select("set_id", F.explode("ids").alias("product_id")), "set_id").select("ask_id", "shared", "product_id").withColumn("nth", first("product_id")).where(F.col("nth") <= most)
+    pool = staged(pool.drop("nth").join(own_struct(keyed, "product").withColumnRenamed("position", "product_id").hint("merge"), "product_id").repartition(spread, "ask_id"), "pool")
+    kind_of = kinds.select("kind", F.struct("tokens", "brand_tokens", "size").alias("query"), "tokens").join(sets.select("tokens", F.col("set_id").alias("ask_id")).hint("merge"), "tokens").drop("tokens")
+    score, reason = compared("query", "product", threshold)
+    told = pool.hint("merge").join(kind_of, "ask_id").select("kind", F.struct((-F.col("shared")).alias("less"), F.col("product_id").alias("id"), F.when(reason.isNull(), score).alias("score")).alias("c"))
+    pools = staged(told.groupBy("kind").agg(F.array_sort(F.collect_list("c")).alias("pool")), "pools")
+    seen = F.slice(F.filter("pool", lambda c: c["id"] < F.col("position")), 1, most)
+    best = F.array_max(F.transform(F.filter(seen, lambda c: c["score"].isNotNull()), lambda c: F.struct(c["score"].alias("score"), (-c["id"]).alias("id"))))
+    found = keyed.select("position", "kind").join(pools.hint("merge"), "kind").select(F.col("position").alias("query_id"), best.alias("b")).where("b is not null")
+    found = found.select("query_id", (-F.col("b.id")).alias("product_id"), "b.score")
+
+    alone = asked.where("not pooled").select(F.col("ask_id").alias("set_id"))
+    if alone.isEmpty():
+        return found
+    asks = staged(keyed.drop("kind").join(sets.select("tokens", "set_id").join(alone, "set_id"), "tokens", "left_semi").withColumnRenamed("position", "query_id"), "asks")
+    there = keyed.drop("kind").withColumnRenamed("position", "product_id")
+    return found.union(best_match(asks, there, candidates(asks, there, most, tokens, earlier=True), threshold))
+
+
+def own_struct(df: DataFrame, name: str) -> DataFrame:
+    return df.select("position", F.struct("tokens", "brand_tokens", "size").alias(name))
+
+
 def canonical(products: DataFrame, best: DataFrame | None = None, known_id: str = "canonical_id") -> DataFrame:
     """products (signed, with upc) with canonical_id, method and confidence: a code, else the best known product, else an own key."""
     code = upc.normalize_upc(F.col("upc"))
@@ -175,7 +223,7 @@ def resolve_batch(batch: DataFrame, links: DataFrame, products: DataFrame | None
     matching earlier new one (ties to the earliest), and so on back to the first."""
     first = batch.groupBy("sku_key").agg(F.min_by(F.struct(*[c for c in batch.columns if c != "sku_key"]), "position").alias("r")).select("sku_key", "r.*")
     told = first.join(links, "sku_key").select("sku_key", "canonical_id", F.lit("linked").alias("method"))
-    fresh = signed(first.join(links.select("sku_key"), "sku_key", "left_anti")).withColumn("query_id", F.col("position"))
+    fresh = signed_once(first.join(links.select("sku_key"), "sku_key", "left_anti")).withColumn("query_id", F.col("position"))
     if products is not None:
         known = signed(products.withColumn("product_id", F.xxhash64("canonical_id")))
         best = best_match(fresh, known, candidates(fresh, known)).join(known.select("product_id", F.col("canonical_id").alias("known_id")), "product_id").drop("product_id")
@@ -184,8 +232,7 @@ def resolve_batch(batch: DataFrame, links: DataFrame, products: DataFrame | None
         rows = canonical(fresh)
     rows = staged(rows.select("sku_key", "position", "canonical_id", "method", "tokens", "brand_tokens", "size"), "fresh")
     fuzzy = rows.where("method = 'fuzzy'")
-    asking, there = fuzzy.withColumnRenamed("position", "query_id"), fuzzy.withColumnRenamed("position", "product_id")
-    best = best_match(asking, there, candidates(asking, there, earlier=True))
+    best = earlier_best(fuzzy)
     ends = roots(best.select(F.col("query_id").alias("node"), F.col("product_id").alias("up")))
     ids = rows.select(F.col("position").alias("up"), F.col("canonical_id").alias("first_id"))
     new = rows.join(ends.join(ids, "up"), F.col("position") == F.col("node"), "left").select("sku_key", F.coalesce("first_id", "canonical_id").alias("canonical_id"), "method")
